@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careweave.llm import common, ogg
+from careweave.llm import common, ogg, sstable
+
+
+def op6_sstable_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.encoded(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
 def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +20,7 @@ def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_sstable_token_ids": op6_sstable_token_ids,
     "op7_ogg_media": op7_ogg_media,
 }
 
