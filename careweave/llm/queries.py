@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careweave.llm import common, ogg, sstable
+from careweave.llm import common, mixing, ogg, packing, sstable
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    mixed, sizes, goal = mixing.mix(docs, F.array("source"), common.word_count("text"))
+    lines = [(json.dumps([s], ensure_ascii=False), sizes[s], goal[s]) for s in sizes]
+    by_source = spark.createDataFrame(lines, "pattern string, source_size long, target double")
+    return mixed.join(by_source, "pattern").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_sstable_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +28,15 @@ def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.decode_ogg(ogg.encode_ogg(common.documents(spark, sf_dir)))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_mixing": op4_mixing,
     "op6_sstable_token_ids": op6_sstable_token_ids,
     "op7_ogg_media": op7_ogg_media,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
