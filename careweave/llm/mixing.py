@@ -7,8 +7,8 @@
    that share no source are separate components and are solved one by one.
 3. A pattern that got k whole repetitions and a rest takes every document k times and
    a seeded choice once more. The choice is a hash order: whole hash buckets below the
-   cut, then single documents of the bucket at the cut, then the one document that
-   brings the sum nearest to the rest. No window is larger than a 4096th of a pattern.
+   cut, then single documents of the bucket at the cut, then the few documents that
+   bring the sum nearest to the rest. No window is larger than a 4096th of a pattern.
 
 Defined cases: a null text has size 0; a document in no source, or in the null source
 (which comes last), is a pattern like others; repeated rows count each, and identical
@@ -18,6 +18,7 @@ named are not looked at. Reruns agree, as the choice depends on seed and content
 
 from __future__ import annotations
 
+import json
 from collections import defaultdict, deque
 from itertools import cycle
 
@@ -30,6 +31,8 @@ from careweave.llm import common
 WEIGHTS = (5, 2, 1)
 #: Hash buckets of a pattern: 2**12.
 BUCKET_BITS = 12
+#: Single documents that may still be added to each pattern, until its sum is this near.
+FILLING_ROUNDS, NEAR = 8, 0.0005
 
 
 def code_point_order(sources) -> list[str | None]:
@@ -122,6 +125,18 @@ def _flow(patterns, quotas, most):
             cap[e ^ 1] += amount
 
 
+def _marks(picks: DataFrame) -> DataFrame:
+    return picks.distinct().select(*(F.col(c).alias(f"of_{c}") for c in picks.columns), F.lit(1).alias("marked"))
+
+
+def _same(rows: DataFrame) -> Column:
+    return (F.col("pattern") == F.col("of_pattern")) & (F.col("order") == F.col("of_order")) & rows["id"].eqNullSafe(F.col("of_id"))
+
+
+def _unmarked(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    return rows.join(marks, _same(rows), "left_anti")
+
+
 def mix(docs: DataFrame, sources: Column, size: Column, weights=WEIGHTS, most: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict, dict]:
     """(id, pattern, size, taken) of every row, tokens of each source, target of each.
 
@@ -139,8 +154,6 @@ def mix(docs: DataFrame, sources: Column, size: Column, weights=WEIGHTS, most: i
     ).withColumn("bucket", F.shiftrightunsigned("order", 64 - BUCKET_BITS))
 
     # one line for each pattern; patterns are few next to documents
-    import json
-
     patterns = {r["pattern"]: (tuple(json.loads(r["pattern"])), r["tokens"]) for r in rows.groupBy("pattern").agg(F.sum("size").alias("tokens")).collect()}
     sizes: dict[str | None, int] = defaultdict(int)
     for members, tokens in patterns.values():
@@ -169,13 +182,25 @@ def mix(docs: DataFrame, sources: Column, size: Column, weights=WEIGHTS, most: i
     sure = planned.where("cut IS NULL OR bucket <> cut").withColumn("once", (whole & (F.col("rest") > 0)).cast("long"))
     run = F.sum("size").over(Window.partitionBy("pattern").orderBy("order", "id").rowsBetween(Window.unboundedPreceding, 0))
     at_cut = planned.where("bucket = cut").withColumn("once", ((run + F.col("below") <= F.col("rest")) & (F.col("rest") > 0)).cast("long"))
-    chosen = sure.unionByName(at_cut)
-    # the one row left over that brings the sum nearest to the rest
-    sums = chosen.groupBy("pattern").agg((F.first("rest") - F.sum(F.col("once") * F.col("size"))).alias("gap"))
-    spare = chosen.where("once = 0 AND size > 0").join(sums, "pattern").where("gap > 0 AND abs(gap - size) < gap")
-    last = spare.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")), "order", "id")).alias("last"))
-    last = last.select("pattern", F.col("last.order").alias("last_order"), F.col("last.id").alias("last_id"))
-    again = (F.col("order") == F.col("last_order")) & F.col("id").eqNullSafe(F.col("last_id"))
-    taken = (F.col("whole") + F.col("once") + F.coalesce(again, F.lit(False)).cast("long") * (1 - F.col("once"))) * F.col("size")
-    out = chosen.join(last, "pattern", "left").select(F.col("id").alias(id_col), "pattern", "size", "order", taken.alias("taken"))
+    chosen = common.written(sure.unionByName(at_cut).select("id", "pattern", "size", "order", "whole", "rest", "once"), "mix")
+    # then, a few times, the one row of each pattern that brings its sum nearest to the rest
+    gap = {r["pattern"]: (r["gap"], r["rest"]) for r in chosen.groupBy("pattern").agg(F.first("rest").alias("rest"), (F.first("rest") - F.sum(F.col("once") * F.col("size"))).alias("gap")).collect()}
+    picks: list[tuple] = []
+    pick_type = f"pattern string, order long, id {dict(chosen.dtypes)['id']}"
+    for _ in range(FILLING_ROUNDS):
+        wanting = [(name, g) for name, (g, rest) in gap.items() if g > NEAR * rest]
+        if not wanting:
+            break
+        taken_rows = _marks(spark.createDataFrame(picks, pick_type))
+        spare = _unmarked(chosen.where("once = 0 AND size > 0"), taken_rows).join(spark.createDataFrame(wanting, "pattern string, gap long"), "pattern")
+        nearest = spare.where("abs(gap - size) < abs(gap)").groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "order", "id", "size")).alias("x"))
+        found = nearest.select("pattern", "x.order", "x.id", "x.size").collect()
+        for r in found:
+            picks.append((r["pattern"], r["order"], r["id"]))
+            gap[r["pattern"]] = (gap[r["pattern"]][0] - r["size"], gap[r["pattern"]][1])
+        if not found:
+            break
+    marked = chosen.join(_marks(spark.createDataFrame(picks, pick_type)), _same(chosen), "left")
+    once = F.greatest(F.col("once"), F.coalesce("marked", F.lit(0)).cast("long"))
+    out = marked.select(F.col("id").alias(id_col), "pattern", "size", "order", ((F.col("whole") + once) * F.col("size")).alias("taken"))
     return out, dict(sizes), goal
