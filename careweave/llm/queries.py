@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careweave.llm import common, mixing, ogg, packing, sstable
+from careweave.llm import common, mixing, ogg, packing, ppm, sstable
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.join(by_source, "pattern").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    model = ppm.train(docs.where(~F.coalesce(common.crc_bucket("doc_id", 5) == 0, F.lit(False))))
+    return ppm.predict(docs, model).select("doc_id", F.coalesce(common.crc_bucket("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 def op6_sstable_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.encoded(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
@@ -34,6 +40,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
+    "op5_ppm_language": op5_ppm_language,
     "op6_sstable_token_ids": op6_sstable_token_ids,
     "op7_ogg_media": op7_ogg_media,
     "op10_packing": op10_packing,
