@@ -51,7 +51,7 @@ class _Recent(dict):
 class Encoder:
     """Texts to token ids, each id as four little-endian bytes."""
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -96,7 +96,7 @@ class Encoder:
                 line, letters, tail = m.groups()
                 plain[p] = (letters.lower() if self.ends else (line or " ") + letters, tail)
             elif not p or _ENDS_IN_SPACE(p):
-                self.pieces[p] = None  # white space that belongs to what follows
+                self.pieces[p] = False  # white space that belongs to what follows
             else:
                 self.pieces[p] = self._one(p if p[0] == "\n" else " " + p)
         self._learn_words({w for w, _ in plain.values()})
@@ -116,19 +116,22 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        for i in range(0, len(texts), 256):
-            cut = [t.replace("\n", " \n").split(" ") for t in texts[i : i + 256]]
+        for i in range(0, len(texts), 512):
+            cut = [t.replace("\n", " \n").split(" ") for t in texts[i : i + 512]]
+            heads = [c.pop(0) for c in cut]
             for cache in (self.pieces, self.words, self.chunks):
                 cache.age()
-            self._learn_pieces(self.pieces.without(set().union(*(c[1:] for c in cut))))
-            get = self.pieces.__getitem__
-            for t, c in zip(texts[i : i + 256], cut, strict=True):
+            found = [list(map(self.pieces.get, c)) for c in cut]
+            gaps = [[k for k, x in enumerate(f) if x is None] if None in f else () for f in found]
+            self._learn_pieces(self.pieces.without({c[k] for c, g in zip(cut, gaps, strict=True) for k in g}))
+            for t, head, c, f, g in zip(texts[i : i + 512], heads, cut, found, gaps, strict=True):
+                for k in g:
+                    f[k] = self.pieces[c[k]]
+                if head:
+                    f.append(False if _ENDS_IN_SPACE(head) else b"")
                 try:
-                    if c[0] and _ENDS_IN_SPACE(c[0]):
-                        raise TypeError
-                    head = self._one(c[0]) if c[0] else b""
-                    out.append(b"".join([head, *map(get, c[1:])]))
-                except TypeError:  # a None: not only single blanks and line ends
+                    out.append((self._one(head) if head else b"") + b"".join(f))
+                except TypeError:  # a False: not only single blanks and line ends
                     out.append(self._general(t))
         return out
 
