@@ -9,7 +9,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careweave.llm import common, mixing, ogg, packing, ppm, sstable
+from careweave.llm import common, gam, mixing, ogg, packing, ppm, rules, sstable
+
+
+def op1_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = F.coalesce(common.crc_bucket("doc_id", 4) == 2, F.lit(False))
+    model = gam.train(docs, labels.where(~held_out).select("doc_id", "quality"))
+    return gam.predict(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,15 +41,22 @@ def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.decode_ogg(ogg.encode_ogg(common.documents(spark, sf_dir)))
 
 
+def op9_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    return rules.judge(docs, rules.references(docs))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_gam_quality": op1_gam_quality,
     "op4_mixing": op4_mixing,
     "op5_ppm_language": op5_ppm_language,
     "op6_sstable_token_ids": op6_sstable_token_ids,
     "op7_ogg_media": op7_ogg_media,
+    "op9_divergence_rules": op9_divergence_rules,
     "op10_packing": op10_packing,
 }
 
