@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careweave.llm import common, gam, mixing, ogg, packing, ppm, rules, sstable
+from careweave.llm import cdc, common, gam, mixing, ogg, packing, ppm, rules, sstable
 
 
 def op1_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.predict(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op2_cdc_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = cdc.dedup(common.documents(spark, sf_dir))
+    return kept.select("doc_id", "n_bytes", "n_chunks", "n_dup_chunks", "n_removed", "n_spans", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     mixed, sizes, goal = mixing.mix(docs, F.array("source"), common.word_count("text"))
@@ -52,6 +57,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_gam_quality": op1_gam_quality,
+    "op2_cdc_substrings": op2_cdc_substrings,
     "op4_mixing": op4_mixing,
     "op5_ppm_language": op5_ppm_language,
     "op6_sstable_token_ids": op6_sstable_token_ids,
