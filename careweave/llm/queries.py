@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careweave.llm import cdc, common, gam, mixing, ogg, packing, ppm, rules, sstable
+from careweave.llm import cdc, chosen_path, common, gam, mixing, ogg, packing, ppm, rules, sstable
 
 
 def op1_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_cdc_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_chunks", "n_dup_chunks", "n_removed", "n_spans", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.join(common.documents(spark, sf_dir)).select("doc_id", "class_id", "n_links", "n_class")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     mixed, sizes, goal = mixing.mix(docs, F.array("source"), common.word_count("text"))
@@ -58,6 +62,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_gam_quality": op1_gam_quality,
     "op2_cdc_substrings": op2_cdc_substrings,
+    "op3_chosen_path_join": op3_chosen_path_join,
     "op4_mixing": op4_mixing,
     "op5_ppm_language": op5_ppm_language,
     "op6_sstable_token_ids": op6_sstable_token_ids,
