@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careweave.llm import cdc, chosen_path, common, gam, mixing, ogg, packing, ppm, rules, sstable
+from careweave.llm import cdc, chosen_path, common, gam, mixing, ogg, packing, ppm, rules, sstable, suffix
 
 
 def op1_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,13 @@ def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.decode_ogg(ogg.encode_ogg(common.documents(spark, sf_dir)))
 
 
+def op8_suffix_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts, stripped = suffix.strip(common.documents(spark, sf_dir))
+    answer = facts.join(stripped.drop("kept"), "key", "left")
+    none = F.lit(0).cast("long")
+    return answer.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"))
+
+
 def op9_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     return rules.judge(docs, rules.references(docs))
@@ -67,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ppm_language": op5_ppm_language,
     "op6_sstable_token_ids": op6_sstable_token_ids,
     "op7_ogg_media": op7_ogg_media,
+    "op8_suffix_substrings": op8_suffix_substrings,
     "op9_divergence_rules": op9_divergence_rules,
     "op10_packing": op10_packing,
 }
