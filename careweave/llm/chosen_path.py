@@ -238,20 +238,36 @@ def verified(rows: DataFrame, members: DataFrame, copies: DataFrame) -> DataFram
     return dealt.mapInArrow(compare, "key binary, links long, root binary")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL, large: int = LARGE) -> DataFrame:
-    """(id, key, class_key, class_id, n_links, n_class) of every row.
-
-    ``class_id`` is the least identifier of the class, ``class_key`` the content key of
-    the text that has it; ``n_links`` counts the other rows of similarity 0.8 or more."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), common.text_key(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL, large: int = LARGE) -> DataFrame:
+    """(key, class_key, class_id, n_links, n_class) of every distinct text; see ``join``."""
+    rows = _rows(docs, id_col, text_col)
     copies = common.written(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.max(F.length("text")).alias("size")), "copies")
     edges = candidate_edges(rows, runs_for(recall, THRESHOLD[0] / THRESHOLD[1], LAMBDA, LEVELS), large=large)
     members = graph.components(edges).select(F.col("v").alias("key"), F.col("root").alias("component"))
     found = common.written(verified(rows, members, copies), "links")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
-    classes = graph.components(found.select(F.col("key").alias("u"), F.col("root").alias("v"))).select(F.col("v").alias("key"), F.col("root").alias("class"))
-    sets = copies.join(links, "key", "left").join(classes, "key", "left").withColumn("class", F.coalesce("class", "key"))
+    roots = graph.components(found.select(F.col("key").alias("u"), F.col("root").alias("v"))).select(F.col("v").alias("key"), F.col("root").alias("class"))
+    sets = copies.join(links, "key", "left").join(roots, "key", "left").withColumn("class", F.coalesce("class", "key"))
     best = F.struct(F.col("id").isNull().alias("late"), "id", "key")
     heads = sets.groupBy("class").agg(F.min(best).alias("head"), F.sum("n").alias("n_class"))
-    answer = sets.join(heads, "class").select("key", F.col("head.key").alias("class_key"), F.col("head.id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "n_class")
-    return rows.select("id", "key").join(answer, "key").withColumnRenamed("id", id_col)
+    return sets.join(heads, "class").select("key", F.col("head.key").alias("class_key"), F.col("head.id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "n_class")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), common.text_key(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL, large: int = LARGE) -> DataFrame:
+    """(id, key, class_key, class_id, n_links, n_class) of every row.
+
+    ``class_id`` is the least identifier of the class, ``class_key`` the content key of
+    the text that has it; ``n_links`` counts the other rows of similarity 0.8 or more."""
+    found = classes(docs, id_col, text_col, recall, large)
+    return _rows(docs, id_col, text_col).select("id", "key").join(found, "key").withColumnRenamed("id", id_col)
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class, with all its columns: that of the least identifier."""
+    heads = classes(docs, id_col, text_col).where("key = class_key").select("key", F.col("class_id").alias("head_id"))
+    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), common.text_key(text_col).alias("key"))
+    return packed.join(heads, "key").where(F.col("id").eqNullSafe(F.col("head_id"))).dropDuplicates(["key"]).select("row.*")

@@ -141,7 +141,10 @@ def sort_block(units: list[tuple[int, bytes, int, int]], length: int = LENGTH) -
     """For each unit (bucket, bytes, anchor place in them, weight) a boolean for each of its
     starts: its string starts in another unit too, or the weight is over 1.
 
-    Difference-cover suffix sorting of a block of buckets, as the module describes."""
+    Difference-cover suffix sorting of a block of buckets, as the module describes.
+    ``length`` is 16 more than a multiple of 32, so that prefix, ranks and tail meet."""
+    if length % PERIOD != 16 or length <= GRAM:
+        raise ValueError(f"length must be 16 more than a multiple of {PERIOD}, and over {GRAM}")
     sizes = np.array([len(u[1]) for u in units], np.int64)
     base = np.concatenate([[0], np.cumsum(sizes)])
     text = np.frombuffer(b"".join(u[1] for u in units), np.uint8)
@@ -154,17 +157,24 @@ def sort_block(units: list[tuple[int, bytes, int, int]], length: int = LENGTH) -
     sample = np.flatnonzero(_IN_COVER[residue])
 
     rank = np.zeros(len(text) + length, np.int64)  # of the cover places, at their place
-    ranks = {}
-    p = sample[left[sample] >= 32]
-    rank[p] = _ranked([word[p + k] for k in (0, 8, 16, 24)])
-    ranks[32], have = rank, 32
-    for nxt, a, z in ((64, 32, 32), (128, 64, 64), (256, 128, 128), (384, 256, 128)):
-        p = sample[left[sample] >= nxt]
-        pair = ranks[a][p] << 32 | ranks[z][p + a]
+    p = sample[left[sample] >= PERIOD]
+    rank[p] = _ranked([word[p + k] for k in range(0, PERIOD, 8)])
+    ranks, reach = {PERIOD: rank}, length - 16
+
+    def put_together(a: int, z: int) -> None:
+        """Ranks by a + z bytes from those by a bytes and, a bytes on, by z bytes."""
+        q = sample[left[sample] >= a + z]
         made = np.zeros_like(rank)
-        made[p] = np.unique(pair, return_inverse=True)[1]
-        ranks[nxt] = made
-        have = nxt
+        made[q] = np.unique(ranks[a][q] << 32 | ranks[z][q + a], return_inverse=True)[1]
+        ranks[a + z] = made
+
+    while 2 * max(ranks) <= reach:
+        put_together(max(ranks), max(ranks))
+    have = max(ranks)
+    for part in sorted((k for k in ranks if k < have), reverse=True):
+        if have + part <= reach:
+            put_together(have, part)
+            have += part
     start = np.flatnonzero(left >= length)
     # sub-bucket: same bucket and same distance to the anchor
     bucket = np.unique(np.array([u[0] for u in units], np.int64), return_inverse=True)[1][unit[start]]
