@@ -1,15 +1,77 @@
-"""A training-corpus pipeline over documents."""
+"""A training-corpus pipeline: language, near copies, repeats, mix, sequences.
+
+Each stage takes what the one before kept, with the columns of ``documents``; the last
+returns the packed pieces. Nulls, ties and repeated rows are handled as the operators
+say; columns beside those of ``documents`` are carried along.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from careweave.llm import chosen_path, common, mixing, packing, ppm, suffix
+
+#: A text is rejected if no letter is in it or no language is likelier than all others.
+MIN_LANGUAGE_SCORE = 0.5
+#: Bytes of a passage that may not start twice: about fifty words.
+REPEAT_BYTES = 272
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known with a posterior of at least a half."""
+    packed = docs.select(F.struct("*").alias("row"), "text")
+    told = ppm.predict(packed, ppm.train(docs), id_col="row")
+    return told.where((F.col("lang_pred") != ppm.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("row.*")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of texts with 5-word Jaccard similarity of 0.8 or more."""
+    return chosen_path.representatives(docs)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that start twice; documents of nothing else go."""
+    _, stripped = suffix.strip(docs, length=REPEAT_BYTES, whole_characters=True)
+    lost = stripped.where("n_removed > 0").select("key", F.col("kept").cast("string").alias("kept"))
+    packed = docs.select(F.struct("*").alias("row"), common.text_key("text").alias("key")).join(lost, "key", "left")
+    packed = packed.where(F.col("kept").isNull() | (common.word_count("kept") > 0))
+    text = F.coalesce("kept", F.col("row.text"))
+    changed = F.col("row").withField("text", text).withField("n_chars", F.when(F.col("kept").isNull(), F.col("row.n_chars")).otherwise(F.char_length("kept").cast("long")))
+    return packed.select(changed.alias("row")).select("row.*")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them, from no to three times."""
+    packed = docs.select(F.struct("*").alias("row"), F.col("source").alias("from"), "text", common.text_key("text").alias("key"), "doc_id")
+    packed = packed.withColumn("row_key", F.unhex(F.md5(F.concat(F.col("key"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))))
+    taken, _, _ = mixing.mix(packed, F.array("from"), common.word_count("text"), id_col="row_key")
+    # identical rows are taken alike
+    times = taken.where("taken > 0").groupBy("row_key").agg(F.max(F.expr("taken div size")).cast("int").alias("times"))
+    return packed.join(times, "row_key").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time")).select("row.*")
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 2048 tokens."""
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+STAGES = [
+    ("language ID", language),
+    ("n-gram Jaccard join", near_copies),
+    ("suffix-array dedup", repeats),
+    ("mixing", mixed),
+    ("best-fit packing", sequences),
+]
 
-STAGES: list = []
+#: Neither the language model nor the tokenizer can be expressed in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The stages one after another; what goes between them is written once."""
+    docs = common.documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
