@@ -85,8 +85,9 @@ def chunk_counts(rows: DataFrame) -> DataFrame:
 
 
 def chunk_rows(rows: DataFrame) -> DataFrame:
-    """(head, digest, id, k, at, size) of every chunk of rows (id, text, k)."""
-    names = ["head", "digest", "id", "k", "at", "size"]
+    """(head, tail, id, k, place) of every chunk of rows (id, text, k): 128 bits of digest,
+    and start and size of the chunk in one number. Fixed-width rows shuffle small."""
+    names = ["head", "tail", "id", "k", "place"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -94,16 +95,14 @@ def chunk_rows(rows: DataFrame) -> DataFrame:
                 part = b.slice(first, 1024)
                 texts = [t.as_buffer().to_pybytes() for t in part.column(1)]
                 spans = [_chunks(x) for x in texts]
-                row = np.repeat(np.arange(len(texts)), [len(s) for s in spans])
-                at = np.array([i for s in spans for i, _ in s], np.int32)
-                end = np.array([j for s in spans for _, j in s], np.int32)
+                take = pa.array(np.repeat(np.arange(len(texts)), [len(s) for s in spans]))
+                place = np.array([i << 16 | j - i for s in spans for i, j in s], np.int64)
                 pieces = [x[i:j] for x, s in zip(texts, spans, strict=True) for i, j in s]
                 head = np.array([xxhash.xxh3_64_intdigest(p) for p in pieces], np.uint64).view(np.int64)
-                digest = pa.array([xxhash.xxh3_128_digest(p) for p in pieces], pa.binary())
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(head), digest, part.column(0).take(take), part.column(2).take(take), pa.array(at), pa.array(end - at)], names=names)
+                tail = np.array([xxhash.xxh64_intdigest(p) for p in pieces], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(head), pa.array(tail), part.column(0).take(take), part.column(2).take(take), pa.array(place)], names=names)
 
-    return rows.select("id", "text", "k").mapInArrow(emit, "head long, digest binary, id long, k long, at int, size int")
+    return rows.select("id", "text", "k").mapInArrow(emit, "head long, tail long, id long, k long, place long")
 
 
 def runs(spans: list[tuple[int, int]], data: bytes, min_run: int) -> list[tuple[int, int]]:
@@ -133,11 +132,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_r
     ``n_dup_chunks`` are later copies, ``kept`` is the text without the removed runs."""
     rows = _keyed(docs, id_col, text_col)
     often = chunk_counts(rows).where("n > 1").select("head")
-    repeated = chunk_rows(rows).join(often, "head").drop("head")
-    place = F.struct(F.col("id").isNull().alias("late"), "id", "k", "at")
-    first = repeated.groupBy("digest").agg(F.min(place).alias("first"))
-    again = repeated.join(first, "digest").where(place != F.col("first"))
-    spans = again.groupBy("id", "k").agg(F.collect_set(F.struct("at", "size")).alias("spans"))
+    repeated = chunk_rows(rows).join(often, "head")
+    place = F.struct(F.col("id").isNull().alias("late"), "id", "k", "place")
+    first = repeated.groupBy("head", "tail").agg(F.min(place).alias("first"))
+    again = repeated.join(first, ["head", "tail"]).where(place != F.col("first"))
+    spans = again.groupBy("id", "k").agg(F.collect_set("place").alias("spans"))
     spans = spans.select(F.col("id").alias("of"), F.col("k").alias("k_of"), "spans")
     joined = rows.join(spans, rows["id"].eqNullSafe(spans["of"]) & (rows["k"] == spans["k_of"]), "left").select("id", "text", "spans")
     names = ["id", "n_bytes", "n_chunks", "n_dup_chunks", "n_removed", "n_spans", "kept"]
@@ -147,7 +146,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_r
             out: list[list] = [[] for _ in names]
             for i, t, s in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 data = t.as_buffer().to_pybytes()
-                gone = runs([(x["at"], x["size"]) for x in s or []], data, min_run)
+                gone = runs([(x >> 16, x & 0xFFFF) for x in s or []], data, min_run)
                 kept = b"".join(data[a:z] for a, z in zip([0, *(z for _, z in gone)], [*(a for a, _ in gone), len(data)], strict=True))
                 for column, v in zip(out, (i, len(data), len(cuts(data)), len(s or []), len(data) - len(kept), len(gone), kept.decode()), strict=True):
                     column.append(v)
