@@ -27,6 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from careweave.llm import common
+
 MIN_CHUNK, MAX_CHUNK, MASK_BITS = 32, 256, 5
 #: Shorter repeated runs are common phrases, not copied passages.
 MIN_RUN = 120
@@ -130,6 +132,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_r
     """(id, n_bytes, n_chunks, n_dup_chunks, n_removed, n_spans, kept) of every row.
 
     ``n_dup_chunks`` are later copies, ``kept`` is the text without the removed runs."""
+    common.small_batches(docs.sparkSession)
     rows = _keyed(docs, id_col, text_col)
     often = chunk_counts(rows).where("n > 1").select("head")
     repeated = chunk_rows(rows).join(often, "head")

@@ -240,6 +240,7 @@ def verified(rows: DataFrame, members: DataFrame, copies: DataFrame) -> DataFram
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL, large: int = LARGE) -> DataFrame:
     """(key, class_key, class_id, n_links, n_class) of every distinct text; see ``join``."""
+    common.small_batches(docs.sparkSession)
     rows = _rows(docs, id_col, text_col)
     copies = common.written(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.max(F.length("text")).alias("size")), "copies")
     edges = candidate_edges(rows, runs_for(recall, THRESHOLD[0] / THRESHOLD[1], LAMBDA, LEVELS), large=large)

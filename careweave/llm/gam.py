@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from careweave.llm import common
+
 FEATURES = ("log_words", "word_length", "upper", "digits", "symbols", "exclamations", "blanks", "distinct_words", "repeated_lines", "top_word", "stops", "one_letter", "non_ascii", "line_length", "repeated_pairs")
 _CLASS = np.zeros(256, np.int64)
 _CLASS[ord("A") : ord("Z") + 1] = 1
@@ -166,6 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: st
 
 def predict(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """(id, score, predicted) of every row."""
+    common.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

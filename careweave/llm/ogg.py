@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from careweave.llm import common
+
 BLOCK = 576
 PAD = b"\xff"
 RATE = 8000
@@ -184,6 +186,7 @@ def encode_ogg(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
         yield from _sliced(rows(), schema, "media")
 
+    common.small_batches(docs.sparkSession)
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     return picked.mapInArrow(encode, "id long, media binary").withColumnRenamed("id", id_col)
 
@@ -212,6 +215,7 @@ def decode_ogg(media: DataFrame, id_col: str = "doc_id", media_col: str = "media
             rows = [facts(i, m.as_buffer().to_pybytes() if m.is_valid else None) for i, m in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
             yield pa.RecordBatch.from_pylist(rows, schema)
 
+    common.small_batches(media.sparkSession)
     picked = media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).cast("binary").alias("media"))
     kinds = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, streams int, pages int, packets int, seconds double, error string"
     return picked.mapInArrow(decode, kinds).withColumnRenamed("id", id_col)

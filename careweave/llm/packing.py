@@ -64,6 +64,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE, id_col:
                             rows[k].append(v)
                 yield pa.RecordBatch.from_pydict(rows, _PIECE)
 
+    common.small_batches(docs.sparkSession)
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return picked.mapInArrow(encode, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from careweave.llm import common
+
 ORDER = 3
 UNKNOWN = "und"
 #: The posterior of a text is that of its mean code length over this many bytes at most:
@@ -131,6 +133,7 @@ class Model:
 
 def train(rows: DataFrame, rows_per_lang: int = 1500, bytes_per_row: int = 8000, id_col: str = "doc_id") -> Model | None:
     """A model of the languages in rows (id, text, lang); None without a usable row."""
+    common.small_batches(rows.sparkSession)
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
@@ -148,6 +151,7 @@ def train(rows: DataFrame, rows_per_lang: int = 1500, bytes_per_row: int = 8000,
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, bits_per_byte) of every row; the text is scored whole."""
+    common.small_batches(docs.sparkSession)
     kinds = f"id {dict(docs.dtypes)[id_col]}, lang_pred string, score double, bits_per_byte double"
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     if model is None:

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from careweave.llm import common as shared
+
 #: Common words of each language in its reference.
 TOP_WORDS = 120
 #: Largest distance from the nearest language, and least length for the comparison.
@@ -107,6 +109,7 @@ def _normal(counts: np.ndarray) -> np.ndarray:
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top: int = TOP_WORDS) -> dict | None:
     """Histograms of the languages, counted over all documents: for each language its
     character classes, its ``top`` words with counts, and the count of its other words."""
+    shared.small_batches(docs.sparkSession)
     kind = "lang string, word binary, n long"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,6 +177,7 @@ class _Judge:
 def judge(docs: DataFrame, refs: dict | None, id_col: str = "doc_id", text_col: str = "text", max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
     """(id, base counts, base_failed, kept, char_distance, word_distance) of every row.
     A distance is null where its guard forbids the comparison."""
+    shared.small_batches(docs.sparkSession)
     judge_ = docs.sparkSession.sparkContext.broadcast(_Judge(refs) if refs else None)
     names = ["id", *_BASE, "base_failed", "kept", "char_distance", "word_distance"]
 

@@ -219,6 +219,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
         fs.move(temp, name)
         yield pa.RecordBatch.from_pylist([{"path": f"{folder}/shard-{number:06d}.sst", "shard": number, "n_docs": writer.n_docs, "n_tokens": writer.n_tokens, "n_bytes": writer.at}], _SHARD)
 
+    common.small_batches(docs.sparkSession)
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("tie"))
     dealt = picked.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
     made = dealt.mapInArrow(write, "path string, shard int, n_docs long, n_tokens long, n_bytes long")

@@ -338,6 +338,7 @@ def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     (key, n_removed, n_spans, kept, kept_sha256).
 
     ``whole_characters``: a removed run is shrunk so as not to split a UTF-8 character."""
+    common.small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), common.text_key(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     found = common.written(_anchor_rows(rows, length), "anchors")
     shared = found.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")

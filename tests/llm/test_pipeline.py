@@ -1,0 +1,38 @@
+"""Each stage on odd rows; stages one after another."""
+
+import corpus_pipeline
+from test_operators import ROWS, brute_links, table  # noqa: F401
+
+
+def test_stages_keep_columns(spark):
+    docs = table(spark, ROWS)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+        assert stage(spark, docs.limit(0), "").count() == 0
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+    assert last.count() >= docs.count() > 0
+
+
+def test_language_rejects_only_texts_without_letters(spark):
+    out = corpus_pipeline.language(spark, table(spark, ROWS), "").collect()
+    assert sorted(r["doc_id"] or 0 for r in out) == sorted(i or 0 for i, t, *_ in ROWS if any(c.isalpha() for c in t or ""))
+
+
+def test_near_copies_keep_one_of_each_class(spark):
+    _, roots = brute_links(ROWS)
+    out = corpus_pipeline.near_copies(spark, table(spark, ROWS), "").collect()
+    assert len(out) == len(set(roots)) and {r["doc_id"] for r in out} >= {5, 9, 10, 13, 14, 4}
+
+
+def test_repeats_leave_whole_characters(spark):
+    rows = [(i, f"é{i} " + "éèê" * 120 + f" ê{i} end", "fr", "a", 1) for i in (1, 2)]
+    out = {r["doc_id"]: r for r in corpus_pipeline.repeats(spark, table(spark, rows), "").collect()}
+    assert out[1]["text"] == "é11 end" and out[1]["n_chars"] == 7  # " " and "ê" stand in both
+
+
+def test_mix_repeats_rows(spark):
+    rows = [(i, "a b c", "en", "small" if i < 10 else "x", 1) for i in range(100)]
+    out = corpus_pipeline.mixed(spark, table(spark, rows), "").collect()
+    assert 60 <= len(out) <= 110
