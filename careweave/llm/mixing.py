@@ -168,7 +168,8 @@ def mix(docs: DataFrame, sources: Column, size: Column, weights=WEIGHTS, most: i
     lines = [(name, *(divmod(got[name], tokens) if tokens else (0, 0))) for name, (_, tokens) in patterns.items()]
     plan = spark.createDataFrame(lines, "pattern string, whole long, rest long")
 
-    by_bucket = rows.groupBy("pattern", "bucket").agg(F.sum("size").alias("tokens"))
+    # written, so that the sums are dealt by pattern and bucket, not by pattern alone
+    by_bucket = common.written(rows.groupBy("pattern", "bucket").agg(F.sum("size").alias("tokens")), "mix")
     upto = F.sum("tokens").over(Window.partitionBy("pattern").orderBy("bucket"))
     cut = (
         by_bucket.withColumn("upto", upto)
