@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from careweave.llm import common, graph
+from careweave.llm import common, graph, tokens
 
 SHINGLE = 5
 THRESHOLD = (4, 5)  # 0.8, as a fraction
@@ -114,15 +114,16 @@ def _paths(rows: DataFrame, runs: int, levels: int) -> DataFrame:
     """(key, path): the nodes that each of rows (key, text) reaches after ``levels``."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.let_go()
         for b in batches:
             done, found = set(), []
             keys = b.column(0).to_pylist()
             for key, t in zip(keys, b.column(1), strict=True):
-                tokens = shingles(t.as_buffer().to_pybytes()) if key not in done else ()
+                members = shingles(t.as_buffer().to_pybytes()) if key not in done else ()
                 done.add(key)
                 nodes = _start(runs)
                 for _ in range(levels):
-                    nodes = descend(nodes, tokens) if len(tokens) and len(nodes) else nodes[:0]
+                    nodes = descend(nodes, members) if len(members) and len(nodes) else nodes[:0]
                 found.append(nodes)
             sizes = np.array([len(n) for n in found])
             path = np.concatenate(found) if found else np.zeros(0, np.uint64)

@@ -10,7 +10,8 @@ The model is fitted on the driver on a bounded sample of labelled rows (``max_ro
 smallest hash of the identifier); every text is read whole and scored on the executors.
 
 Defined cases: a null text is an empty text, which is scored too; rows without a label,
-or with a null one, don't train; conflicting labels of repeated rows all count; with no
+or with a null one, don't train; conflicting labels all count, rows of equal
+identifier once for each label; with no
 label at all every score is 0.5; an empty table gives an empty table; other columns
 are not looked at.
 """
@@ -161,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: st
     chosen = usable.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id", "label").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     # at most max_rows pairs of numbers are sent to the executors
-    got = _featured(texts.join(F.broadcast(chosen), "id").select("id", "text", "label")).select("id", "x", "label").toPandas().sort_values(["id", "label"])
+    got = _featured(texts.join(F.broadcast(chosen), "id").select("id", "text", "label")).groupBy("id", "label").agg(F.min("x").alias("x")).toPandas().sort_values(["id", "label"])
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(FEATURES))
     return fit(x, got["label"].to_numpy(float)) if len(got) else fit(np.zeros((0, len(FEATURES))), np.zeros(0))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careweave.llm import common
+from careweave.llm import common, tokens
 
 ORDER = 3
 UNKNOWN = "und"
@@ -47,6 +47,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
     schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.let_go()
         for b in batches:
             langs = np.array(b.column(0).to_pylist(), object)
             texts = [t.as_buffer().to_pybytes() for t in b.column(1)]
@@ -141,7 +142,7 @@ def train(rows: DataFrame, rows_per_lang: int = 1500, bytes_per_row: int = 8000,
     share: Column = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, rows_per_lang / n))).otherwise(share)
-    chosen = F.pmod(F.xxhash64(F.lit("ppm"), F.col(id_col)), F.lit(1 << 20)) < share * (1 << 20)
+    chosen = F.pmod(F.xxhash64(F.lit("ppm"), F.col(id_col), "text"), F.lit(1 << 20)) < share * (1 << 20)
     part = F.substring(F.col("text").cast("binary"), 1, bytes_per_row)
     counted = count_grams(rows.where(chosen).select("lang", part.alias("text"))).toPandas()
     if not len(counted):
@@ -159,6 +160,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.let_go()
         m = shared.value
         names = np.array(m.langs, object)
         for b in batches:

@@ -79,4 +79,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL of the operators that SQL can express. The others need a tokenizer, a learned
+#: model, a media format or a hash that DuckDB lacks; tests compare them with brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op3_chosen_path_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
+e AS (SELECT doc_id, unnest(g) AS x, len(g) AS n FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb
+      FROM e a JOIN e b USING (x) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 5 * c >= 4 * (na + nb - c) UNION SELECT x.doc_id, y.doc_id FROM d x JOIN d y ON x.t = y.t AND x.doc_id <> y.doc_id),
+cc AS (SELECT doc_id AS v, doc_id AS r FROM d UNION SELECT l.b, cc.r FROM cc JOIN l ON l.a = cc.v),
+k AS (SELECT v, min(r) AS class_id, count(*) AS n_class FROM cc GROUP BY v),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT v AS doc_id, class_id, coalesce(n_links, 0) AS n_links, n_class FROM k LEFT JOIN n ON n.a = k.v""",
+    "op8_suffix_substrings": r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(lower(hex(array_slice(b, i + 1, i + 400)))) AS h FROM d, unnest(range(0, n - 399)) AS u(i)),
+f AS (SELECT doc_id, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+g AS (SELECT *, sum(CASE WHEN i <= before + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS span
+      FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM f)),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS z FROM g GROUP BY doc_id, span),
+q AS (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans, list(a ORDER BY a) AS starts, list(z ORDER BY a) AS ends FROM s GROUP BY doc_id),
+r AS (SELECT d.doc_id, n, b, coalesce(removed, 0) AS removed, coalesce(spans, 0) AS spans, list_concat([0], coalesce(ends, [])) AS from_, list_concat(coalesce(starts, []), [n]) AS to_ FROM d LEFT JOIN q USING (doc_id))
+SELECT doc_id, n AS n_bytes, CAST(removed AS BIGINT) AS n_removed, spans AS n_spans,
+  sha256(unhex(array_to_string(list_transform(range(1, len(to_) + 1), lambda k: hex(array_slice(b, from_[k] + 1, to_[k]))), ''))) AS kept_sha256 FROM r""",
+}

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from careweave.llm import common
+from careweave.llm import common, tokens
 from careweave.llm.chosen_path import _B, _byte_values, _powers, mixed
 
 LENGTH, GRAM = 400, 145
@@ -212,6 +212,7 @@ def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
     """(key, hash, n): the anchors of every text of at least ``length`` bytes."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.let_go()
         for b in batches:
             sizes, found, counts = [], [], []
             for t in b.column(1):

@@ -11,7 +11,6 @@ The result is what the library gives for the whole text, as the tests check.
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 
@@ -136,7 +135,18 @@ class Encoder:
         return out
 
 
-@functools.cache
+_KEPT: dict[str, Encoder] = {}
+
+
 def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker and vocabulary."""
-    return Encoder(path)
+    """One encoder for each Python worker, that of the last vocabulary asked for."""
+    if path not in _KEPT:
+        let_go()
+        _KEPT[path] = Encoder(path)
+    return _KEPT[path]
+
+
+def let_go() -> None:
+    """Frees the encoder. A Python worker goes on with other operators' tasks, which call
+    this so that the caches of one don't stand beside the data of another."""
+    _KEPT.clear()
