@@ -33,6 +33,8 @@ WEIGHTS = (5, 2, 1)
 BUCKET_BITS = 12
 #: Single documents that may still be added to each pattern, until its sum is this near.
 FILLING_ROUNDS, NEAR = 8, 0.0005
+#: Lines about patterns are broadcast up to this number.
+BROADCAST_ROWS = 10_000
 
 
 def code_point_order(sources) -> list[str | None]:
@@ -125,6 +127,11 @@ def _flow(patterns, quotas, most):
             cap[e ^ 1] += amount
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """To be broadcast if it has so few rows; else joined as any other table."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def _marks(picks: DataFrame) -> DataFrame:
     return picks.distinct().select(*(F.col(c).alias(f"of_{c}") for c in picks.columns), F.lit(1).alias("marked"))
 
@@ -166,23 +173,26 @@ def mix(docs: DataFrame, sources: Column, size: Column, weights=WEIGHTS, most: i
     for (name, _), tokens in flow.items():
         got[name] += tokens
     lines = [(name, *(divmod(got[name], tokens) if tokens else (0, 0))) for name, (_, tokens) in patterns.items()]
-    plan = spark.createDataFrame(lines, "pattern string, whole long, rest long")
+    plan = small(spark.createDataFrame(lines, "pattern string, whole long, rest long"), len(lines))
 
     # written, so that the sums are dealt by pattern and bucket, not by pattern alone
     by_bucket = common.written(rows.groupBy("pattern", "bucket").agg(F.sum("size").alias("tokens")), "mix")
     upto = F.sum("tokens").over(Window.partitionBy("pattern").orderBy("bucket"))
-    cut = (
+    found = (
         by_bucket.withColumn("upto", upto)
         .join(plan, "pattern")
         .where("upto > rest")
         .groupBy("pattern")
         .agg(F.min("bucket").alias("cut"), F.min_by(F.col("upto") - F.col("tokens"), F.col("bucket")).alias("below"))
     )
-    planned = rows.join(plan.join(cut, "pattern", "left"), "pattern")
-    whole = F.col("bucket") < F.coalesce("cut", F.lit(1 << BUCKET_BITS))
-    sure = planned.where("cut IS NULL OR bucket <> cut").withColumn("once", (whole & (F.col("rest") > 0)).cast("long"))
+    cut = {r["pattern"]: (r["cut"], r["below"]) for r in found.collect()}  # again a line for each pattern
+    lines = [(*line, *cut.get(line[0], (1 << BUCKET_BITS, 0))) for line in lines]
+    plan = small(spark.createDataFrame(lines, "pattern string, whole long, rest long, cut long, below long"), len(lines))
+    sure = rows.join(plan, "pattern").where("bucket <> cut").withColumn("once", ((F.col("bucket") < F.col("cut")) & (F.col("rest") > 0)).cast("long"))
     run = F.sum("size").over(Window.partitionBy("pattern").orderBy("order", "id").rowsBetween(Window.unboundedPreceding, 0))
-    at_cut = planned.where("bucket = cut").withColumn("once", ((run + F.col("below") <= F.col("rest")) & (F.col("rest") > 0)).cast("long"))
+    # joined by bucket too, so that only the rows at the cut are dealt by pattern
+    at_cut = rows.join(plan.withColumn("bucket", F.col("cut")), ["pattern", "bucket"])
+    at_cut = at_cut.withColumn("once", ((run + F.col("below") <= F.col("rest")) & (F.col("rest") > 0)).cast("long"))
     chosen = common.written(sure.unionByName(at_cut).select("id", "pattern", "size", "order", "whole", "rest", "once"), "mix")
     # then, a few times, the one row of each pattern that brings its sum nearest to the rest
     gap = {r["pattern"]: (r["gap"], r["rest"]) for r in chosen.groupBy("pattern").agg(F.first("rest").alias("rest"), (F.first("rest") - F.sum(F.col("once") * F.col("size"))).alias("gap")).collect()}

@@ -32,7 +32,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     mixed, sizes, goal = mixing.mix(docs, F.array("source"), common.word_count("text"))
     lines = [(json.dumps([s], ensure_ascii=False), sizes[s], goal[s]) for s in sizes]
-    by_source = spark.createDataFrame(lines, "pattern string, source_size long, target double")
+    by_source = mixing.small(spark.createDataFrame(lines, "pattern string, source_size long, target double"), len(lines))
     return mixed.join(by_source, "pattern").select("doc_id", "size", "source_size", "target", "taken")
 
 
