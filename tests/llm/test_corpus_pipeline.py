@@ -1,7 +1,7 @@
 """Each stage on odd rows; stages one after another."""
 
 import corpus_pipeline
-from test_operators import ROWS, brute_links, table  # noqa: F401
+from test_corpus_operators import ROWS, brute_links, table
 
 
 def test_stages_keep_columns(spark):
