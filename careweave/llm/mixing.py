@@ -6,9 +6,12 @@
    repetition costs r (convex), so flow repeats documents only where it must. Patterns
    that share no source are separate components and are solved one by one.
 3. A pattern that got k whole repetitions and a rest takes every document k times and
-   a seeded choice once more. The choice is a hash order: whole hash buckets below the
-   cut, then single documents of the bucket at the cut, then the few documents that
-   bring the sum nearest to the rest. No window is larger than a 4096th of a pattern.
+   a seeded choice once more. The choice is first fit in a hash order: the documents
+   before the first that overshoots the rest, then from there on those no longer than
+   what is still missing, and so on until the sum is near or the order ends. Each of
+   these passes sums hash buckets and then looks into the one where it stops, so no
+   window is larger than a 4096th of a pattern. At last chosen documents are traded for
+   others, looking only at the lengths that occur, while that brings the sum nearer.
 
 Defined cases: a null text has size 0; a document in no source, or in the null source
 (which comes last), is a pattern like others; repeated rows count each, and identical
@@ -22,6 +25,7 @@ import json
 from collections import defaultdict, deque
 from itertools import cycle
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,8 +35,10 @@ from careweave.llm import common
 WEIGHTS = (5, 2, 1)
 #: Hash buckets of a pattern: 2**12.
 BUCKET_BITS = 12
-#: Single documents that may still be added to each pattern, until its sum is this near.
-FILLING_ROUNDS, NEAR = 8, 0.0005
+#: A pattern's choice is corrected until its sum is this near to the rest.
+NEAR = 0.0005
+#: The least and the greatest hash.
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 #: Lines about patterns are broadcast up to this number.
 BROADCAST_ROWS = 10_000
 
@@ -132,16 +138,53 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _marks(picks: DataFrame) -> DataFrame:
-    return picks.distinct().select(*(F.col(c).alias(f"of_{c}") for c in picks.columns), F.lit(1).alias("marked"))
+def trades(gap: int, near: float, taken: dict[int, int], spare: dict[int, int]) -> tuple[list[int], int]:
+    """Rows to be turned over (chosen or not), and the gap then: one row out and one in,
+    or only one of these, as often as that brings the gap nearer to 0.
 
-
-def _same(rows: DataFrame) -> Column:
-    return (F.col("pattern") == F.col("of_pattern")) & (F.col("order") == F.col("of_order")) & rows["id"].eqNullSafe(F.col("of_id"))
+    taken, spare: length to a row of this length that is chosen, and that isn't."""
+    taken, spare, turned = dict(taken), dict(spare), []
+    while abs(gap) > near:
+        out, into = np.array(sorted({0, *taken})), np.array(sorted({0, *spare}))
+        at = np.searchsorted(into, gap + out)
+        both = np.stack([into[(at - 1).clip(min=0)], into[at.clip(max=len(into) - 1)]])
+        off = np.abs(gap + out - both)
+        side, k = np.unravel_index(off.argmin(), off.shape)
+        if off[side, k] >= abs(gap):
+            break
+        gap += int(out[k] - both[side, k])
+        turned += [rows.pop(int(n)) for rows, n in ((taken, out[k]), (spare, both[side, k])) if n]
+    return turned, gap
 
 
-def _unmarked(rows: DataFrame, marks: DataFrame) -> DataFrame:
-    return rows.join(marks, _same(rows), "left_anti")
+def first_fit(rows: DataFrame, rests: dict[str, int]) -> tuple[dict[str, list[tuple[int, int, int]]], dict[str, int]]:
+    """Of each pattern: spans (begin, end, longest) of the hash order, in which the rows no
+    longer than ``longest`` are chosen; and what the chosen ones lack to the rest."""
+    spark = rows.sparkSession
+    gap, begin = dict(rests), dict.fromkeys(rests, LEAST)
+    spans: dict[str, list[tuple[int, int, int]]] = {name: [] for name in rests}
+    upto = F.sum("tokens").over(Window.partitionBy("pattern").orderBy("bucket"))
+    # rows of one hash are chosen alike
+    run = F.sum("unit").over(Window.partitionBy("pattern").orderBy("order"))
+    while wanting := [(name, begin[name], g) for name, g in gap.items() if g > NEAR * rests[name] and begin[name] <= MOST]:
+        fits = "order >= begin AND unit > 0 AND unit <= gap"
+        asked = small(spark.createDataFrame(wanting, "pattern string, begin long, gap long"), len(wanting))
+        # written, so that the sums are dealt by pattern and bucket, not by pattern alone
+        by_bucket = common.written(rows.join(asked, "pattern").where(fits).groupBy("pattern", "bucket", "gap").agg(F.sum("unit").alias("tokens")), "mix")
+        found = by_bucket.withColumn("upto", upto).groupBy("pattern")
+        found = found.agg(F.min(F.when(F.col("upto") > F.col("gap"), F.col("bucket"))).alias("cut"), F.max(F.when(F.col("upto") <= F.col("gap"), F.col("upto"))).alias("below"))
+        cut = {r["pattern"]: (r["cut"], r["below"] or 0) for r in found.collect()}  # a line for each pattern
+        lines = [(*line, *cut[line[0]]) for line in wanting if line[0] in cut and cut[line[0]][0] is not None]
+        # joined by bucket too, so that only the rows at the cut are dealt by pattern
+        at_cut = rows.join(small(spark.createDataFrame(lines, "pattern string, begin long, gap long, bucket long, below long"), len(lines)), ["pattern", "bucket"]).where(fits).withColumn("upto", run + F.col("below"))
+        found = at_cut.groupBy("pattern").agg(F.min(F.when(F.col("upto") > F.col("gap"), F.col("order"))).alias("stop"), F.max(F.when(F.col("upto") <= F.col("gap"), F.col("upto"))).alias("upto"))
+        stop = {r["pattern"]: (r["stop"], r["upto"]) for r in found.collect()} if lines else {}
+        for name, first, g in wanting:
+            below = cut.get(name, (None, 0))[1]
+            end, got = stop.get(name, (MOST + 1, below))
+            spans[name].append((first, end - 1, g))
+            gap[name], begin[name] = g - (below if got is None else got), end + 1
+    return spans, gap
 
 
 def mix(docs: DataFrame, sources: Column, size: Column, weights=WEIGHTS, most: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict, dict]:
@@ -150,18 +193,18 @@ def mix(docs: DataFrame, sources: Column, size: Column, weights=WEIGHTS, most: i
     ``sources`` is an array of source names. ``taken`` is the size times the number of
     repetitions, from 0 to ``most``; ``order`` is the hash by which rows were chosen."""
     spark = docs.sparkSession
-    rows = common.written(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.to_json(F.array_sort(F.array_distinct(sources))).alias("pattern"),
-            size.cast("long").alias("size"),
-            F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("order"),
-        ),
-        "mix",
-    ).withColumn("bucket", F.shiftrightunsigned("order", 64 - BUCKET_BITS))
+    rows = docs.select(
+        F.col(id_col).alias("id"),
+        F.to_json(F.array_sort(F.array_distinct(sources))).alias("pattern"),
+        size.cast("long").alias("size"),
+        F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("order"),
+    )
+    # identical rows are one that carries their number
+    rows = common.written(rows.groupBy("id", "pattern", "size", "order").agg(F.count("*").cast("int").alias("copies")), "mix")
+    rows = rows.withColumn("unit", F.col("size") * F.col("copies")).withColumn("bucket", F.shiftright("order", 64 - BUCKET_BITS))
 
     # one line for each pattern; patterns are few next to documents
-    patterns = {r["pattern"]: (tuple(json.loads(r["pattern"])), r["tokens"]) for r in rows.groupBy("pattern").agg(F.sum("size").alias("tokens")).collect()}
+    patterns = {r["pattern"]: (tuple(json.loads(r["pattern"])), r["tokens"]) for r in rows.groupBy("pattern").agg(F.sum("unit").alias("tokens")).collect()}
     sizes: dict[str | None, int] = defaultdict(int)
     for members, tokens in patterns.values():
         for s in members:
@@ -173,45 +216,20 @@ def mix(docs: DataFrame, sources: Column, size: Column, weights=WEIGHTS, most: i
     for (name, _), tokens in flow.items():
         got[name] += tokens
     lines = [(name, *(divmod(got[name], tokens) if tokens else (0, 0))) for name, (_, tokens) in patterns.items()]
-    plan = small(spark.createDataFrame(lines, "pattern string, whole long, rest long"), len(lines))
-
-    # written, so that the sums are dealt by pattern and bucket, not by pattern alone
-    by_bucket = common.written(rows.groupBy("pattern", "bucket").agg(F.sum("size").alias("tokens")), "mix")
-    upto = F.sum("tokens").over(Window.partitionBy("pattern").orderBy("bucket"))
-    found = (
-        by_bucket.withColumn("upto", upto)
-        .join(plan, "pattern")
-        .where("upto > rest")
-        .groupBy("pattern")
-        .agg(F.min("bucket").alias("cut"), F.min_by(F.col("upto") - F.col("tokens"), F.col("bucket")).alias("below"))
-    )
-    cut = {r["pattern"]: (r["cut"], r["below"]) for r in found.collect()}  # again a line for each pattern
-    lines = [(*line, *cut.get(line[0], (1 << BUCKET_BITS, 0))) for line in lines]
-    plan = small(spark.createDataFrame(lines, "pattern string, whole long, rest long, cut long, below long"), len(lines))
-    sure = rows.join(plan, "pattern").where("bucket <> cut").withColumn("once", ((F.col("bucket") < F.col("cut")) & (F.col("rest") > 0)).cast("long"))
-    run = F.sum("size").over(Window.partitionBy("pattern").orderBy("order", "id").rowsBetween(Window.unboundedPreceding, 0))
-    # joined by bucket too, so that only the rows at the cut are dealt by pattern
-    at_cut = rows.join(plan.withColumn("bucket", F.col("cut")), ["pattern", "bucket"])
-    at_cut = at_cut.withColumn("once", ((run + F.col("below") <= F.col("rest")) & (F.col("rest") > 0)).cast("long"))
-    chosen = common.written(sure.unionByName(at_cut).select("id", "pattern", "size", "order", "whole", "rest", "once"), "mix")
-    # then, a few times, the one row of each pattern that brings its sum nearest to the rest
-    gap = {r["pattern"]: (r["gap"], r["rest"]) for r in chosen.groupBy("pattern").agg(F.first("rest").alias("rest"), (F.first("rest") - F.sum(F.col("once") * F.col("size"))).alias("gap")).collect()}
-    picks: list[tuple] = []
-    pick_type = f"pattern string, order long, id {dict(chosen.dtypes)['id']}"
-    for _ in range(FILLING_ROUNDS):
-        wanting = [(name, g) for name, (g, rest) in gap.items() if g > NEAR * rest]
-        if not wanting:
-            break
-        taken_rows = _marks(spark.createDataFrame(picks, pick_type))
-        spare = _unmarked(chosen.where("once = 0 AND size > 0"), taken_rows).join(spark.createDataFrame(wanting, "pattern string, gap long"), "pattern")
-        nearest = spare.where("abs(gap - size) < abs(gap)").groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "order", "id", "size")).alias("x"))
-        found = nearest.select("pattern", "x.order", "x.id", "x.size").collect()
-        for r in found:
-            picks.append((r["pattern"], r["order"], r["id"]))
-            gap[r["pattern"]] = (gap[r["pattern"]][0] - r["size"], gap[r["pattern"]][1])
-        if not found:
-            break
-    marked = chosen.join(_marks(spark.createDataFrame(picks, pick_type)), _same(chosen), "left")
-    once = F.greatest(F.col("once"), F.coalesce("marked", F.lit(0)).cast("long"))
-    out = marked.select(F.col("id").alias(id_col), "pattern", "size", "order", ((F.col("whole") + once) * F.col("size")).alias("taken"))
+    rests = {name: rest for name, _, rest in lines if rest}
+    spans, gap = first_fit(rows, rests)
+    plan = small(spark.createDataFrame([(name, whole, spans.get(name, [])) for name, whole, _ in lines], "pattern string, whole long, spans array<struct<begin:long,end:long,longest:long>>"), len(lines))
+    chosen = rows.join(plan, "pattern").withColumn("once", F.exists("spans", lambda x: F.col("order").between(x["begin"], x["end"]) & (F.col("unit") <= x["longest"])))
+    # one row of each length that occurs in the patterns that are not near yet
+    wanting = [(name,) for name, g in gap.items() if g > NEAR * rests[name]]
+    lengths: dict[str, tuple[dict, dict]] = defaultdict(lambda: ({}, {}))
+    if wanting:
+        some = chosen.where("unit > 0").join(small(spark.createDataFrame(wanting, "pattern string"), len(wanting)), "pattern")
+        for r in some.groupBy("pattern", "unit", "once").agg(F.min("order").alias("order")).collect():
+            lengths[r["pattern"]][0 if r["once"] else 1][r["unit"]] = r["order"]
+    turned = [(name, order, True) for name, (taken, spare) in lengths.items() for order in trades(gap[name], NEAR * rests[name], taken, spare)[0]]
+    chosen = chosen.join(small(spark.createDataFrame(turned, "pattern string, order long, turned boolean"), len(turned)), ["pattern", "order"], "left")
+    once = (F.col("once") != F.coalesce("turned", F.lit(False))).cast("long")
+    out = chosen.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    out = out.select(F.col("id").alias(id_col), "pattern", "size", "order", ((F.col("whole") + once) * F.col("size")).alias("taken"))
     return out, dict(sizes), goal

@@ -123,6 +123,20 @@ def test_mixing_of_overlapping_sources(spark):
     assert sizes == {"x": 1600, "y": 1600} and abs(out.agg(F.sum("taken")).first()[0] - sum(goal.values())) <= 8
 
 
+def test_mixing_with_one_giant_document(spark):
+    from pyspark.sql import functions as F
+
+    # 30 sources of 500 documents of about 400 words and one of 20,000
+    docs = spark.range(30 * 501).selectExpr("id AS doc_id", "'' AS text", "concat('s', id div 501) AS source", "IF(id % 501 = 0, 20000, 200 + pmod(xxhash64(id), 401)) AS n")
+    out, sizes, goal = mixing.mix(docs, F.array("source"), F.col("n"))
+    taken = {r["pattern"]: r["t"] for r in out.groupBy("pattern").agg(F.sum("taken").alias("t")).collect()}
+    for s, want in goal.items():
+        assert abs(taken[f'["{s}"]'] - want) <= 0.001 * want
+    same = spark.range(3000).selectExpr("id % 30 AS doc_id", "'' AS text", "'a' AS source", "5L AS n").union(docs.where("doc_id < 501"))
+    out, sizes, goal = mixing.mix(same, F.array("source"), F.col("n"), weights=(1, 1))
+    assert out.count() == 3501 and out.where("pattern = '[\"a\"]'").select("doc_id", "taken").distinct().count() == 30
+
+
 def test_language_of_odd_rows(spark, odd, empty):
     model = ppm.train(odd)
     out = sorted(ppm.predict(odd, model).collect(), key=key)
