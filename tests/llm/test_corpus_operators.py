@@ -188,6 +188,19 @@ def test_chunk_dedup_of_odd_rows(odd, empty):
     assert cdc.dedup(empty).count() == 0
 
 
+def test_chunk_dedup_of_short_passages(spark):
+    rows, planted = [], 200
+    for i in range(planted):  # 51 words in two surroundings of 20 words each
+        p = words(51, 1000 + i)
+        for j in (0, 1):
+            rows.append((2 * i + j, words(20, 5000 + 4 * i + 2 * j) + " " + p + " " + words(20, 5001 + 4 * i + 2 * j), "en", "a", 1))
+    out = {r["doc_id"]: r for r in cdc.dedup(table(spark, rows)).collect()}
+    sizes = [len(words(51, 1000 + i)) for i in range(planted)]
+    gone = [out[2 * i + 1]["n_removed"] for i in range(planted)]
+    assert not any(out[2 * i]["n_removed"] for i in range(planted))
+    assert sum(g >= n for g, n in zip(gone, sizes, strict=True)) >= 0.98 * planted, (sum(gone) / sum(sizes), sum(g == 0 for g in gone))
+
+
 def sets_of(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
