@@ -5,7 +5,8 @@ tokens with probability 1 / (LAMBDA * size) by a hash of node and token, and goe
 one child for each chosen token. Sets of similarity s share s / LAMBDA children of a
 shared node on average, so similar sets keep meeting while others part; the number of
 runs follows from the wanted recall at the threshold. Nodes that still hold very many
-sets after the first levels are split further, level by level.
+sets after the first levels are split further, level by level; sets that walk on do so in
+as many runs as the recall needs at the greater depth.
 
 What meets in a bucket is a candidate. Candidates are joined to candidate components,
 and all pairs of a component are compared exactly, block against block, so a component
@@ -132,19 +133,28 @@ def _paths(rows: DataFrame, runs: int, levels: int) -> DataFrame:
     return rows.select("key", "text").mapInArrow(walk, "key binary, path long")
 
 
-def candidate_edges(rows: DataFrame, runs: int, levels: int = LEVELS, large: int = LARGE, more: int = MORE_LEVELS) -> DataFrame:
+def _nodes(paths: DataFrame) -> DataFrame:
+    """(path, least, n): the nodes in which different keys meet."""
+    return paths.groupBy("path").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count("*").alias("n")).where("least <> most").drop("most")
+
+
+def candidate_edges(rows: DataFrame, recall: float, levels: int = LEVELS, large: int = LARGE, more: int = MORE_LEVELS) -> DataFrame:
     """(u, v): each key with the least key of every bucket that it is in."""
     edges, asked, depth = None, rows, levels
     while True:
-        paths = common.written(_paths(asked, runs, depth), "paths")
-        nodes = paths.groupBy("path").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count("*").alias("n")).where("least <> most")
-        last = depth >= levels + more
+        paths = common.written(_paths(asked, runs_for(recall, THRESHOLD[0] / THRESHOLD[1], LAMBDA, depth), depth), "paths")
+        nodes, last = _nodes(paths), depth >= levels + more
+        if not last and not nodes.where(F.col("n") > large).isEmpty():
+            # copies of a text in several batches are not several sets
+            paths = common.written(paths.distinct(), "paths")
+            nodes = _nodes(paths)
         here = paths.join(nodes if last else nodes.where(F.col("n") <= large), "path").where("key <> least").select(F.col("key").alias("u"), F.col("least").alias("v")).distinct()
         edges = here if edges is None else edges.union(here)
         crowded = nodes.where(F.col("n") > large)
         if last or crowded.isEmpty():
             return edges
-        # sets in crowded nodes walk on; the deeper nodes lie below those they were in
+        # sets in crowded nodes walk on; the deeper nodes lie below those they were in, or
+        # in the runs that are added
         asked = rows.join(paths.join(crowded.select("path"), "path").select("key").distinct(), "key", "left_semi")
         depth += 3
 
@@ -244,7 +254,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rec
     common.small_batches(docs.sparkSession)
     rows = _rows(docs, id_col, text_col)
     copies = common.written(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.max(F.length("text")).alias("size")), "copies")
-    edges = candidate_edges(rows, runs_for(recall, THRESHOLD[0] / THRESHOLD[1], LAMBDA, LEVELS), large=large)
+    edges = candidate_edges(rows, recall, large=large)
     members = graph.components(edges).select(F.col("v").alias("key"), F.col("root").alias("component"))
     found = common.written(verified(rows, members, copies), "links")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))

@@ -251,6 +251,22 @@ def test_jaccard_join_of_a_large_group(spark):
     assert [got[i]["n_links"] for i in range(400)] == links and [got[i]["class_id"] for i in range(400)] == roots
 
 
+def test_jaccard_recall_in_crowded_nodes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = []
+    for i in range(400):  # pairs of similarity 156 / 194, all of whose nodes are crowded
+        base = " ".join(f"{i}w{k}" for k in range(160))
+        rows += [(2 * i + j, base + "".join(f" {i}x{j}y{k}" for k in range(19)), "en", "a", 1) for j in (0, 1)]
+    docs = table(spark, rows)
+    assert chosen_path.join(docs, large=1).where("n_links = 1").count() >= 0.97 * len(rows)
+    # copies of a text are one set
+    depths, paths = [], chosen_path._paths
+    monkeypatch.setattr(chosen_path, "_paths", lambda rows, runs, levels: (depths.append(levels), paths(rows, runs, levels))[1])
+    copies = docs.where("doc_id < 2").withColumn("text", F.explode(F.array_repeat("text", 20))).repartition(8)
+    assert chosen_path.join(copies, large=4).where("n_links = 39").count() == 40 and depths == [chosen_path.LEVELS]
+
+
 def brute_strip(rows, length):
     seen = Counter()
     texts = [(t or "").encode() for _, t, *_ in rows]
