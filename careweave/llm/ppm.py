@@ -9,7 +9,7 @@ one with the shortest code; each byte costs one look into a table that holds the
 code lengths of all (context node, byte) pairs, so scoring is vectorised.
 
 Training looks at a bounded sample (``rows_per_lang`` rows of each language, chosen by
-a hash, and the first ``bytes_per_row`` bytes of these); every text is scored whole.
+a hash, and the whole texts of these); every text is scored whole.
 
 Defined cases: a null text, and one without a letter, is ``und`` with score 0; repeated
 rows get equal answers; with no usable training row all is ``und``; an empty table gives
@@ -132,7 +132,7 @@ class Model:
         return out
 
 
-def train(rows: DataFrame, rows_per_lang: int = 1500, bytes_per_row: int = 8000, id_col: str = "doc_id") -> Model | None:
+def train(rows: DataFrame, rows_per_lang: int = 1500, id_col: str = "doc_id") -> Model | None:
     """A model of the languages in rows (id, text, lang); None without a usable row."""
     common.small_batches(rows.sparkSession)
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
@@ -143,8 +143,7 @@ def train(rows: DataFrame, rows_per_lang: int = 1500, bytes_per_row: int = 8000,
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, rows_per_lang / n))).otherwise(share)
     chosen = F.pmod(F.xxhash64(F.lit("ppm"), F.col(id_col), "text"), F.lit(1 << 20)) < share * (1 << 20)
-    part = F.substring(F.col("text").cast("binary"), 1, bytes_per_row)
-    counted = count_grams(rows.where(chosen).select("lang", part.alias("text"))).toPandas()
+    counted = count_grams(rows.where(chosen).select("lang", "text")).toPandas()
     if not len(counted):
         return None
     return Model({lang: (g["gram"].to_numpy(np.int64), g["n"].to_numpy(np.int64)) for lang, g in counted.groupby("lang")})

@@ -148,6 +148,12 @@ def test_language_of_odd_rows(spark, odd, empty):
     assert ppm.predict(empty, model).count() == 0
 
 
+def test_language_of_texts_with_a_long_foreign_header(spark):
+    header = "lorem ipsum dolor " * 500  # 9,000 bytes
+    docs = table(spark, [(1, header, "xx", "a", 1), (2, header + "zwykq jvuzh " * 900, "yy", "a", 1), (3, "zwykq jvuzh " * 9, None, "a", 1)])
+    assert {r["doc_id"]: r["lang_pred"] for r in ppm.predict(docs, ppm.train(docs)).collect()}[3] == "yy"
+
+
 def test_quality_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(9, 1), (10, 1), (13, 0), (13, 1), (5, 0), (None, 1), (4, None)], "doc_id long, quality int")
     model = gam.train(odd, labels)
