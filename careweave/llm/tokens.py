@@ -1,11 +1,14 @@
 """Exact, memory-bounded encoding of many texts with a public tokenizer.
 
-The tokenizers library spends most of its time on merging the same words again and
-again. Both tokenizers used here never merge across the border between a character
-that isn't white space and white space after it, so a text may be encoded piece by
-piece; pieces are remembered in a bounded cache, and words not met before are encoded
-by the library many at a time. Wherever a text has anything but single blanks and
-single line ends between pieces, it is cut by the general rule or encoded whole.
+The tokenizers library spends most of its time on normalizing, cutting and merging the
+same words again and again. Both tokenizers used here never merge across the border
+between a character that isn't white space and white space after it, so a text may be
+encoded piece by piece. Arrow cuts the texts of a batch at single blanks and line ends and
+numbers the distinct pieces; their ids come from a bounded cache or, many new pieces at a
+time, from the library, and are put together by numpy. A new piece of plain letters with
+ASCII punctuation after it is cut by rule and given to the library's model without its
+normalizer and pattern; all others are encoded by the whole library. A text with other
+white space than single blanks and line ends is cut by the general rule.
 The result is what the library gives for the whole text, as the tests check.
 """
 
@@ -15,14 +18,37 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Unicode White_Space, which is what the tokenizers' patterns call white space.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _CHUNKS = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+").findall
 #: A word of Latin letters with ASCII punctuation after it. No apostrophe: it may begin
 #: a contraction. The border between the two is always a border of tokens.
-_PLAIN = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+_PLAIN = r"^(?P<line>\n?)(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!-&(-/:-@\[-`{-~]*)$"
 _ENDS_IN_SPACE = re.compile(f"[{_SPACE}]$").search
+#: A blank at which a long text may be cut.
+_BORDER = re.compile(f"(?<=[^{_SPACE}]) (?=[^{_SPACE}])")
+#: Stands between the parts of plain pieces, and before the first piece of a text.
+_CUT, _HEAD = "\x1f", "\0"
+#: Byte-level tokenizers number the bytes that don't print from 256 on.
+_UNPRINTED = [*range(33), *range(127, 161), 173]
+_SHIFTED = np.arange(256, dtype="<u4")
+_SHIFTED[_UNPRINTED] = 256 + np.arange(len(_UNPRINTED))
+_SHIFTED[ord(_CUT)] = ord(_CUT)
+
+
+def _strings(a: pa.Array) -> list[str]:
+    return a.to_numpy(zero_copy_only=False).tolist()
+
+
+def _byte_letters(text: str) -> str:
+    """The letters that byte-level tokenizers write for the bytes of letters, ASCII
+    punctuation, blanks and line ends."""
+    if text.isascii():
+        return text.replace(" ", "Ġ").replace("\n", "Ċ")
+    return _SHIFTED[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-32-le")
 
 
 class _Recent(dict):
@@ -36,104 +62,146 @@ class _Recent(dict):
             self.old = dict(self)
             self.clear()
 
-    def without(self, keys: set) -> set:
-        """Those of the keys that aren't here, after taking over those in ``old``."""
-        missing = keys.difference(self)
+    def found(self, keys: list[str]) -> tuple[list, list[int]]:
+        """Values of the keys, None for those that aren't here; the places of these."""
+        out = list(map(self.get, keys))
+        missing = [k for k, x in enumerate(out) if x is None]
         if self.old:
-            gone = missing.difference(self.old)
-            for k in missing.difference(gone):
-                self[k] = self.old[k]
-            missing = gone
-        return missing
+            for k in missing:
+                if (x := self.old.get(keys[k])) is not None:
+                    out[k] = self[keys[k]] = x
+            missing = [k for k in missing if out[k] is None]
+        return out, missing
 
 
 class Encoder:
     """Texts to token ids, each id as four little-endian bytes."""
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
+
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: The same merges for words that are cut, and if need be lower-cased, already.
+        self.merge = Tokenizer(self.lib.model)
+        self.merge.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(_CUT)
         vocab = self.lib.get_vocab()
         self.size = max(vocab.values()) + 1
         #: Word-end BPE drops white space and lower-cases; else a word carries its blank.
         self.ends = any(k.endswith("</w>") for k in vocab)
         self.border = np.zeros(self.size, bool)
         for k, i in vocab.items():
-            self.border[i] = k.endswith("</w>") if self.ends else k.startswith("Ġ")
-        self.newline = vocab.get("Ċ")
-        self.pieces, self.words, self.chunks = _Recent(most), _Recent(most), _Recent(most // 4)
+            self.border[i] = k.endswith("</w>") if self.ends else k.startswith("Ġ") or k == "Ċ"
+        self.pieces, self.chunks = _Recent(most), _Recent(most // 4)
 
     def _one(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_words(self, words: set[str]) -> None:
-        """Words are letters with a blank or line end before them, or lower-case letters."""
-        by_lead: dict[str, list[str]] = {}
-        for w in self.words.without(words):
-            by_lead.setdefault("" if self.ends else w[0], []).append(w)
-        for lead, ws in by_lead.items():
-            ids = np.array(self.lib.encode_batch_fast([(" " if self.ends else "").join(ws)], add_special_tokens=False)[0].ids, "<u4")
-            if self.ends:
-                cuts = np.flatnonzero(self.border[ids]) + 1
-                cuts = cuts[:-1] if len(cuts) and cuts[-1] == len(ids) else cuts
-            else:
-                cuts = np.flatnonzero(self.border[ids] if lead == " " else ids == self.newline)[1:]
-            if len(cuts) == len(ws) - 1:
-                data, ends = ids.tobytes(), [*(cuts * 4).tolist(), 4 * len(ids)]
-                self.words.update(zip(ws, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
-            else:
-                for w in ws:
-                    self.words[w] = self._one(w)
-
-    def _learn_pieces(self, pieces: set[str]) -> None:
-        plain: dict[str, tuple[str, str]] = {}
-        for p in pieces:
-            if m := _PLAIN(p):
-                line, letters, tail = m.groups()
-                plain[p] = (letters.lower() if self.ends else (line or " ") + letters, tail)
-            elif not p or _ENDS_IN_SPACE(p):
-                self.pieces[p] = False  # white space that belongs to what follows
-            else:
-                self.pieces[p] = self._one(p if p[0] == "\n" else " " + p)
-        self._learn_words({w for w, _ in plain.values()})
-        for p, (w, tail) in plain.items():
-            end = self.chunks.get(tail)
-            if end is None:
-                end = self.chunks[tail] = self._one(tail) if tail else b""
-            self.pieces[p] = self.words[w] + end
+    def _plain(self, line: pa.Array, letters: pa.Array, tail: pa.Array) -> list[bytes] | None:
+        """Ids of plain pieces; None if the tokens' borders don't tell the pieces apart."""
+        bare = pc.equal(tail, "")
+        tail = pc.if_else(bare, "", pc.binary_join_element_wise(_CUT, tail, ""))
+        # a line end is a token by itself, with no part in the word after it
+        lead = "" if self.ends else pc.if_else(pc.equal(line, ""), " ", "\n" + _CUT)
+        words = pc.binary_join_element_wise(lead, pc.utf8_lower(letters) if self.ends else letters, tail, "")
+        joined = _byte_letters(_CUT.join(_strings(words)))
+        ids = np.array(self.merge.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        border = np.flatnonzero(self.border[ids])
+        if self.ends:  # the last token of a word and of its punctuation
+            parts = np.cumsum(np.where(bare.to_numpy(zero_copy_only=False), 1, 2))
+            if len(border) != parts[-1]:
+                return None
+            ends = border[parts - 1] + 1
+        else:
+            if len(border) != len(words):
+                return None
+            ends = np.append(border[1:], len(ids))
+        data, ends = ids.tobytes(), (4 * ends).tolist()
+        return [data[a:z] for a, z in zip([0, *ends], ends, strict=False)]
+
+    def _learn(self, pieces: list[str]) -> list[bytes | bool]:
+        """Ids of pieces; False for white space that belongs to what follows."""
+        out: list = [None] * len(pieces)
+        match = pc.extract_regex(pa.array(pieces, pa.string()), _PLAIN)
+        plain = np.flatnonzero(match.is_valid().to_numpy(zero_copy_only=False))
+        if len(plain):
+            found = self._plain(*match.take(pa.array(plain)).flatten())
+            for k, x in zip(plain.tolist(), found or (), strict=False):
+                out[k] = x
+        for k, p in enumerate(pieces):
+            if out[k] is None:
+                if p[:1] == _HEAD:
+                    out[k] = False if _ENDS_IN_SPACE(p) else self._one(p[1:])
+                elif not p or _ENDS_IN_SPACE(p):
+                    out[k] = False
+                else:
+                    out[k] = self._one(p if p[0] == "\n" else " " + p)
+        self.pieces.update(zip(pieces, out, strict=True))
+        return out
 
     def _general(self, text: str) -> bytes:
         out = []
         for c in _CHUNKS(text):
-            if (x := self.chunks.get("\0" + c)) is None:
-                x = self.chunks["\0" + c] = self._one(c)
+            if (x := self.chunks.get(c)) is None:
+                x = self.chunks[c] = self._one(c)
             out.append(x)
         return b"".join(out)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(texts), 512):
-            cut = [t.replace("\n", " \n").split(" ") for t in texts[i : i + 512]]
-            heads = [c.pop(0) for c in cut]
-            for cache in (self.pieces, self.words, self.chunks):
-                cache.age()
-            found = [list(map(self.pieces.get, c)) for c in cut]
-            gaps = [[k for k, x in enumerate(f) if x is None] if None in f else () for f in found]
-            self._learn_pieces(self.pieces.without({c[k] for c, g in zip(cut, gaps, strict=True) for k in g}))
-            for t, head, c, f, g in zip(texts[i : i + 512], heads, cut, found, gaps, strict=True):
-                for k in g:
-                    f[k] = self.pieces[c[k]]
-                if head:
-                    f.append(False if _ENDS_IN_SPACE(head) else b"")
-                try:
-                    out.append((self._one(head) if head else b"") + b"".join(f))
-                except TypeError:  # a False: not only single blanks and line ends
-                    out.append(self._general(t))
+    def _batch(self, texts: list[str]) -> list[bytes]:
+        if any(_HEAD in t for t in texts):
+            return [self._general(t) for t in texts]
+        for cache in (self.pieces, self.chunks):
+            cache.age()
+        cut = pc.replace_substring(pa.array(texts, pa.string()), "\n", " \n")
+        cut = pc.split_pattern(cut if self.ends else pc.binary_join_element_wise(_HEAD, cut, ""), " ")
+        numbered = cut.flatten().dictionary_encode()
+        kinds = _strings(numbered.dictionary)
+        found, missing = self.pieces.found(kinds)
+        if missing:
+            for k, x in zip(missing, self._learn([kinds[k] for k in missing]), strict=True):
+                found[k] = x
+        odd = np.array([x is False for x in found])
+        parts = [x or b"" for x in found]
+        sizes = np.array([len(x) for x in parts]) // 4
+        pool, starts = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(sizes) - sizes
+        piece, edge = numbered.indices.to_numpy(), cut.offsets.to_numpy()
+        size = sizes[piece]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        data = pool[np.repeat(starts[piece] - upto[:-1], size) + np.arange(upto[-1])].tobytes()
+        ends = 4 * upto[edge]
+        out = [data[a:z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        strange = np.concatenate([[0], np.cumsum(odd[piece])])[edge]
+        for k in np.flatnonzero(np.diff(strange)).tolist():
+            out[k] = self._general(texts[k])
         return out
 
+    def encode(self, texts: list[str], most: int = 4 << 20) -> list[bytes]:
+        """Ids of each text; about ``most`` characters are worked on at a time."""
+        out: list[list[bytes]] = []
+        held: list[tuple[int, str]] = []
+
+        def end() -> None:
+            if held:
+                for (k, _), ids in zip(held, self._batch([t for _, t in held]), strict=True):
+                    out[k].append(ids)
+            held.clear()
+
+        size = 0
+        for k, t in enumerate(texts):
+            out.append([])
+            while len(t) > most and (m := _BORDER.search(t, most)):
+                held.append((k, t[: m.start()]))
+                t, size = t[m.start() :], 0
+                end()
+            held.append((k, t))
+            size += len(t)
+            if size > most:
+                end()
+                size = 0
+        end()
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
+
 
 _KEPT: dict[str, Encoder] = {}
 

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from careweave.llm import cdc, chosen_path, gam, mixing, ogg, packing, ppm, rules, sstable, suffix, tokens
 
@@ -20,10 +21,14 @@ def prose(n, words=("the", "of", "onth", "hand", "ed", "été", "ing.", "thore,"
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoder_equals_the_library(name):
     e = tokens.Encoder(public_tokenizers.path(name), most=50)
+    lib = Tokenizer.from_file(public_tokenizers.path(name))  # as it comes
     parts = ["a", "The", " ", "  ", "\n", "\n\n", "'s", ".", ",", "é", "é", "\xa0", "\t", "\x1c", "12", "_", "<|endoftext|>", "日本", "don't", "Σ", " \n"]
+    parts += ["\0", "\x1f", "<|startoftext|>", "Straße", "ÿ!"]
     texts = ["", prose(400)] + ["".join(R.choice(parts) for _ in range(R.randint(0, 12))) for _ in range(1500)]
     for t, ids in zip(texts, e.encode(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == e.lib.encode(t, add_special_tokens=False).ids, repr(t)
+        assert np.frombuffer(ids, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
+    long = prose(3000)  # cut and put together again
+    assert e.encode([long, "x"], most=500)[0] == e.encode([long])[0]
 
 
 def slow_crc(data):
