@@ -54,7 +54,7 @@ def op8_suffix_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts, stripped = suffix.strip(common.documents(spark, sf_dir))
     answer = facts.join(stripped.drop("kept"), "key", "left")
     none = F.lit(0).cast("long")
-    return answer.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"))
+    return answer.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"), F.coalesce("kept_text", "text").alias("text"))
 
 
 def op9_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,5 +104,8 @@ s AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS z FROM g GROUP BY doc_id, span
 q AS (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans, list(a ORDER BY a) AS starts, list(z ORDER BY a) AS ends FROM s GROUP BY doc_id),
 r AS (SELECT d.doc_id, n, b, coalesce(removed, 0) AS removed, coalesce(spans, 0) AS spans, list_concat([0], coalesce(ends, [])) AS from_, list_concat(coalesce(starts, []), [n]) AS to_ FROM d LEFT JOIN q USING (doc_id))
 SELECT doc_id, n AS n_bytes, CAST(removed AS BIGINT) AS n_removed, spans AS n_spans,
-  sha256(unhex(array_to_string(list_transform(range(1, len(to_) + 1), lambda k: hex(array_slice(b, from_[k] + 1, to_[k]))), ''))) AS kept_sha256 FROM r""",
+  sha256(unhex(array_to_string(list_transform(range(1, len(to_) + 1), lambda k: hex(array_slice(b, from_[k] + 1, to_[k]))), ''))) AS kept_sha256,
+  -- the bytes of characters that a cut splits are left out
+  decode(unhex(array_to_string(list_transform(range(1, len(to_) + 1), lambda k: regexp_replace(regexp_replace(hex(array_slice(b, from_[k] + 1, to_[k])),
+    '^([89AB][0-9A-F])+', ''), '([C-F][0-9A-F]|[EF][0-9A-F][89AB][0-9A-F]|F[0-9A-F]([89AB][0-9A-F]){2})$', '')), ''))) AS text FROM r""",
 }

@@ -16,9 +16,15 @@ buckets, never by the corpus:
    (at most 12 bytes on), which resolves ties of any length, then by its last 16 bytes.
    Neighbours that agree in all of these are equal strings.
 
-Skew: runs of starts with identical surroundings are resolved by counting digests and
-never compared. A bucket of more than ``HOT`` differing surroundings is split into
-buckets of 16 starts each by what all their strings share, and at last by single strings.
+Skew: runs of starts with identical surroundings are one run that carries their number.
+Only a bucket of more than ``HOT`` runs, which is more than a block of memory, is split,
+and by reference: groups of 16 neighbouring starts are dealt by a digest of the 385 bytes
+that all their strings share and bring just the 15 bytes on either side, which are sorted.
+A group that more than ``HOTTER`` runs share is counted by the digests of single strings.
+
+Very long texts are hashed and searched in pieces of 512 KiB; no more than a text, its
+hashes and a block of buckets is in memory. Ties: copies are all removed, so none is
+preferred.
 
 Defined cases: a null text is an empty text; texts shorter than 400 bytes lose nothing;
 equal texts (repeated rows too) of 400 bytes or more lose everything; an empty table
@@ -28,6 +34,7 @@ gives an empty table; other columns are not looked at.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +49,10 @@ from careweave.llm.chosen_path import _B, _byte_values, _powers, mixed
 LENGTH, GRAM = 400, 145
 #: A difference cover modulo 32 (every difference occurs between two members).
 PERIOD, COVER = 32, (0, 1, 2, 3, 7, 11, 19)
-HOT = 128
-BLOCK_BYTES = 2 << 20
+HOT, HOTTER = 1024, 1 << 15
+BLOCK_BYTES, BLOCK_ROWS = 2 << 20, 1 << 15
+#: Starts in a group of a split bucket.
+EDGE = 16
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 #: For each residue the way to the next member of the cover.
 _AHEAD = np.array([next(d for d in range(PERIOD) if _IN_COVER[(r + d) % PERIOD]) for r in range(PERIOD)])
@@ -51,9 +60,13 @@ _AHEAD = np.array([next(d for d in range(PERIOD) if _IN_COVER[(r + d) % PERIOD])
 
 def _windows(data: np.ndarray, width: int) -> np.ndarray:
     """Hash of each ``width``-byte string, by differences of a running polynomial sum."""
-    size = 1 << max(12, len(data).bit_length())
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_byte_values()[data] * _powers(size, _B)[: len(data)], dtype=np.uint64)])
-    return mixed((total[width:] - total[:-width]) * _powers(size, pow(_B, -1, 1 << 64))[: len(data) - width + 1])
+    out, step = np.empty(len(data) - width + 1, np.uint64), 1 << 19
+    for first in range(0, len(out), step):
+        part = data[first : first + step + width - 1]
+        size = 1 << max(12, len(part).bit_length())
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_byte_values()[part] * _powers(size, _B)[: len(part)], dtype=np.uint64)])
+        out[first : first + step] = mixed((total[width:] - total[:-width]) * _powers(size, pow(_B, -1, 1 << 64))[: len(part) - width + 1])
+    return out
 
 
 def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,14 +162,14 @@ def sort_block(units: list[tuple[int, bytes, int, int]], length: int = LENGTH) -
     base = np.concatenate([[0], np.cumsum(sizes)])
     text = np.frombuffer(b"".join(u[1] for u in units), np.uint8)
     word = np.concatenate([_packed(text), np.zeros(length, np.uint64)])
-    unit = np.repeat(np.arange(len(units)), sizes)
-    at = np.arange(len(text)) - base[:-1][unit]
-    back = np.array([u[2] for u in units], np.int64)
+    unit = np.repeat(np.arange(len(units), dtype=np.int32), sizes)
+    at = np.arange(len(text), dtype=np.int32) - base[:-1].astype(np.int32)[unit]
+    back = np.array([u[2] for u in units], np.int32)
     residue = (at - back[unit]) % PERIOD
-    left = sizes[unit] - at  # bytes up to the end of the unit
+    left = sizes.astype(np.int32)[unit] - at  # bytes up to the end of the unit
     sample = np.flatnonzero(_IN_COVER[residue])
 
-    rank = np.zeros(len(text) + length, np.int64)  # of the cover places, at their place
+    rank = np.zeros(len(text) + length, np.int32)  # of the cover places, at their place
     p = sample[left[sample] >= PERIOD]
     rank[p] = _ranked([word[p + k] for k in range(0, PERIOD, 8)])
     ranks, reach = {PERIOD: rank}, length - 16
@@ -165,7 +178,7 @@ def sort_block(units: list[tuple[int, bytes, int, int]], length: int = LENGTH) -
         """Ranks by a + z bytes from those by a bytes and, a bytes on, by z bytes."""
         q = sample[left[sample] >= a + z]
         made = np.zeros_like(rank)
-        made[q] = np.unique(ranks[a][q] << 32 | ranks[z][q + a], return_inverse=True)[1]
+        made[q] = np.unique(ranks[a][q].astype(np.int64) << 32 | ranks[z][q + a], return_inverse=True)[1]
         ranks[a + z] = made
 
     while 2 * max(ranks) <= reach:
@@ -200,6 +213,8 @@ def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
 
 _UNIT = pa.schema([("bucket", pa.int64()), ("digest", pa.binary()), ("bytes", pa.binary()), ("back", pa.int32()), ("key", pa.binary()), ("lo", pa.int32()), ("n", pa.int64())])
 _UNIT_SQL = "bucket long, digest binary, bytes binary, back int, key binary, lo int, n long"
+_GROUP = pa.schema([("name", pa.binary()), ("edges", pa.binary()), ("least", pa.int32()), ("most", pa.int32()), ("key", pa.binary()), ("lo", pa.int32()), ("n", pa.int64())])
+_GROUP_SQL = "name binary, edges binary, least int, most int, key binary, lo int, n long"
 _FOUND = pa.schema([("key", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32())])
 _FOUND_SQL = "key binary, lo int, hi int"
 
@@ -227,55 +242,35 @@ def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
     return rows.where(F.length("text") >= length).select("key", "text").mapInArrow(emit, "key binary, hash long, n long")
 
 
+def _runs(places: np.ndarray) -> list[tuple[int, int]]:
+    """(first, end) of runs of neighbouring numbers of a sorted array."""
+    if not len(places):
+        return []
+    cut = np.flatnonzero(np.diff(places) != 1) + 1
+    return list(zip(places[np.concatenate([[0], cut])].tolist(), (places[np.concatenate([cut - 1, [len(places) - 1]])] + 1).tolist(), strict=True))
+
+
 def _units(texts: DataFrame, length: int) -> DataFrame:
-    """Units of candidate texts (key, text, n, shared)."""
+    """Units of candidate texts (key, text, n, shared). A row without a bucket tells of
+    starts from ``lo`` to ``n`` that are known to repeat inside their text."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, size = [], 0
             for key, t, n, shared in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3), strict=True):
                 data = t.as_buffer().to_pybytes()
-                runs, _, first = pieces(data, np.asarray(shared.values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64), length)
-                twice = set(first.tolist())
+                runs, again, first = pieces(data, np.asarray(shared.values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64), length)
+                out += [(None, None, None, None, key, lo, hi) for k in (again, first) for lo, hi in _runs(k)]
                 for a, z, p, h in runs:
-                    # a start with a later copy in its text weighs two, and is a unit by itself
-                    cut = sorted({a, z, *(x for k in twice.intersection(range(a, z)) for x in (k, k + 1))}) if twice else (a, z)
-                    for i, j in zip(cut, cut[1:], strict=False):
-                        part = data[i : j + length - 1]
-                        out.append((h, xxhash.xxh3_128_digest(part), part, p - i, key, i, n + (i in twice)))
-                        size += len(part)
-                if size > 4 << 20:
-                    yield _batch(out, _UNIT)
-                    out, size = [], 0
-            yield _batch(out, _UNIT)
-
-    return texts.select("key", "text", "n", "shared").mapInArrow(emit, _UNIT_SQL)
-
-
-def _split(units: DataFrame, width: int, length: int) -> DataFrame:
-    """Units of at most ``width`` starts. Their bucket is what all their strings share."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out, size = [], 0
-            for bucket, _, data, back, key, lo, n in zip(*(b.column(k).to_pylist() for k in _UNIT.names), strict=True):
-                starts = len(data) - length + 1
-                # cut at multiples of ``width`` from the anchor, so that equals are cut alike
-                cut = [0, *range((back % width) or width, starts, width), starts]
-                for i, j in zip(cut, cut[1:], strict=False):
-                    part = data[i : j + length - 1]
-                    # a unit cut short at the end of its run still names the whole group of starts
-                    group = (i - back) // width
-                    core = data[max(0, back + (group + 1) * width - 1) : back + group * width + length]
-                    name = xxhash.xxh3_64_intdigest(core if len(core) > GRAM else b"", seed=(bucket + group) & (1 << 64) - 1)
-                    out.append((name - (1 << 63), xxhash.xxh3_128_digest(part), part, back - i, key, lo + i, n))
+                    part = data[a : z + length - 1]
+                    out.append((h, xxhash.xxh3_128_digest(part), part, p - a, key, a, n))
                     size += len(part)
                 if size > 4 << 20:
                     yield _batch(out, _UNIT)
                     out, size = [], 0
             yield _batch(out, _UNIT)
 
-    return units.select(*_UNIT.names).mapInArrow(emit, _UNIT_SQL)
+    return texts.select("key", "text", "n", "shared").mapInArrow(emit, _UNIT_SQL)
 
 
 def _sorted_out(units: DataFrame, length: int) -> DataFrame:
@@ -288,11 +283,13 @@ def _sorted_out(units: DataFrame, length: int) -> DataFrame:
             # equal surroundings are one unit whose weights add up
             merged: dict[tuple, list] = {}
             for bucket, digest, data, back, key, lo, n in held:
-                merged.setdefault((bucket, digest), [bucket, data, back, 0, []])
-                merged[bucket, digest][3] += n
-                merged[bucket, digest][4].append((key, lo))
-            found = []
-            for u, flags in zip(merged.values(), sort_block([tuple(u[:4]) for u in merged.values()], length), strict=True):
+                unit = merged.setdefault((bucket, digest), [bucket, data, back, 0, []])
+                unit[3] += n
+                unit[4].append((key, lo))
+            kinds = Counter(u[0] for u in merged.values())
+            many = [u for u in merged.values() if kinds[u[0]] > 1]
+            found = [(key, lo, lo + len(u[1]) - length + 1) for u in merged.values() if kinds[u[0]] == 1 and u[3] > 1 for key, lo in u[4]]
+            for u, flags in zip(many, sort_block([tuple(u[:4]) for u in many], length) if many else (), strict=True):
                 for a, z in _spans(flags):
                     found += [(key, lo + a, lo + z) for key, lo in u[4]]
             return _batch(found, _FOUND)
@@ -311,34 +308,133 @@ def _sorted_out(units: DataFrame, length: int) -> DataFrame:
     return units.select(*_UNIT.names).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(work, _FOUND_SQL)
 
 
-def repeated(texts: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def edge_groups(data: bytes, back: int, bucket: int, length: int) -> Iterator[tuple[bytes, bytes, int, int, int]]:
+    """Groups of starts of a unit: digest of what their strings share, 15 bytes before and
+    15 after it, least and greatest distance before it, and the first start.
+
+    The groups are cut at multiples of ``EDGE`` from the anchor, so that equals are cut alike."""
+    last, reach = len(data) - length, EDGE - 1
+    for g in range((back - last) // EDGE, back // EDGE + 1):
+        core = back - EDGE * g
+        first, end = max(0, core - reach), core - reach + length
+        name = xxhash.xxh3_128_digest(data[core:end], seed=(bucket + g) & (1 << 64) - 1)
+        yield name, data[first:core].rjust(reach, b"\0") + data[end : end + reach].ljust(reach, b"\0"), core - min(last, core), core - first, first
+
+
+def _split(units: DataFrame, length: int) -> DataFrame:
+    """Units of crowded buckets as groups of at most ``EDGE`` starts, without their bytes."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = [b.column(k).to_pylist() for k in ("bucket", "bytes", "back", "key", "lo", "n")]
+            for first in range(0, b.num_rows, 2000):
+                out = []
+                for bucket, data, back, key, lo, n in zip(*(c[first : first + 2000] for c in columns), strict=True):
+                    out += [(name, edges, least, most, key, lo + at, n) for name, edges, least, most, at in edge_groups(data, back, bucket, length)]
+                yield _batch(out, _GROUP)
+
+    return units.select(*_UNIT.names).mapInArrow(emit, _GROUP_SQL)
+
+
+def sort_edges(group: np.ndarray, edges: np.ndarray, least: np.ndarray, most: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each row and distance whether its string is that of another row of the group too,
+    or stands for several. ``edges``: a row of 2 * EDGE - 2 bytes for each."""
+    out = np.zeros((len(group), EDGE), bool)
+    for d in range(EDGE):
+        use = np.flatnonzero((least <= d) & (d <= most))
+        if len(use):
+            name = np.concatenate([group[use].astype(">i8").view(np.uint8).reshape(-1, 8), edges[use, EDGE - 1 - d : 2 * EDGE - 2 - d]], axis=1)
+            kind = np.unique(np.ascontiguousarray(name).view(f"V{name.shape[1]}").ravel(), return_inverse=True)[1]
+            out[use, d] = np.bincount(kind, weights=n[use])[kind] > 1
+    return out
+
+
+def _edges_sorted(groups: DataFrame) -> DataFrame:
+    """(key, lo, hi): repeated starts of groups of moderate size."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def block() -> pa.RecordBatch:
+            number: dict[bytes, int] = {}
+            columns = list(zip(*held, strict=True))
+            group = np.array([number.setdefault(x, len(number)) for x in columns[0]])
+            least, most, n = (np.array(columns[k], np.int64) for k in (2, 3, 6))
+            # from the farthest start to the nearest, which is their order in the text
+            flags = sort_edges(group, np.frombuffer(b"".join(columns[1]), np.uint8).reshape(len(group), -1), least, most, n)[:, ::-1]
+            edge = np.diff(np.pad(flags.view(np.int8), ((0, 0), (1, 1))), axis=1)
+            (row, a), (_, z) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+            first = np.array(columns[5], np.int64)[row] - (EDGE - 1 - most[row])
+            return pa.RecordBatch.from_arrays([pa.array([columns[4][k] for k in row.tolist()], pa.binary()), pa.array((first + a).astype(np.int32)), pa.array((first + z).astype(np.int32))], schema=_FOUND)
+
+        for b in batches:
+            for row in zip(*(b.column(k).to_pylist() for k in _GROUP.names), strict=True):
+                if len(held) > BLOCK_ROWS and row[0] != held[-1][0]:
+                    yield block()
+                    held = []
+                held.append(row)
+        if held:
+            yield block()
+
+    return groups.select(*_GROUP.names).repartition("name").sortWithinPartitions("name").mapInArrow(work, _FOUND_SQL)
+
+
+def _strings(groups: DataFrame) -> DataFrame:
+    """(digest, key, lo, hi, n) of each single string of groups."""
+    schema = pa.schema([("digest", pa.binary()), ("key", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32()), ("n", pa.int64())])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for name, edges, least, most, key, lo, n in zip(*(b.column(k).to_pylist() for k in _GROUP.names), strict=True):
+                for d in range(least, most + 1):
+                    part = name + edges[EDGE - 1 - d : 2 * EDGE - 2 - d]
+                    out.append((xxhash.xxh3_128_digest(part, seed=d), key, lo + most - d, lo + most - d + 1, n))
+                if len(out) > 50_000:
+                    yield _batch(out, schema)
+                    out = []
+            yield _batch(out, schema)
+
+    return groups.select(*_GROUP.names).mapInArrow(emit, "digest binary, key binary, lo int, hi int, n long")
+
+
+def _crowded(rows: DataFrame, name: str, most: int) -> DataFrame:
+    """(name) of the buckets with more than ``most`` rows; one row for each task and bucket
+    is shuffled to find them."""
+    return common.written(rows.groupBy(name).agg(F.count("*").alias("rows")).where(F.col("rows") > most).select(name), "crowded")
+
+
+def repeated(texts: DataFrame, length: int = LENGTH, hot: int = HOT, hotter: int = HOTTER) -> DataFrame:
     """(key, lo, hi): runs of starts in candidate texts whose strings start elsewhere."""
-    units, found = common.written(_units(texts, length), "units"), None
-    starts = (F.col("lo") + F.length("bytes") - (length - 1)).cast("int").alias("hi")
-    for width in (16, 1, 0):
-        buckets = units.groupBy("bucket").agg(F.min("digest").alias("least"), F.max("digest").alias("most"), F.sum("n").alias("total"), F.count("*").alias("rows"))
-        buckets = common.written(buckets.where("total > 1"), "buckets")
-        same = units.join(buckets.where("least = most").select("bucket"), "bucket").select("key", "lo", starts)
-        found = same if found is None else found.union(same)
-        if width == 0:
-            # single strings: those of one digest are equal, others are of one bucket by chance
-            mixed_ = units.join(buckets.where("least <> most").select("bucket"), "bucket")
-            often = mixed_.groupBy("bucket", "digest").agg(F.sum("n").alias("total")).where("total > 1")
-            return found.union(mixed_.join(often, ["bucket", "digest"]).select("key", "lo", starts))
-        calm = units.join(buckets.where((F.col("least") != F.col("most")) & (F.col("rows") <= hot)).select("bucket"), "bucket")
-        found = found.union(_sorted_out(calm, length))
-        crowded = buckets.where((F.col("least") != F.col("most")) & (F.col("rows") > hot))
-        if crowded.isEmpty():
-            return found
-        units = common.written(_split(units.join(crowded.select("bucket"), "bucket"), width, length), "units")
-    return found
-
-
-def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT, whole_characters: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, key, n_bytes, whole_sha256), and for each key that may lose something
-    (key, n_removed, n_spans, kept, kept_sha256).
-
-    ``whole_characters``: a removed run is shrunk so as not to split a UTF-8 character."""
+    units = common.written(_units(texts, length), "units")
+    found = units.where("bucket IS NULL").select("key", "lo", F.col("n").cast("int").alias("hi"))
+    units = units.where("bucket IS NOT NULL")
+    crowded = _crowded(units, "bucket", hot)
+    if crowded.isEmpty():
+        return found.union(_sorted_out(units, length))
+    found = found.union(_sorted_out(units.join(crowded, "bucket", "left_anti"), length))
+    # copies of one run are one row, so a bucket of nothing else is crowded no more
+    inside = units.join(crowded, "bucket")
+    kinds = inside.groupBy("bucket", "digest").agg(F.count("*").alias("rows"), F.sum("n").alias("total"))
+    kinds = common.written(kinds, "kinds")
+    alone = kinds.groupBy("bucket").agg(F.count("*").alias("kinds"), F.sum("total").alias("total")).where("kinds = 1 AND total > 1").select("bucket")
+    found = found.union(inside.join(alone, "bucket").select("key", "lo", (F.col("lo") + F.length("bytes") - (length - 1)).cast("int").alias("hi")))
+    groups = common.written(_split(inside.join(alone, "bucket", "left_anti"), length), "groups")
+    crowded = _crowded(groups, "name", hotter)
+    if crowded.isEmpty():
+        return found.union(_edges_sorted(groups))
+    found = found.union(_edges_sorted(groups.join(crowded, "name", "left_anti")))
+    strings = common.written(_strings(groups.join(crowded, "name")), "strings")
+    often = strings.groupBy("digest").agg(F.sum("n").alias("total")).where("total > 1").select("digest")
+    return found.union(strings.join(often, "digest").select("key", "lo", "hi"))
+
+
+def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT, hotter: int = HOTTER, whole_characters: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, key, n_bytes, whole_sha256, text), and for each key that may lose something
+    (key, n_removed, n_spans, kept, kept_sha256, kept_text).
+
+    ``kept_text`` is what is left without the bytes of characters that a removed run splits;
+    with ``whole_characters`` a removed run is shrunk so as not to split any."""
     common.small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), common.text_key(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     found = common.written(_anchor_rows(rows, length), "anchors")
@@ -348,31 +444,28 @@ def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     asked = wanted.join(copies, "key")
     texts = rows.join(asked, "key").where(F.col("id").eqNullSafe(F.col("first_id"))).dropDuplicates(["key"])
     texts = common.written(texts.select("key", "text", "n", "shared"), "texts")
-    spans = repeated(texts, length, hot).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    schema = pa.schema([("key", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())])
+    spans = repeated(texts, length, hot, hotter).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    schema = pa.schema([("key", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for key, t, found_ in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 data = t.as_buffer().to_pybytes()
-                _, again, first = pieces(data, np.zeros(0, np.uint64), length)
                 edge = np.zeros(len(data) + 1, np.int64)
                 for s in found_ or []:
                     edge[s["lo"]] += 1
                     edge[s["hi"] + length - 1] -= 1
-                for k in (again, first):
-                    np.add.at(edge, k, 1)
-                    np.add.at(edge, k + length, -1)
                 gone = _spans(np.cumsum(edge)[:-1] > 0)
                 if whole_characters:
                     gone = [_whole(data, a, z) for a, z in gone]
-                kept = b"".join(data[a:z] for a, z in zip([0, *(z for _, z in gone)], [*(a for a, _ in gone), len(data)], strict=True))
-                out.append((key, len(data) - len(kept), sum(z > a for a, z in gone), kept, hashlib.sha256(kept).hexdigest()))
+                parts = [data[a:z] for a, z in zip([0, *(z for _, z in gone)], [*(a for a, _ in gone), len(data)], strict=True)]
+                kept = b"".join(parts)
+                out.append((key, len(data) - len(kept), sum(z > a for a, z in gone), kept, hashlib.sha256(kept).hexdigest(), "".join(x.decode(errors="ignore") for x in parts)))
             yield _batch(out, schema)
 
-    stripped = texts.select("key", "text").join(spans, "key", "left").select("key", "text", "spans").mapInArrow(remove, "key binary, n_removed long, n_spans long, kept binary, kept_sha256 string")
-    facts = rows.select(F.col("id").alias(id_col), "key", F.length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole_sha256"))
+    stripped = texts.select("key", "text").join(spans, "key", "left").select("key", "text", "spans").mapInArrow(remove, "key binary, n_removed long, n_spans long, kept binary, kept_sha256 string, kept_text string")
+    facts = rows.select(F.col("id").alias(id_col), "key", F.length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole_sha256"), F.col("text").cast("string").alias("text"))
     return facts, stripped
 
 

@@ -289,12 +289,12 @@ def brute_strip(rows, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "hot"), [(400, 128), (272, 2), (272, 0)])
-def test_suffix_dedup(spark, odd, length, hot):
+@pytest.mark.parametrize(("length", "hot", "hotter"), [(400, 4096, 4096), (272, 2, 4096), (272, 0, 4096), (272, 0, 3), (272, 0, 0)])
+def test_suffix_dedup(spark, odd, length, hot, hotter):
     rows = list(ROWS)
     for i in range(12):  # one passage in many surroundings, cut differently
         rows.append((100 + i, words(30 + i, 50 + i) + " " + words(120, 77)[i * 7 :] + words(20, 90 + i), "en", "a", 1))
-    facts, stripped = suffix.strip(table(spark, rows), length=length, hot=hot)
+    facts, stripped = suffix.strip(table(spark, rows), length=length, hot=hot, hotter=hotter)
     got = facts.join(stripped, "key", "left").selectExpr("doc_id", "n_bytes", "coalesce(n_removed, 0) AS removed", "coalesce(n_spans, 0) AS spans", "coalesce(kept_sha256, whole_sha256) AS sha").collect()
     want = Counter((r[0], *x) for r, x in zip(rows, brute_strip(rows, length), strict=True))
     assert Counter((r["doc_id"], r["removed"], r["spans"], r["sha"]) for r in got) == want
