@@ -4,19 +4,26 @@ Every set walks down a random tree, several times. At a node it chooses each of
 tokens with probability 1 / (LAMBDA * size) by a hash of node and token, and goes on to
 one child for each chosen token. Sets of similarity s share s / LAMBDA children of a
 shared node on average, so similar sets keep meeting while others part; the number of
-runs follows from the wanted recall at the threshold. Nodes that still hold very many
-sets after the first levels are split further, level by level; sets that walk on do so in
-as many runs as the recall needs at the greater depth.
-
-What meets in a bucket is a candidate. Candidates are joined to candidate components,
-and all pairs of a component are compared exactly, block against block, so a component
-of any size is spread over many tasks, no pair is counted twice, and no pair is sent
-anywhere: a task reports links per set and a spanning forest. Classes are the connected
-components of verified links.
+runs follows from the wanted recall at the threshold. Nodes of more than ``LARGE`` sets
+after the first levels aren't buckets: their sets walk on to a greater depth, in as many
+runs as the recall needs there.
+
+Buckets are searched by brute force with a sketch of each set, its ``SKETCH`` least
+hashes: sets that share two fifths of them are candidates, and strangers that happen to
+meet are none, so candidate components hold kindred sets only, however many documents
+there are. (Sets of similarity 0.8 share four fifths on average; that they share less than
+two fifths has a chance of one in ten million.) What still fills a node of more than
+``LARGE`` sets at the greatest depth is kindred, and is joined to its least member.
+
+All pairs of a candidate component are compared exactly, block against block, so a
+component of any size is spread over many tasks, no pair is counted twice, and no pair is
+sent anywhere: a task reports links per set and a spanning forest. Classes are the
+connected components of verified links.
 
 Equal texts are one set that carries its number of copies. Defined cases: a text without
 a word (null too) has no shingle and links only to its copies of the same text; one of
-fewer than five words has one shingle of all its words; repeated rows are copies; rows
+fewer than five words has one shingle of all its words; a very long text is hashed in
+pieces of 1 MiB, and a word longer than that by its digest; repeated rows are copies; rows
 of null identifier count like others; an empty table gives an empty table; other columns
 are not looked at.
 """
@@ -25,10 +32,12 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,11 +48,16 @@ THRESHOLD = (4, 5)  # 0.8, as a fraction
 LAMBDA = 0.75
 LEVELS = 3
 RECALL = 0.995
-#: A node with more sets than this is split on, at most so many levels more.
-LARGE, MORE_LEVELS = 10_000, 9
+#: Sets of a node with more than this walk on, so many levels more.
+LARGE, MORE_LEVELS = 256, 9
+#: Least hashes of a set in its sketch, and the share of them that candidates have in common.
+SKETCH, KINDRED = 32, (2, 5)
 #: Sets and bytes in a block of a candidate component.
-BLOCK_SETS, BLOCK_BYTES = 128, 4 << 20
+BLOCK_SETS, BLOCK_BYTES = 512, 4 << 20
+#: Bytes of a text that are hashed at a time, and numbers in a matrix of hashes.
+STEP, CELLS = 1 << 20, 1 << 22
 _M1, _M2, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15 | 1
+_BLANK = re.compile(rb"[ \t\n\x0b\x0c\r]").search
 _SPACE = np.zeros(256, bool)
 _SPACE[list(b" \t\n\x0b\x0c\r")] = True
 
@@ -66,13 +80,31 @@ def _byte_values() -> np.ndarray:
 
 def word_hashes(data: bytes) -> np.ndarray:
     """A 64-bit hash of each word, by differences of one running polynomial sum."""
+    out, first = [], 0
+    while first < len(data) or not out:
+        end = len(data)
+        if end - first > STEP:  # the next white space after a piece
+            m = _BLANK(data, first + STEP)
+            end = m.start() if m else end
+        out.append(_word_hashes(data[first:end]))
+        first = max(end, 1)
+    return np.concatenate(out)
+
+
+def _word_hashes(data: bytes) -> np.ndarray:
+    if len(data) > 2 * STEP:  # its last word is very long
+        *words, last = data.split()
+        return np.append(_word_hashes(b" ".join(words)), np.uint64(xxhash.xxh3_64_intdigest(last)))
     b = np.frombuffer(data, np.uint8)
     blank = np.concatenate([[True], _SPACE[b], [True]])
     starts = np.flatnonzero(blank[:-1] & ~blank[1:])
     ends = np.flatnonzero(~blank[:-1] & blank[1:])
     size = 1 << max(12, len(b).bit_length())
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_byte_values()[b] * _powers(size, _B)[: len(b)], dtype=np.uint64)])
-    return mixed((total[ends] - total[starts]) * _powers(size, pow(_B, -1, 1 << 64))[starts] + (ends - starts).astype(np.uint64))
+    out = mixed((total[ends] - total[starts]) * _powers(size, pow(_B, -1, 1 << 64))[starts] + (ends - starts).astype(np.uint64))
+    for k in np.flatnonzero(ends - starts > STEP):
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]])
+    return out
 
 
 def shingles(data: bytes) -> np.ndarray:
@@ -103,8 +135,12 @@ def descend(nodes: np.ndarray, tokens: np.ndarray, lam: float = LAMBDA) -> np.nd
     """Children that a set of ``tokens`` chooses at each of ``nodes``."""
     chance = min(1.0, 1 / (lam * len(tokens)))
     limit = np.uint64(min((1 << 64) - 1, int(chance * (1 << 64))))
-    node, token = np.nonzero(mixed(nodes[:, None] ^ (tokens * _M2)[None, :]) <= limit)
-    return np.unique(mixed(nodes[node] * _M1 + tokens[token]))
+    found, step = [], max(1, CELLS // max(1, len(nodes)))
+    for first in range(0, len(tokens), step):
+        part = tokens[first : first + step]
+        node, token = np.nonzero(mixed(nodes[:, None] ^ (part * _M2)[None, :]) <= limit)
+        found.append(mixed(nodes[node] * _M1 + part[token]))
+    return np.unique(np.concatenate(found))
 
 
 def _start(runs: int) -> np.ndarray:
@@ -138,25 +174,101 @@ def _nodes(paths: DataFrame) -> DataFrame:
     return paths.groupBy("path").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count("*").alias("n")).where("least <> most").drop("most")
 
 
+def _sketches(rows: DataFrame) -> DataFrame:
+    """(key, sketch) of the sets that are in shared nodes: their least hashes as bytes."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sketches = [shingles(t.as_buffer().to_pybytes())[:SKETCH].astype("<u8").tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sketches, pa.binary())], names=["key", "sketch"])
+
+    return rows.mapInArrow(emit, "key binary, sketch binary")
+
+
+def kindred(sketches: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the rows of each pair (a, b) share enough of their sketches, which are rows
+    of distinct numbers, filled up with 0."""
+    out, sizes = np.empty(len(a), bool), (sketches > 0).sum(1)
+    for first in range(0, len(a), 2048):
+        i, j = a[first : first + 2048], b[first : first + 2048]
+        x = np.sort(np.concatenate([sketches[i], sketches[j]], axis=1), axis=1)
+        both = ((x[:, 1:] == x[:, :-1]) & (x[:, 1:] > 0)).sum(1)
+        out[first : first + 2048] = KINDRED[1] * both >= KINDRED[0] * np.maximum(sizes[i], sizes[j])
+    return out
+
+
+def bucket_edges(path: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that join the kindred rows of each bucket; rows are sorted by path.
+
+    Every row is compared with the first of its bucket, and those that aren't kindred to it
+    with all rows of the bucket."""
+    head = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]))
+    of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(path))))
+    rows = np.flatnonzero(head[of] != np.arange(len(path)))
+    near = kindred(sketches, rows, head[of[rows]])
+    rest, size = rows[~near], np.diff(np.append(head, len(path)))
+    times = size[of[rest]]
+    a = np.repeat(rest, times)
+    b = head[of[a]] + np.arange(len(a)) - np.repeat(np.cumsum(times) - times, times)
+    a, b = a[a != b], b[a != b]
+    found = kindred(sketches, a, b)
+    return np.concatenate([rows[near], a[found]]), np.concatenate([head[of[rows[near]]], b[found]])
+
+
+def _searched(members: DataFrame) -> DataFrame:
+    """(u, v): edges inside the buckets of members (path, key, sketch)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        done: set[tuple[bytes, bytes]] = set()
+
+        def edges(t: pa.RecordBatch) -> pa.RecordBatch:
+            keys = t.column(1).to_pylist()
+            texts = t.column(2).to_pylist()
+            sketches = np.frombuffer(b"".join(x.ljust(8 * SKETCH, b"\0") for x in texts), "<u8").reshape(len(texts), SKETCH)
+            a, b = bucket_edges(t.column(0).to_numpy(), sketches)
+            if len(done) > 500_000:
+                done.clear()
+            fresh = {(keys[i], keys[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True) if keys[i] != keys[j]} - done
+            done.update(fresh)
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in fresh], pa.binary()) for k in (0, 1)], names=["u", "v"])
+
+        for b in batches:
+            t = pa.concat_batches([left, b]) if left is not None else b
+            path = t.column(0).to_numpy()
+            # the last bucket may go on in the next batch
+            cut = int(np.searchsorted(path, path[-1])) if len(path) else 0
+            if cut:
+                yield edges(t.slice(0, cut))
+            left = t.slice(cut)
+        if left is not None and left.num_rows:
+            yield edges(left)
+
+    return members.select("path", "key", "sketch").repartition("path").sortWithinPartitions("path").mapInArrow(work, "u binary, v binary")
+
+
 def candidate_edges(rows: DataFrame, recall: float, levels: int = LEVELS, large: int = LARGE, more: int = MORE_LEVELS) -> DataFrame:
-    """(u, v): each key with the least key of every bucket that it is in."""
-    edges, asked, depth = None, rows, levels
-    while True:
+    """(u, v): edges that join the kindred sets of every bucket."""
+    found, asked = [], rows
+    for depth in (levels, levels + more):
         paths = common.written(_paths(asked, runs_for(recall, THRESHOLD[0] / THRESHOLD[1], LAMBDA, depth), depth), "paths")
-        nodes, last = _nodes(paths), depth >= levels + more
-        if not last and not nodes.where(F.col("n") > large).isEmpty():
+        nodes = common.written(_nodes(paths), "nodes")
+        if not nodes.where(F.col("n") > large).isEmpty():
             # copies of a text in several batches are not several sets
             paths = common.written(paths.distinct(), "paths")
-            nodes = _nodes(paths)
-        here = paths.join(nodes if last else nodes.where(F.col("n") <= large), "path").where("key <> least").select(F.col("key").alias("u"), F.col("least").alias("v")).distinct()
-        edges = here if edges is None else edges.union(here)
+            nodes = common.written(_nodes(paths), "nodes")
+        here = common.written(paths.join(nodes.where(F.col("n") <= large).select("path"), "path").distinct(), "members")
+        met = here.select("key").distinct()
+        sketches = _sketches(asked.join(met, "key", "left_semi").select("key", "text"))
+        found.append(_searched(here.join(sketches.dropDuplicates(["key"]), "key")))
         crowded = nodes.where(F.col("n") > large)
-        if last or crowded.isEmpty():
-            return edges
-        # sets in crowded nodes walk on; the deeper nodes lie below those they were in, or
-        # in the runs that are added
+        if depth > levels:
+            found.append(paths.join(crowded, "path").where("key <> least").select(F.col("key").alias("u"), F.col("least").alias("v")))
+        elif crowded.isEmpty():
+            break
+        # the deeper nodes lie below those that the sets were in, or in the runs that are added
         asked = rows.join(paths.join(crowded.select("path"), "path").select("key").distinct(), "key", "left_semi")
-        depth += 3
+    return functools.reduce(DataFrame.union, found).distinct()
 
 
 class _Forest:
@@ -219,7 +331,9 @@ def verified(rows: DataFrame, members: DataFrame, copies: DataFrame) -> DataFram
     ``rows``: (id, key, text); ``members``: (key, component); ``copies``: (key, n, id)."""
     sized = members.join(copies, "key")
     blocks = sized.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    placed = sized.join(blocks, "component").withColumn("block", F.pmod(F.hash("key"), F.col("blocks")))
+    # written: only large components are joined, and their rows may be split
+    blocks = common.written(blocks.where("blocks > 1"), "blocks")
+    placed = sized.join(blocks, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.hash("key"), F.col("blocks")))
     texts = rows.join(placed.withColumnRenamed("id", "first_id"), "key").where(F.col("id").eqNullSafe(F.col("first_id"))).dropDuplicates(["key"])
     dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "key", "block", F.col("n").cast("long").alias("n"), "text")
     dealt = dealt.repartition("component", "first", "second").sortWithinPartitions("component", "first", "second")

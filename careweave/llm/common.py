@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,11 +25,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as
-    in tests on one machine, a new local folder is made and remembered.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and all
+    runs on one machine, as in tests, a new local folder is made and remembered.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -38,13 +41,39 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage of ``df`` by a Parquet table in the shared folder."""
+def written(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """Cut the lineage of ``df`` by a Parquet table in the shared folder. The table that it
+    was made from, and that nothing else will read, may be given up for it."""
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    if instead_of is not None:
+        for old in {f.rpartition("/")[0] for f in instead_of.inputFiles()}:
+            _delete(df.sparkSession, old)
+    _TABLES.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables written by this process that nobody has deleted.
+_TABLES: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Delete the tables written after the first ``since``, but for the last ``keep``."""
+    done = _TABLES[since : len(_TABLES) - keep]
+    for path in done:
+        _delete(spark, path)
+    _TABLES[since : len(_TABLES) - keep] = []
+
+
+def n_tables() -> int:
+    return len(_TABLES)
+
+
 def crc_bucket(id_col: str, n: int) -> Column:
     """crc32 of the id's decimal text, modulo ``n``; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n

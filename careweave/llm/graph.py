@@ -24,13 +24,14 @@ def components(edges: DataFrame) -> DataFrame:
     edges = common.written(edges, "edges")
     before = _checksum(edges)
     while before[0]:
+        last = edges
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         edges = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = common.written(edges, "edges")
+        edges = common.written(edges, "edges", instead_of=last)
         after = _checksum(edges)
         if after == before:
             break
