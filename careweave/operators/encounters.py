@@ -18,9 +18,14 @@ def readmissions(stays: DataFrame, settings: Settings = Settings()) -> DataFrame
     ``stays``: patient_key, encounter_id, admit_ts, discharge_ts, facility_type. The
     nearest earlier acute, discharged stay counts whose gap is at most so many whole days."""
     rows = stays.withColumn("_nth", F.row_number().over(Window.partitionBy("patient_key").orderBy("admit_ts", "encounter_id")))
-    prior = rows.where("facility_type = 'acute' AND discharge_ts IS NOT NULL").select("patient_key", F.col("_nth").alias("_before"), F.col("discharge_ts").alias("_left"), F.col("encounter_id").alias("_prior"))
-    near = (F.col("_before") < F.col("_nth")) & (F.unix_micros("_left") > F.unix_micros("admit_ts") - (settings.readmission_days + 1) * DAY)
-    pairs = rows.where("facility_type = 'acute'").select("patient_key", "encounter_id", "_nth", "admit_ts").join(prior, "patient_key").where(near)
+    prior = rows.where("facility_type = 'acute' AND discharge_ts IS NOT NULL").select("patient_key", "admit_ts", F.col("_nth").alias("_before"), F.col("discharge_ts").alias("_left"), F.col("encounter_id").alias("_prior"))
+    # in time slices of the window's length, so that a patient of many years isn't one group
+    reach = (settings.readmission_days + 1) * DAY
+    first, last = F.floor(F.unix_micros("admit_ts") / reach), F.floor((F.unix_micros("_left") + reach - 1) / reach)
+    prior = prior.where(last >= first).withColumn("_slice", F.explode(F.sequence(first, last)))
+    near = (F.col("_before") < F.col("_nth")) & (F.unix_micros("_left") > F.unix_micros("admit_ts") - reach)
+    asked = rows.where("facility_type = 'acute'").select("patient_key", "encounter_id", "_nth", "admit_ts", first.alias("_slice"))
+    pairs = asked.join(prior.drop("admit_ts"), ["patient_key", "_slice"]).where(near)
     last = pairs.groupBy("encounter_id").agg(F.max_by(F.struct("_left", "_prior"), "_before").alias("_hit"))
     days = F.floor((F.unix_micros("admit_ts") - F.unix_micros("_hit._left")) / DAY).cast("int")
     return rows.drop("_nth").join(last, "encounter_id", "left").withColumns({"is_readmission": F.col("_hit").isNotNull(), "readmission_days": days, "prior_encounter_id": F.col("_hit._prior")}).drop("_hit")
@@ -41,8 +46,10 @@ def roles(events: DataFrame, reconciled: DataFrame, settings: Settings = Setting
     return rows.withColumn("role_in_encounter", role).drop("_kind", "_nth", "reconciled_admit_ts", "reconciled_discharge_ts")
 
 
-def encounter_rows(scored: DataFrame, as_of, run_id: str) -> DataFrame:
-    """The published encounter table."""
+def encounter_rows(scored: DataFrame, as_of, run_id: str, settings: Settings = Settings()) -> DataFrame:
+    """The published encounter table. The first stay of a patient is no readmission."""
+    stays = scored.select("patient_key", "encounter_id", "facility_type", F.col("reconciled_admit_ts").alias("admit_ts"), F.col("reconciled_discharge_ts").alias("discharge_ts"))
+    scored = scored.join(readmissions(stays, settings).select("encounter_id", "is_readmission", "readmission_days"), "encounter_id")
     los = (F.unix_micros("reconciled_discharge_ts") - F.unix_micros("reconciled_admit_ts")) / 3_600_000_000
     facility = F.coalesce("facility_id", F.lit(""))
     return scored.select(
@@ -51,6 +58,7 @@ def encounter_rows(scored: DataFrame, as_of, run_id: str) -> DataFrame:
         F.col("reconciled_type").alias("encounter_type"), "status", (F.col("encounter_type") == "inpatient").alias("is_acute"),
         "drg", "payer_id", "principal_diagnosis", "admitting_diagnosis", "diagnosis_codes", "has_adt", "has_claims", "has_auth", "source_systems", "source_event_ids",
         "admit_source", "discharge_source", "obs_to_ip", "transfer_chain", "facility_type", F.col("confidence").alias("confidence_score"), "confidence_flags",
+        "is_readmission", "readmission_days",
         F.lit(None).cast("string").alias("episode_id"), F.lit(run_id).alias("run_id"), F.lit(as_of).cast("timestamp").alias("created_at"), F.lit(as_of).cast("timestamp").alias("updated_at"),
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from careweave.functions import rules
 from careweave.functions.similarity import token_sort
+from careweave.sources.shared import written
 
 NEW_FLAG = "FACILITY_NEW_UNREVIEWED"
 
@@ -28,17 +29,27 @@ def id_index(facilities: DataFrame, column: str) -> DataFrame:
     return facilities.where(value != "").groupBy(value.alias(column)).agg(F.max_by("canonical_id", "ordinal").alias("facility_id"))
 
 
+def letters(name: str) -> Column:
+    """How often each letter and digit is in a name, and how many other characters."""
+    kinds = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    counts = [F.length(name) - F.length(F.replace(F.col(name), F.lit(k), F.lit(""))) for k in kinds]
+    return F.array(*counts, F.length(F.translate(F.col(name), kinds, "")))
+
+
 def similar_names(names: DataFrame, index: DataFrame, threshold: float) -> DataFrame:
     """(normal, facility_id, score): the best indexed name for each of ``names`` (normal).
 
     A score of t needs lengths within a factor (2 - t) / t, so the join is by equal length
-    over the few lengths that can do, not of all names with all."""
+    over the few lengths that can do, not of all names with all; and it needs as many letters
+    in common, in any order, which is looked at before the score is computed."""
     if threshold <= 0:
         return names.limit(0).select("normal", F.lit("").alias("facility_id"), F.lit(0.0).alias("score"))
     size = F.length("normal")
     lengths = F.sequence(F.ceil(size * threshold / (2 - threshold)).cast("int"), F.floor(size * (2 - threshold) / threshold).cast("int"))
     wanted = names.select("normal", F.explode(lengths).alias("length"))
     pairs = wanted.join(index.select(F.col("normal").alias("candidate"), "facility_id", "place", F.length("normal").alias("length")), "length")
+    shared = F.aggregate(F.zip_with(letters("normal"), letters("candidate"), lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
+    pairs = pairs.where(2 * shared >= threshold * (F.length("normal") + F.length("candidate")))
     scored = pairs.withColumn("score", token_sort("normal", "candidate")).where(F.col("score") >= threshold)
     best = scored.groupBy("normal").agg(F.min_by(F.struct("facility_id", "score"), F.struct(-F.col("score"), "place")).alias("best"))
     return best.select("normal", "best.facility_id", "best.score")
@@ -48,11 +59,30 @@ def resolve(events: DataFrame, facilities: DataFrame, registry: DataFrame | None
     """Events with ``facility_id``, ``facility_name``, ``facility_match_type``, ``facility_flags``.
 
     ``facilities`` and ``registry``: (canonical_id, canonical_name, npi, ccn, facility_type,
-    aliases, ordinal). A blank name resolves to null; provided identifiers stay."""
+    aliases, ordinal). A blank name resolves to null; provided identifiers stay. Where events
+    have a ``raw_payload`` (JSON), it gives an npi or ccn that the event lacks.
+
+    Each distinct (name, npi, ccn) is resolved once and joined back."""
     given = F.coalesce(F.col("facility_match_type") == "customer_provided", F.lit(False))
-    # each distinct text is brought to its normal form once
-    texts = events.where(~given).select("facility_raw").distinct().withColumn("normal", rules.normal_name(F.col("facility_raw"), abbreviations))
-    rows = events.join(texts, "facility_raw", "left").withColumn("normal", F.when(~given, F.coalesce("normal", F.lit(""))))
+    if "raw_payload" in events.columns:
+        events = events.withColumns({c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.get_json_object("raw_payload", f"$.{c}")) for c in ("npi", "ccn")})
+    parts = ("facility_raw", "npi", "ccn")
+    found = written(_resolve_names(events.where(~given).select(*parts).distinct(), facilities, registry, threshold, abbreviations), "facilities")
+    found = found.select(*(F.col(c).alias(f"_{c}") for c in parts), F.col("facility_id").alias("_found"), F.col("match").alias("_match"))
+    same = ~given
+    for c in parts:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    joined = events.join(found, same, "left").drop(*(f"_{c}" for c in parts))
+    joined = joined.withColumns({"facility_id": F.when(given, F.col("facility_id")).otherwise(F.col("_found")), "facility_match_type": F.when(given, "customer_provided").otherwise(F.col("_match"))}).drop("_found", "_match")
+    names = (facilities if registry is None else facilities.unionByName(registry)).groupBy("canonical_id").agg(F.max_by("canonical_name", "ordinal").alias("_name"))
+    out = joined.join(names, F.col("facility_id") == F.col("canonical_id"), "left").drop("canonical_id")
+    flags = F.when(F.col("facility_match_type") == "new", F.array(F.lit(NEW_FLAG))).otherwise(F.array().cast("array<string>"))
+    return out.withColumns({"facility_name": F.coalesce("_name", "facility_raw"), "facility_flags": flags}).drop("_name")
+
+
+def _resolve_names(names: DataFrame, facilities: DataFrame, registry: DataFrame | None, threshold: float, abbreviations: dict[str, str] | None) -> DataFrame:
+    """Distinct names and identifiers with ``facility_id`` and ``match``."""
+    rows = names.withColumn("normal", F.coalesce(rules.normal_name(F.col("facility_raw"), abbreviations), F.lit("")))
     index = name_index(facilities, abbreviations)
     joined = rows.join(index.select("normal", F.col("facility_id").alias("by_name")), "normal", "left")
     for column in ("npi", "ccn"):
@@ -70,13 +100,8 @@ def resolve(events: DataFrame, facilities: DataFrame, registry: DataFrame | None
     named = F.col("normal") != ""
     kinds = [(F.col("by_name"), "exact"), (F.col("by_npi"), "npi"), (F.col("by_npi_registry"), "npi_registry"), (F.col("by_ccn"), "ccn"), (F.col("by_ccn_registry"), "ccn_registry"), (F.col("by_fuzzy"), "fuzzy")]
     kind = rules.first_match([(c.isNotNull(), k) for c, k in kinds], F.lit("new"))
-    match = F.when(given, "customer_provided").when(named, kind)
-    found = F.when(given, F.col("facility_id")).when(named, F.coalesce(known, "by_fuzzy", new_id(F.col("normal"))))
-    joined = joined.withColumns({"facility_id": found, "facility_match_type": match}).drop("normal", "by_fuzzy", *order)
-    names = (facilities if registry is None else facilities.unionByName(registry)).groupBy("canonical_id").agg(F.max_by("canonical_name", "ordinal").alias("_name"))
-    out = joined.join(names, F.col("facility_id") == F.col("canonical_id"), "left").drop("canonical_id")
-    flags = F.when(F.col("facility_match_type") == "new", F.array(F.lit(NEW_FLAG))).otherwise(F.array().cast("array<string>"))
-    return out.withColumns({"facility_name": F.coalesce("_name", "facility_raw"), "facility_flags": flags}).drop("_name")
+    found = F.when(named, F.coalesce(known, "by_fuzzy", new_id(F.col("normal"))))
+    return joined.select("facility_raw", "npi", "ccn", found.alias("facility_id"), F.when(named, kind).alias("match"))
 
 
 def new_facilities(resolved: DataFrame) -> DataFrame:

@@ -40,6 +40,7 @@ def reconcile(events: DataFrame, stays: DataFrame, as_of, settings: Settings = S
         least(is_admit()).alias("_least_admit"), F.min("event_ts").alias("_least"),
         F.max(adt & is_admit()).alias("adt_admit"), F.max(adt & is_discharge()).alias("adt_discharge"),
         F.size(F.collect_set("patient_class")).alias("n_classes"),
+        F.max(F.col("role").eqNullSafe("duplicate") if "role" in events.columns else F.lit(False)).alias("_duplicates"),
         F.max(F.col("facility_match_type").eqNullSafe("new")).alias("_new_facility"),
         F.array_sort(F.collect_list(F.when(F.col("diagnosis_codes").isNotNull(), F.struct("_class", "diagnosis_codes")))).alias("_dx"),
     )
@@ -56,6 +57,8 @@ def reconcile(events: DataFrame, stays: DataFrame, as_of, settings: Settings = S
         "ADT_ONLY_ENCOUNTER": F.col("r_adt") & ~F.col("r_claims") & (hours_between(now, F.col("_least")) > 24 * settings.claims_lag_days),
         "FACILITY_UNRESOLVED": F.col("facility_id").isNull() | F.col("_new_facility"),
     }
+    if settings.flag_duplicates:
+        conditions = {"DUPLICATE_DETECTED": F.col("_duplicates"), **conditions}
     flags = F.array_compact(F.array(*(F.when(c, F.lit(name)) for name, c in conditions.items())))
     codes = F.flatten(F.transform("_dx", lambda x: x["diagnosis_codes"]))
     kept = F.filter(codes, lambda x, i: ~F.exists(F.slice(codes, F.lit(1), i), lambda y: y["code"] == x["code"]))

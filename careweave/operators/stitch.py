@@ -171,13 +171,21 @@ def stitch_counts(events: DataFrame, stays: DataFrame) -> DataFrame:
     return chains.crossJoin(events.agg(F.count_if(F.col("event_type").isin("CANCEL_ADMIT", "CANCEL_DISCHARGE")).alias("cancellations")))  # one row each
 
 
+#: Microseconds of thirty days.
+SLICE = 30 * 86_400_000_000
+
+
 def stable_ids(new: DataFrame, prior: DataFrame, as_of, settings: Settings = Settings()) -> DataFrame:
     """(encounter_id, stable_id): the id of the nearest earlier stay that a stay overlaps.
 
     ``prior``: (encounter_id, patient_key, facility_id, first_event_ts, last_event_ts)."""
     window = settings.window_hours * 3_600_000_000
     old = prior.where(F.col("last_event_ts") >= F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {settings.history_days} DAYS")).select("patient_key", F.col("encounter_id").alias("stable_id"), F.col("facility_id").alias("_fac"), F.col("first_event_ts").alias("_first"), F.col("last_event_ts").alias("_last"))
-    joined = new.join(old, "patient_key")
+    # only what shares a slice of time is compared
+    slices = lambda a, z: F.sequence(F.floor(F.unix_micros(a) / (2 * window + SLICE)), F.floor(F.unix_micros(z) / (2 * window + SLICE)))
+    widened = lambda name, by: F.timestamp_micros(F.unix_micros(name) + by)
+    old = old.withColumn("_slice", F.explode(slices(widened("_first", -window), widened("_last", window))))
+    joined = new.withColumn("_slice", F.explode(slices("first_event_ts", "last_event_ts"))).join(old, ["patient_key", "_slice"])
     near = (F.unix_micros("first_event_ts") <= F.unix_micros("_last") + window) & (F.unix_micros("_first") <= F.unix_micros("last_event_ts") + window)
     if settings.facility_must_match:
         near = near & (F.col("facility_id") == F.col("_fac"))

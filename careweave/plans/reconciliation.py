@@ -37,9 +37,12 @@ def canonical_events(sources: list[tuple[Source, DataFrame]], batch_id: str = "b
     return scan.union_all([canonical.canonicalize(df, s, batch_id) for s, df in rows]), scan.union_all([canonical.error_counts(df, s) for s, df in rows])
 
 
-def build(sources: list[tuple[Source, DataFrame]], facilities: DataFrame, as_of: str, registry: DataFrame | None = None, settings: Settings = Settings(), run_id: str = "run", history: DataFrame | None = None, watermarks: dict | None = None) -> Tables:
-    """Encounters of all sources. ``history``: earlier canonical events, resolved."""
+def build(sources: list[tuple[Source, DataFrame]], facilities: DataFrame, as_of: str, registry: DataFrame | None = None, settings: Settings = Settings(), run_id: str = "run", history: DataFrame | None = None, watermarks: dict | None = None, prior: DataFrame | None = None) -> Tables:
+    """Encounters of all sources. ``history``: earlier canonical events, resolved; ``prior``:
+    stays of earlier runs, whose ids are used again where a stay continues one."""
     events, errors = canonical_events(sources, run_id, watermarks, dict(settings.lookback))
+    # read from the sources once; the distinct names are taken from the table
+    events = written(events, "events")
     resolved = facility.resolve(events, facilities, registry, settings.fuzzy_threshold)
     if history is not None:
         resolved = scan.recent_history(history, resolved, as_of, settings.history_days)
@@ -49,14 +52,32 @@ def build(sources: list[tuple[Source, DataFrame]], facilities: DataFrame, as_of:
     stitched = stitch.stitch(resolved, settings)
     marked = dedup.mark_duplicates(stitched, settings)
     merged = written(dedup.merge_overlaps(marked, settings), "stitched-events").drop("encounter_id").withColumnRenamed("merged_id", "encounter_id")
+    if prior is not None:
+        merged = written(with_stable_ids(merged, prior, as_of, settings), "continued-events")
     stays = stitch.transfers(stitch.encounters(merged, settings), settings)
     reconciled = reconcile.reconcile(merged, stays, as_of, settings)
     scored = written(score.score(score.stale(reconciled, facility.facility_types(facilities), as_of, settings)), "scored")
-    rows = encounters.encounter_rows(scored, as_of, run_id)
+    rows = encounters.encounter_rows(scored, as_of, run_id, settings)
     detail = encounters.detail_rows(encounters.roles(merged, reconciled, settings))
     return Tables(events, resolved, stitched, stays, merged, reconciled, scored, rows, detail, errors)
 
 
+def with_stable_ids(events: DataFrame, prior: DataFrame, as_of: str, settings: Settings = Settings()) -> DataFrame:
+    """Events of encounters under the ids of the earlier stays that these continue."""
+    ids = stitch.stable_ids(stitch.encounters(events, settings), prior, as_of, settings)
+    return events.join(ids, "encounter_id").drop("encounter_id").withColumnRenamed("stable_id", "encounter_id")
+
+
+def materialize(tables: Tables, stored: DataFrame | None, stored_detail: DataFrame | None, run_id: str, as_of: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(encounters, detail, audit lines) after a run: stored encounters are replaced by id
+    and keep their creation time, details are replaced encounter by encounter."""
+    fresh = tables.encounters
+    if stored is None:
+        stored, stored_detail = fresh.limit(0), tables.detail.limit(0)
+    audit = encounters.audit_rows(fresh, stored, "encounter_id", "encounter", run_id, as_of)
+    return scan.upsert(stored, fresh, "encounter_id", keep="created_at"), scan.replace_children(stored_detail, tables.detail, "encounter_id"), audit
+
+
 def run_feeds(spark: SparkSession, sf_dir: str, settings: Settings = Settings()) -> Tables:
     return build(default_feeds(spark, sf_dir), feeds.facilities(spark), feeds.AS_OF, settings=settings)
 

@@ -18,7 +18,7 @@ EVENT = ("source_system", "source_record_id", "side")
 
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, _ = reconciliation.canonical_events(reconciliation.default_feeds(spark, sf_dir))
-    return written(facility.resolve(events, feeds.facilities(spark)), "canonical-events")
+    return written(facility.resolve(written(events, "events"), feeds.facilities(spark)), "canonical-events")
 
 
 def _stitched(spark: SparkSession, sf_dir: str) -> DataFrame:

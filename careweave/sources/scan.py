@@ -38,9 +38,11 @@ def exclude(df: DataFrame, predicate: str | None) -> DataFrame:
 
 def first_per_record(df: DataFrame, record_id: str, key: str) -> DataFrame:
     """First row of each record by the incremental key; rows without an id all stay."""
-    nth = F.row_number().over(Window.partitionBy(record_id).orderBy(F.col(key).asc_nulls_last(), F.xxhash64(*df.columns)))
-    ids = df.where(F.col(record_id).isNotNull()).withColumn("_nth", nth).where("_nth = 1").drop("_nth")
-    return ids.unionByName(df.where(F.col(record_id).isNull()))
+    row = F.xxhash64(*df.columns)
+    # one pass; rows without an id are spread by their content instead of meeting in one task
+    spread = F.when(F.col(record_id).isNull(), row)
+    nth = F.row_number().over(Window.partitionBy(record_id, spread).orderBy(F.col(key).asc_nulls_last(), row))
+    return df.withColumn("_nth", nth).where(F.col(record_id).isNull() | (F.col("_nth") == 1)).drop("_nth")
 
 
 def annotate(df: DataFrame, source: Source, payload: bool = False) -> DataFrame:
@@ -63,6 +65,11 @@ def watermarks(frames: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     return union_all([df.agg(F.max(key).cast("string").alias("value")).select(F.lit(f"watermark_{name}").alias("key"), "value") for name, (df, key) in frames.items()])
 
 
+def advance(stored: DataFrame, seen: DataFrame) -> DataFrame:
+    """The stored watermarks (key, value) after a run that saw others; none goes back."""
+    return stored.unionByName(seen).where("value IS NOT NULL").groupBy("key").agg(F.max("value").alias("value"))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str | None = None, keep: str | None = None) -> DataFrame:
     """``old`` with rows of ``new`` in place of those of the same key.
 
