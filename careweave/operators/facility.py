@@ -74,7 +74,8 @@ def resolve(events: DataFrame, facilities: DataFrame, registry: DataFrame | None
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
     joined = events.join(found, same, "left").drop(*(f"_{c}" for c in parts))
     joined = joined.withColumns({"facility_id": F.when(given, F.col("facility_id")).otherwise(F.col("_found")), "facility_match_type": F.when(given, "customer_provided").otherwise(F.col("_match"))}).drop("_found", "_match")
-    names = (facilities if registry is None else facilities.unionByName(registry)).groupBy("canonical_id").agg(F.max_by("canonical_name", "ordinal").alias("_name"))
+    called = [t.select("canonical_id", "canonical_name", "ordinal") for t in (facilities, registry) if t is not None]
+    names = (called[0].union(called[1]) if registry is not None else called[0]).groupBy("canonical_id").agg(F.max_by("canonical_name", "ordinal").alias("_name"))
     out = joined.join(names, F.col("facility_id") == F.col("canonical_id"), "left").drop("canonical_id")
     flags = F.when(F.col("facility_match_type") == "new", F.array(F.lit(NEW_FLAG))).otherwise(F.array().cast("array<string>"))
     return out.withColumns({"facility_name": F.coalesce("_name", "facility_raw"), "facility_flags": flags}).drop("_name")

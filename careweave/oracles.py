@@ -221,6 +221,31 @@ def _with(*parts: str) -> str:
     return "WITH " + ",".join(parts)
 
 
+TRANSFERS = """, c0 AS (SELECT eid, p, first_ts, CASE WHEN lag(has_d) OVER o AND lag(fid) OVER o <> fid AND first_ts >= lag(d_ts) OVER o AND first_ts <= lag(d_ts) OVER o + INTERVAL 48 HOUR THEN 0 ELSE 1 END AS b FROM stay WINDOW o AS (PARTITION BY p ORDER BY first_ts, eid)),
+      c1 AS (SELECT *, sum(b) OVER (PARTITION BY p ORDER BY first_ts, eid) AS c FROM c0)"""
+MERGED_TRANSFERS = TRANSFERS + ", chain AS (SELECT eid, n FROM (SELECT *, count(*) OVER (PARTITION BY p, c) AS n FROM c1) WHERE n > 1)"
+
+#: Overlapping stays of a patient at a facility, folded one after another.
+MERGED = """
+mst AS (
+  SELECT p, eid, arg_min(fid, pos) AS fac, min(evt) AS start, max(evt) FILTER (WHERE is_out) AS d, arg_max(evt, pos) FILTER (WHERE mark) AS m,
+    coalesce(arg_max(is_out, pos) FILTER (WHERE mark), false) AS c FROM dup GROUP BY p, eid
+),
+mnum AS (SELECT *, row_number() OVER (PARTITION BY p, fac ORDER BY start, eid) AS rn FROM mst),
+mg(p, fac, rn, eid, merged, d, m, c) AS (
+  SELECT p, fac, rn, eid, eid, d, m, c FROM mnum WHERE rn = 1
+  UNION ALL
+  SELECT x.p, x.fac, x.rn, x.eid, CASE WHEN NOT s.c OR x.start <= s.d THEN s.merged ELSE x.eid END,
+    CASE WHEN NOT s.c OR x.start <= s.d THEN greatest(s.d, x.d) ELSE x.d END,
+    CASE WHEN (NOT s.c OR x.start <= s.d) AND s.m IS NOT NULL AND (x.m IS NULL OR x.m < s.m) THEN s.m ELSE x.m END,
+    CASE WHEN (NOT s.c OR x.start <= s.d) AND s.m IS NOT NULL AND (x.m IS NULL OR x.m < s.m) THEN s.c ELSE x.c END
+  FROM mg s JOIN mnum x ON x.p = s.p AND x.fac IS NOT DISTINCT FROM s.fac AND x.rn = s.rn + 1
+),
+dupm AS (SELECT dup.* REPLACE (mg.merged AS eid) FROM dup JOIN mg ON mg.p = dup.p AND mg.eid = dup.eid)"""
+MERGED_STAYS, MERGED_RECON, MERGED_SCORE = _STAYS.replace("FROM dup", "FROM dupm"), _RECON.replace("FROM dup", "FROM dupm"), _SCORE
+EVENTS, STITCH, STAYS, ORDERS, LINK, with_ = _EVENTS, _STITCH, _STAYS, _ORDERS, _LINK, _with
+
+
 ORACLE_SQL: dict[str, str] = {
     "canonical_events": _with(_EVENTS) + f" SELECT {_KEYS}, sha256(sys || '|' || rid || '|' || t0) AS event_id, p AS patient_key, strftime(evt, '%Y-%m-%d %H:%M:%S.%f') AS event_ts, t AS event_type, pc AS patient_class, af AS admit_flag, df AS discharge_flag, auth_status, payer AS payer_id, drg, pdx AS principal_diagnosis, coalesce(dx[1] || ':1,' || dx[2] || ':2,' || dx[3] || ':3', '') AS dx FROM res",
     "record_errors": _with(_EVENTS) + " SELECT 'adt_vendor_x' AS source, count(*) AS records_in, count(*) AS records_out, 0::BIGINT AS errors FROM adt_typed WHERE sys = 'adt_vendor_x' UNION ALL SELECT 'adt_vendor_y', count(*), count(*), 0 FROM adt_typed WHERE sys = 'adt_vendor_y' UNION ALL SELECT 'claims_clearinghouse', count(*), count(*), 0 FROM claim_raw UNION ALL SELECT 'auth_portal', count(*), count(*), 0 FROM canon WHERE st = 'auth'",
@@ -229,8 +254,7 @@ ORACLE_SQL: dict[str, str] = {
     "stitch_sessions": _with(_EVENTS, _STITCH) + f" SELECT {_KEYS}, CAST(enc AS BIGINT) AS encounter_no, eid AS encounter_id FROM st",
     "near_duplicates": _with(_EVENTS, _STITCH) + f" SELECT {_KEYS}, coalesce(role, 'kept') AS role FROM dup",
     "encounter_metadata": _with(_EVENTS, _STITCH, _STAYS) + " SELECT eid AS encounter_id, p AS patient_key, etype AS encounter_type, status, has_d AS has_discharge, strftime(admit_ts, '%Y-%m-%d %H:%M:%S.%f') AS admit_ts, strftime(CASE WHEN has_d THEN d_ts END, '%Y-%m-%d %H:%M:%S.%f') AS discharge_ts, round(CASE WHEN has_d THEN (epoch_us(d_ts) - epoch_us(admit_ts)) / 3600000000 END, 6) AS los_hours, n AS n_events, systems AS source_systems, has_adt, has_claims, has_auth, obs AS obs_to_ip FROM stay",
-    "transfer_chains": _with(_EVENTS, _STITCH, _STAYS) + """, c0 AS (SELECT eid, p, first_ts, CASE WHEN lag(has_d) OVER o AND lag(fid) OVER o <> fid AND first_ts >= lag(d_ts) OVER o AND first_ts <= lag(d_ts) OVER o + INTERVAL 48 HOUR THEN 0 ELSE 1 END AS b FROM stay WINDOW o AS (PARTITION BY p ORDER BY first_ts, eid)),
-      c1 AS (SELECT *, sum(b) OVER (PARTITION BY p ORDER BY first_ts, eid) AS c FROM c0)
+    "transfer_chains": _with(_EVENTS, _STITCH, _STAYS) + TRANSFERS + """
       SELECT eid AS encounter_id, CAST(n AS INT) AS chain_length, s AS chain_start FROM (SELECT *, count(*) OVER (PARTITION BY p, c) AS n, first_value(eid) OVER (PARTITION BY p, c ORDER BY first_ts, eid) AS s FROM c1) WHERE n > 1""",
     "reconciled": _with(_EVENTS, _STITCH, _STAYS, _RECON) + " SELECT eid AS encounter_id, strftime(coalesce(adm.a, fst.a), '%Y-%m-%d %H:%M:%S.%f') AS reconciled_admit_ts, coalesce(adm.s, fst.s) AS admit_source, strftime(dis.a, '%Y-%m-%d %H:%M:%S.%f') AS reconciled_discharge_ts, dis.s AS discharge_source, CASE coalesce(pc, 'outpatient') WHEN 'ed' THEN 'ed_only' ELSE coalesce(pc, 'outpatient') END AS reconciled_type, drg, payer AS payer_id, pdx AS principal_diagnosis, dx, array_to_string(flags, ',') AS flags FROM flagged",
     "flag_counts": _with(_EVENTS, _STITCH, _STAYS, _RECON) + " SELECT flag, count(*) AS n FROM (SELECT unnest(flags) AS flag FROM flagged) GROUP BY flag",
@@ -245,6 +269,7 @@ ORACLE_SQL: dict[str, str] = {
     "episode_rows": _with(_ORDERS, _LINK, _EPISODES) + " SELECT epid AS episode_id, p AS patient_key, strftime(start, '%Y-%m-%d %H:%M:%S.%f') AS episode_start_ts, strftime(fin, '%Y-%m-%d %H:%M:%S.%f') AS episode_end_ts, round((epoch_us(fin) - epoch_us(start)) / 86400000000, 6) AS total_los_days, ids AS encounter_ids, n AS encounter_count, fs AS facility_sequence, CAST(nf AS INT) AS facility_count, rd AS includes_readmission, pa AS includes_post_acute, acute AS is_acute, status AS episode_status, pdx AS principal_diagnosis, et AS episode_type, round(conf::DOUBLE, 6) AS confidence_score, dx FROM ep",
     "episode_quality": _with(_ORDERS, _LINK, _EPISODES) + " SELECT count(*) AS episodes, round(avg(rd::INT), 6) AS readmission_rate, round(avg(conf::DOUBLE), 6) AS avg_confidence FROM ep",
     "facility_registry": "SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'NPI:' ELSE 'CCN:' END || s_suppkey AS canonical_id, s_name AS canonical_name, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey AS VARCHAR) END AS npi, CASE WHEN s_suppkey % 2 = 1 THEN CAST(s_suppkey AS VARCHAR) END AS ccn, (['acute','acute','acute','snf','rehab','psych'])[s_suppkey % 6 + 1] AS facility_type, upper(s_name) AS aliases, s_suppkey || ' Main St, ' || CASE WHEN s_suppkey % 3 > 0 THEN 'Springfield, IL' ELSE 'IL' END || CASE WHEN s_suppkey % 5 > 0 THEN ' 62701' ELSE '' END AS address FROM supplier",
+    "overlap_merge": _with(_EVENTS, _STITCH, MERGED).replace("WITH", "WITH RECURSIVE", 1) + " SELECT count(*) AS events_before, count(*) FILTER (WHERE role IS NULL) AS events_after, count(*) FILTER (WHERE role = 'duplicate') AS duplicates, (SELECT count(DISTINCT eid) - count(DISTINCT merged) FROM mg) AS encounters_merged FROM dup",
     "incremental_scan": _with(_EVENTS) + " SELECT rid AS message_control_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS message_ts, code AS hl7_event FROM adt_typed WHERE sys = 'adt_vendor_x' AND ts > TIMESTAMP '2024-01-20' - INTERVAL 24 HOUR",
     "upserted_stays": _with(_ORDERS) + " SELECT eid AS encounter_id, p AS patient_key, CASE WHEN CAST(substr(p, 2) AS INT) % 2 = 0 THEN 'closed' ELSE status END AS status, 'first' AS created_at FROM s",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from careweave.config import Settings, Source
 from careweave.operators import canonical, dedup, encounters, episodes, facility, quality, reconcile, score, stitch
@@ -87,8 +88,11 @@ def with_episodes(tables: Tables, as_of: str, settings: Settings = Settings()) -
     return episodes.recompute(tables.encounters, as_of, settings)
 
 
-def quality_rows(tables: Tables, run_id: str, as_of: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
+def judged(tables: Tables) -> DataFrame:
+    """The run's metrics with thresholds and status."""
     ingested = tables.canonical.agg(F.count("*").alias("n"))
-    return quality.metric_rows(quality.statuses(quality.metrics(tables.scored, tables.errors, ingested)), run_id, as_of)
+    return quality.statuses(quality.metrics(tables.scored, tables.errors, ingested))
+
+
+def quality_rows(tables: Tables, run_id: str, as_of: str) -> DataFrame:
+    return quality.metric_rows(judged(tables), run_id, as_of)

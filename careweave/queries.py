@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from careweave.config import Settings
-from careweave.operators import dedup, encounters, episodes, facility, quality, reconcile, score, stitch
+from careweave.operators import dedup, encounters, episodes, facility, reconcile, score, stitch
 from careweave.plans import reconciliation
 from careweave.sources import feeds, registry, scan
 from careweave.sources.shared import written
@@ -104,19 +104,6 @@ def event_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encounters.roles(*_reconciled(spark, sf_dir)).select(*EVENT, "role_in_encounter")
 
 
-def encounter_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconciliation.run_feeds(spark, sf_dir).encounters
-
-
-def run_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconciliation.quality_rows(reconciliation.run_feeds(spark, sf_dir), "run", feeds.AS_OF)
-
-
-def run_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = reconciliation.run_feeds(spark, sf_dir)
-    return quality.assertions(tables.encounters, tables.detail, reconciliation.with_episodes(tables, feeds.AS_OF)[0])
-
-
 def readmissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encounters.readmissions(feeds.stays(spark, sf_dir)).select("encounter_id", "is_readmission", "readmission_days", "prior_encounter_id")
 
@@ -145,10 +132,6 @@ def incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("message_control_id", _time("message_ts"), "hl7_event")
 
 
-def source_watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.watermarks({s.name: (df, s.incremental_key) for s, df in reconciliation.default_feeds(spark, sf_dir)})
-
-
 def upserted_stays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stays of two batches: all, then those of even patients closed by hand."""
     old = feeds.stays(spark, sf_dir).select("encounter_id", "patient_key", "status", F.lit("first").alias("created_at"))
@@ -157,6 +140,5 @@ def upserted_stays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "encounters": encounter_rows,
-    **{f.__name__: f for f in (canonical_events, record_errors, facility_resolution, new_facilities, stitch_sessions, near_duplicates, encounter_metadata, transfer_chains, overlap_merge, reconciled, flag_counts, confidence_scores, confidence_bands, event_roles, run_quality, run_assertions, readmissions, episode_links, episode_rows, episode_quality, facility_registry, incremental_scan, source_watermarks, upserted_stays)},
+    **{f.__name__: f for f in (canonical_events, record_errors, facility_resolution, new_facilities, stitch_sessions, near_duplicates, encounter_metadata, transfer_chains, overlap_merge, reconciled, flag_counts, confidence_scores, confidence_bands, event_roles, readmissions, episode_links, episode_rows, episode_quality, facility_registry, incremental_scan, upserted_stays)},
 }

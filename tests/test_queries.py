@@ -8,11 +8,14 @@ import pandas as pd
 import pytest
 
 import __spark_entry__
-from careweave import oracles, queries
+from careweave import oracles, queries, table_queries
+from careweave.plans import reconciliation
 
 DATA = "/root/testdata/sf0.001"
 for name in ("_resolved", "_stitched", "_reconciled"):  # shared steps are run once
     setattr(queries, name, functools.lru_cache(None)(getattr(queries, name)))
+reconciliation.run_feeds = functools.lru_cache(None)(reconciliation.run_feeds)
+SQL = oracles.ORACLE_SQL | table_queries.ORACLE_SQL
 
 
 def rows(df):
@@ -25,22 +28,21 @@ def rows(df):
 def duck():
     c = duckdb.connect()
     c.sql("SET TimeZone = 'UTC'")
-    for t in ("events", "orders", "supplier"):
+    for t in ("events", "orders", "supplier", "lineitem", "customer"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     return c
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
-@pytest.mark.parametrize("name", sorted(oracles.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, duck, name):
-    got, want = __spark_entry__.queries()[name](spark, DATA).toPandas(), duck.sql(oracles.ORACLE_SQL[name]).df()
+    got, want = __spark_entry__.queries()[name](spark, DATA).toPandas(), duck.sql(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 def test_entry_and_whole_plan(spark):
-    from careweave.plans import reconciliation
     from careweave.sources import feeds
 
     tables = reconciliation.run_feeds(spark, DATA)
@@ -53,4 +55,5 @@ def test_entry_and_whole_plan(spark):
 
 
 def test_all_are_registered():
-    assert set(oracles.ORACLE_SQL) <= set(queries.QUERIES) <= set(__spark_entry__.queries())
+    assert set(oracles.ORACLE_SQL) == set(queries.QUERIES) and set(table_queries.ORACLE_SQL) == set(table_queries.QUERIES)
+    assert set(SQL) <= set(__spark_entry__.queries())
