@@ -414,7 +414,8 @@ def duplicate_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.array_contains("flags", "DUPLICATE_DETECTED")).select("encounter_id")
 
 
-@query(with_(EVENTS, STITCH) + " SELECT sys AS source_system, rid AS source_record_id, side, CASE WHEN CAST(substr(p, 2) AS INT) % 2 = 0 THEN 'Q' ELSE '' END || eid AS encounter_id FROM st")
+@query(with_(EVENTS, STITCH) + """, x AS (SELECT eid, p, arg_min(fid, pos) AS f, min(evt) AS begun FROM st GROUP BY eid, p), y AS (SELECT eid, CASE WHEN CAST(substr(p, 2) AS INT) % 2 = 0 THEN 'Q' || min(eid) OVER (PARTITION BY p, f, begun) ELSE eid END AS q FROM x)
+  SELECT sys AS source_system, rid AS source_record_id, side, q AS encounter_id FROM st JOIN y USING (eid)""")
 def continued_encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A later run of the same events: stays of even patients keep their earlier ids."""
     events = _stitched(spark, sf_dir)
