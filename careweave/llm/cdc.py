@@ -18,7 +18,9 @@ plain equi-joins whose hot keys Spark may split.
 
 Defined cases: a null text is an empty text; rows with equal identifier and text are
 one document, so they are treated alike; null identifiers order last; an empty table
-gives an empty table; other columns are not looked at. A removed run never splits a
+gives an empty table; other columns are not looked at. A very long text is chunked whole, in
+memory of some tens of bytes for each of its bytes. Ties of the first copy are broken by
+content and place. A removed run never splits a
 UTF-8 character.
 """
 

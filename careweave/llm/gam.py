@@ -13,7 +13,8 @@ Defined cases: a null text is an empty text, which is scored too; rows without a
 or with a null one, don't train; conflicting labels all count, rows of equal
 identifier once for each label; with no
 label at all every score is 0.5; an empty table gives an empty table; other columns
-are not looked at.
+are not looked at. A very long text is one row of features, read whole. Ties: rows of equal
+hash are ordered by identifier and label, equal gains of a split or pair take the first.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@
 
 Defined cases: a null text has size 0; a document in no source, or in the null source
 (which comes last), is a pattern like others; repeated rows count each, and identical
-ones are chosen alike; an empty table gives an empty table; input columns beside those
+ones are chosen alike, and so are rows of equal hash; a very long document is first fit like
+others, and traded if that brings the sum nearer; an empty table gives an empty table; input columns beside those
 named are not looked at. Reruns agree, as the choice depends on seed and content only.
 """
 

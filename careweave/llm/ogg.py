@@ -8,7 +8,8 @@ lacing values (also over page borders) and turns granule positions into seconds.
 
 Defined cases: a null text is an empty text; an empty text still gives one block of
 padding; repeated rows stay repeated; an empty table gives an empty table; other
-columns of the input are not looked at. A damaged file gives a row whose ``error``
+columns of the input are not looked at. A very long text is one file of many pages; ties
+don't arise, as a file depends on its text only. A damaged file gives a row whose ``error``
 says what is wrong and whose other values are null.
 """
 

@@ -15,7 +15,7 @@ Pieces then get a rank within their length, dealt by a hash so that a length whi
 holds a third of all pieces is ranked by many tasks, and the rank names the sequence.
 
 Defined cases: a null text is an empty text (a piece that holds only the end id);
-repeated rows give pieces of their own; an empty table gives no piece; other columns
+a very long text is encoded in pieces and cut; repeated rows give pieces of their own; an empty table gives no piece; other columns
 are not looked at. Ranks order equal lengths by content, so reruns agree but for which
 of several identical rows stands where.
 """

@@ -11,7 +11,8 @@ Plain base rules come first: too few words, or too many words in repeated window
 Defined cases: a null text has no words and fails the base rule; documents of null
 language are judged but don't count for a reference; without any reference nothing is
 compared; repeated rows get equal answers; an empty table gives an empty table; other
-columns are not looked at.
+columns are not looked at. A very long text is counted whole. Ties: words of equal count
+are common in order of their bytes; a distance equal to its limit passes.
 """
 
 from __future__ import annotations

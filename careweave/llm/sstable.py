@@ -9,7 +9,9 @@ these are. ``lookup`` reads footer, filter, index and one run of blocks.
 
 Defined cases: a null text is an empty text (its row holds only the end id); null
 identifiers sort first; repeated rows are all stored; an empty table gives no shard and
-no row; other columns are not looked at. A task that runs again writes the same shard
+no row; other columns are not looked at. A very long text is encoded in pieces and is one
+entry of a block of its own size. Ties (equal identifiers) are stored in order of row
+number. A task that runs again writes the same shard
 under a name of its own and moves it into place.
 """
 
