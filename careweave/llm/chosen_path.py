@@ -6,14 +6,15 @@ one child for each chosen token. Sets of similarity s share s / LAMBDA children
 shared node on average, so similar sets keep meeting while others part; the number of
 runs follows from the wanted recall at the threshold. Nodes of more than ``LARGE`` sets
 after the first levels aren't buckets: their sets walk on to a greater depth, in as many
-runs as the recall needs there.
+runs as the recall needs there. Sets that are close to the least member of the node needn't
+walk on, as whatever is similar to them is kindred to that member too.
 
 Buckets are searched by brute force with a sketch of each set, its ``SKETCH`` least
 hashes: sets that share two fifths of them are candidates, and strangers that happen to
 meet are none, so candidate components hold kindred sets only, however many documents
 there are. (Sets of similarity 0.8 share four fifths on average; that they share less than
 two fifths has a chance of one in ten million.) What still fills a node of more than
-``LARGE`` sets at the greatest depth is kindred, and is joined to its least member.
+``LARGE`` sets at the greatest depth is joined to its least member.
 
 All pairs of a candidate component are compared exactly, block against block, so a
 component of any size is spread over many tasks, no pair is counted twice, and no pair is
@@ -49,9 +50,11 @@ LAMBDA = 0.75
 LEVELS = 3
 RECALL = 0.995
 #: Sets of a node with more than this walk on, so many levels more.
-LARGE, MORE_LEVELS = 256, 9
+LARGE, MORE_LEVELS = 256, 3
+#: The last depth.
+DEEPEST = 12
 #: Least hashes of a set in its sketch, and the share of them that candidates have in common.
-SKETCH, KINDRED = 32, (2, 5)
+SKETCH, KINDRED, CLOSE = 32, (2, 5), (4, 5)
 #: Sets and bytes in a block of a candidate component.
 BLOCK_SETS, BLOCK_BYTES = 512, 4 << 20
 #: Bytes of a text that are hashed at a time, and numbers in a matrix of hashes.
@@ -185,15 +188,19 @@ def _sketches(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(emit, "key binary, sketch binary")
 
 
-def kindred(sketches: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether the rows of each pair (a, b) share enough of their sketches, which are rows
-    of distinct numbers, filled up with 0."""
+def as_rows(sketches: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(x.ljust(8 * SKETCH, b"\0") for x in sketches), "<u8").reshape(len(sketches), SKETCH)
+
+
+def kindred(sketches: np.ndarray, a: np.ndarray, b: np.ndarray, share: tuple[int, int] = KINDRED) -> np.ndarray:
+    """Whether the rows of each pair (a, b) have that share of their sketches in common,
+    which are rows of distinct numbers, filled up with 0."""
     out, sizes = np.empty(len(a), bool), (sketches > 0).sum(1)
     for first in range(0, len(a), 2048):
         i, j = a[first : first + 2048], b[first : first + 2048]
         x = np.sort(np.concatenate([sketches[i], sketches[j]], axis=1), axis=1)
         both = ((x[:, 1:] == x[:, :-1]) & (x[:, 1:] > 0)).sum(1)
-        out[first : first + 2048] = KINDRED[1] * both >= KINDRED[0] * np.maximum(sizes[i], sizes[j])
+        out[first : first + 2048] = share[1] * both >= share[0] * np.maximum(sizes[i], sizes[j])
     return out
 
 
@@ -225,8 +232,7 @@ def _searched(members: DataFrame) -> DataFrame:
         def edges(t: pa.RecordBatch) -> pa.RecordBatch:
             keys = t.column(1).to_pylist()
             texts = t.column(2).to_pylist()
-            sketches = np.frombuffer(b"".join(x.ljust(8 * SKETCH, b"\0") for x in texts), "<u8").reshape(len(texts), SKETCH)
-            a, b = bucket_edges(t.column(0).to_numpy(), sketches)
+            a, b = bucket_edges(t.column(0).to_numpy(), as_rows(texts))
             if len(done) > 500_000:
                 done.clear()
             fresh = {(keys[i], keys[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True) if keys[i] != keys[j]} - done
@@ -247,30 +253,49 @@ def _searched(members: DataFrame) -> DataFrame:
     return members.select("path", "key", "sketch").repartition("path").sortWithinPartitions("path").mapInArrow(work, "u binary, v binary")
 
 
-def candidate_edges(rows: DataFrame, recall: float, levels: int = LEVELS, large: int = LARGE, more: int = MORE_LEVELS) -> DataFrame:
+def candidate_edges(rows: DataFrame, recall: float, levels: int = LEVELS, large: int = LARGE, more: int = MORE_LEVELS, deepest: int = DEEPEST) -> DataFrame:
     """(u, v): edges that join the kindred sets of every bucket."""
-    found, asked = [], rows
-    for depth in (levels, levels + more):
+    found, asked, depth = [], rows, levels
+    while True:
         paths = common.written(_paths(asked, runs_for(recall, THRESHOLD[0] / THRESHOLD[1], LAMBDA, depth), depth), "paths")
         nodes = common.written(_nodes(paths), "nodes")
         if not nodes.where(F.col("n") > large).isEmpty():
             # copies of a text in several batches are not several sets
             paths = common.written(paths.distinct(), "paths")
             nodes = common.written(_nodes(paths), "nodes")
-        here = common.written(paths.join(nodes.where(F.col("n") <= large).select("path"), "path").distinct(), "members")
+        here = common.written(paths.join(nodes, "path").select("path", "key", "least", (F.col("n") > large).alias("crowded")).distinct(), "members")
         met = here.select("key").distinct()
-        sketches = _sketches(asked.join(met, "key", "left_semi").select("key", "text"))
-        found.append(_searched(here.join(sketches.dropDuplicates(["key"]), "key")))
-        crowded = nodes.where(F.col("n") > large)
-        if depth > levels:
-            found.append(paths.join(crowded, "path").where("key <> least").select(F.col("key").alias("u"), F.col("least").alias("v")))
-        elif crowded.isEmpty():
+        sketches = _sketches(asked.join(met, "key", "left_semi").select("key", "text")).groupBy("key").agg(F.first("sketch").alias("sketch"))
+        sketches = common.written(sketches, "sketches")
+        found.append(_searched(here.where("NOT crowded").join(sketches, "key")))
+        stars = here.where("crowded AND key <> least").select("key", "least").distinct()
+        if stars.isEmpty():
+            break
+        least = sketches.select(F.col("key").alias("least"), F.col("sketch").alias("other"))
+        judged = common.written(_judged(stars.join(sketches, "key").join(least, "least")), "stars")
+        last = depth >= deepest
+        found.append((judged if last else judged.where("kindred")).select(F.col("key").alias("u"), F.col("least").alias("v")))
+        walkers = judged.where("NOT close").select("key").distinct()
+        if last or walkers.isEmpty():
             break
         # the deeper nodes lie below those that the sets were in, or in the runs that are added
-        asked = rows.join(paths.join(crowded.select("path"), "path").select("key").distinct(), "key", "left_semi")
+        asked = rows.join(walkers, "key", "left_semi")
+        depth += more
     return functools.reduce(DataFrame.union, found).distinct()
 
 
+def _judged(stars: DataFrame) -> DataFrame:
+    """(key, least, kindred, close) of rows with the sketches of both sets."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            rows, i = as_rows(b.column(2).to_pylist() + b.column(3).to_pylist()), np.arange(n)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kindred(rows, i, i + n)), pa.array(kindred(rows, i, i + n, CLOSE))], names=["key", "least", "kindred", "close"])
+
+    return stars.select("key", "least", "sketch", "other").mapInArrow(work, "key binary, least binary, kindred boolean, close boolean")
+
+
 class _Forest:
     def __init__(self, n: int) -> None:
         self.up = list(range(n))
@@ -368,9 +393,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rec
     common.small_batches(docs.sparkSession)
     rows = _rows(docs, id_col, text_col)
     copies = common.written(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.max(F.length("text")).alias("size")), "copies")
-    edges = candidate_edges(rows, recall, large=large)
+    began = common.n_tables()
+    edges = common.written(candidate_edges(rows, recall, large=large), "candidates")
+    common.clear(docs.sparkSession, began, keep=1)
     members = graph.components(edges).select(F.col("v").alias("key"), F.col("root").alias("component"))
     found = common.written(verified(rows, members, copies), "links")
+    common.clear(docs.sparkSession, began, keep=1)
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     roots = graph.components(found.select(F.col("key").alias("u"), F.col("root").alias("v"))).select(F.col("v").alias("key"), F.col("root").alias("class"))
     sets = copies.join(links, "key", "left").join(roots, "key", "left").withColumn("class", F.coalesce("class", "key"))

@@ -437,6 +437,7 @@ def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     with ``whole_characters`` a removed run is shrunk so as not to split any."""
     common.small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), common.text_key(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    began = common.n_tables()
     found = common.written(_anchor_rows(rows, length), "anchors")
     shared = found.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
     wanted = found.join(shared, "hash").groupBy("key").agg(F.collect_set("hash").alias("shared"))
@@ -444,6 +445,7 @@ def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     asked = wanted.join(copies, "key")
     texts = rows.join(asked, "key").where(F.col("id").eqNullSafe(F.col("first_id"))).dropDuplicates(["key"])
     texts = common.written(texts.select("key", "text", "n", "shared"), "texts")
+    common.clear(docs.sparkSession, began, keep=1)
     spans = repeated(texts, length, hot, hotter).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     schema = pa.schema([("key", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
