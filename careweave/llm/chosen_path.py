@@ -6,14 +6,15 @@ one child for each chosen token. Sets of similarity s share s / LAMBDA children
 shared node on average, so similar sets keep meeting while others part; the number of
 runs follows from the wanted recall at the threshold. Nodes of more than ``LARGE`` sets
 after the first levels aren't buckets: their sets walk on to a greater depth, in as many
-runs as the recall needs there. Sets that are close to the least member of the node needn't
-walk on, as whatever is similar to them is kindred to that member too.
+runs as the recall needs there. Sets that are close to the least member of the node (seven
+tenths) needn't walk on: whatever is similar to them has at least half in common with that
+member, so it is kindred to it but for one case in a thousand at worst.
 
 Buckets are searched by brute force with a sketch of each set, its ``SKETCH`` least
-hashes: sets that share two fifths of them are candidates, and strangers that happen to
+hashes: sets that share a quarter of them are candidates, and strangers that happen to
 meet are none, so candidate components hold kindred sets only, however many documents
 there are. (Sets of similarity 0.8 share four fifths on average; that they share less than
-two fifths has a chance of one in ten million.) What still fills a node of more than
+a quarter has a chance of less than one in a billion.) What still fills a node of more than
 ``LARGE`` sets at the greatest depth is joined to its least member.
 
 All pairs of a candidate component are compared exactly, block against block, so a
@@ -54,7 +55,7 @@ LARGE, MORE_LEVELS = 256, 3
 #: The last depth.
 DEEPEST = 12
 #: Least hashes of a set in its sketch, and the share of them that candidates have in common.
-SKETCH, KINDRED, CLOSE = 32, (2, 5), (4, 5)
+SKETCH, KINDRED, CLOSE = 32, (1, 4), (7, 10)
 #: Sets and bytes in a block of a candidate component.
 BLOCK_SETS, BLOCK_BYTES = 512, 4 << 20
 #: Bytes of a text that are hashed at a time, and numbers in a matrix of hashes.
