@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,35 +44,76 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
     """Cut the lineage of ``df`` by a Parquet table in the shared folder. The table that it
-    was made from, and that nothing else will read, may be given up for it."""
-    path = new_folder(df.sparkSession, name)
+    was made from, and that nothing else will read, may be given up for it.
+
+    Whoever doesn't clear the table leaves it until the application ends."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    at, files = _place(spark, path)
+    files.deleteOnExit(at)
     if instead_of is not None:
         for old in {f.rpartition("/")[0] for f in instead_of.inputFiles()}:
-            _delete(df.sparkSession, old)
-    _TABLES.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+            _delete(spark, old)
+    _tables().append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_OF_THREAD = threading.local()
 
 
-#: Tables written by this process that nobody has deleted.
-_TABLES: list[str] = []
+def _tables() -> list[str]:
+    """Tables written by this thread that nobody has deleted: queries of other threads
+    have lists of their own."""
+    if not hasattr(_OF_THREAD, "tables"):
+        _OF_THREAD.tables = []
+    return _OF_THREAD.tables
+
+
+def _place(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    at, files = _place(spark, path)
+    files.delete(at, True)
 
 
 def clear(spark: SparkSession, since: int, keep: int = 0) -> None:
-    """Delete the tables written after the first ``since``, but for the last ``keep``."""
-    done = _TABLES[since : len(_TABLES) - keep]
-    for path in done:
+    """Delete the tables that this thread wrote after its first ``since``, but for the last
+    ``keep``."""
+    tables = _tables()
+    for path in tables[since : len(tables) - keep]:
         _delete(spark, path)
-    _TABLES[since : len(_TABLES) - keep] = []
+    tables[since : len(tables) - keep] = []
 
 
 def n_tables() -> int:
-    return len(_TABLES)
+    return len(_tables())
+
+
+def whole_vectors(df: DataFrame, vector_col: str) -> Column:
+    """Whether the vector is there and all its components are finite numbers."""
+    good = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.col(vector_col).isNotNull() & F.coalesce(good, F.lit(False))
+
+
+#: Keys that hold more than one in so many rows are hot: there are fewer of them than that.
+HOT_SHARE = 1000
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, key: str, weight: str) -> DataFrame:
+    """``rows`` with the columns of their key's line in ``facts`` (null is a key, too).
+
+    ``weight`` is the column of ``facts`` that counts the rows of a key. Keys of more than a
+    thousandth of all rows are fewer than a thousand, so their lines are broadcast and the
+    rows stay where they are; the rows of all other keys are joined by shuffle."""
+    n = facts.agg(F.sum(weight)).first()[0] or 0
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    facts = facts.withColumnRenamed(key, "_key")
+    hot = F.broadcast(facts.where(F.col(weight) * HOT_SHARE > n))
+    cold = rows.join(hot.select("_key"), same, "left_anti").join(facts.where(F.col(weight) * HOT_SHARE <= n), same)
+    return rows.join(hot, same).unionByName(cold).drop("_key", weight)
 
 
 def crc_bucket(id_col: str, n: int) -> Column:
