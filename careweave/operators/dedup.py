@@ -8,76 +8,63 @@ from pyspark.sql.window import Window
 
 from careweave.config import Settings
 from careweave.functions import rules
+from careweave.operators.slices import Slices
 from careweave.operators.stitch import is_discharge, is_marker, order, position
+from careweave.sources.shared import written
 
 
 def priority(table: tuple[tuple[str, int], ...]) -> Column:
     return F.coalesce(rules.mapped(F.col("source_type"), {k: str(v) for k, v in table}).cast("int"), F.lit(0))
 
 
-def clusters(events: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Adds ``cluster`` within the encounter and the match fields: chains of events that
-    follow each other within the tolerance. Nulls of a field are equal."""
-    keys = ["encounter_id", *settings.match_fields]
-    w = Window.partitionBy(*keys).orderBy(*order(settings))
-    far = F.unix_micros("event_ts") - F.unix_micros(F.lag("event_ts").over(w)) > settings.tolerance_minutes * 60_000_000
-    return events.withColumn("cluster", F.sum(F.coalesce(far, F.lit(True)).cast("int")).over(w))
-
-
 def mark_duplicates(events: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Adds ``role``: ``duplicate`` for all but the best event of each cluster."""
-    keys = ["encounter_id", *settings.match_fields, "cluster"]
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(priority(settings.timestamp_priority).desc(), F.col("ingested_at").asc_nulls_last(), *order(settings)))
-    return clusters(events, settings).withColumn("role", F.when(nth > 1, "duplicate")).drop("cluster")
+    """Adds ``role``: ``duplicate`` for all but the best event of each cluster.
+
+    Clusters are chains of events of an encounter that follow each other within the
+    tolerance and are equal in the match fields; nulls of a field are equal."""
+    keys = ["encounter_id", *settings.match_fields]
+    slices, by = Slices.of(events, keys, "event_ts", settings.slice_rows), order(settings)
+    rows = slices.running(slices.cut(events, "event_ts"), by, _before=("last", F.col("event_ts")))
+    far = F.unix_micros("event_ts") - F.unix_micros("_before") > settings.tolerance_minutes * 60_000_000
+    rows = slices.running(rows, by, _cluster=("sum", F.coalesce(far, F.lit(True)).cast("int")))
+    merit = F.struct((-priority(settings.timestamp_priority)).alias("p"), F.col("ingested_at").isNull().alias("late"), F.col("ingested_at").alias("came"), position(settings).alias("at"))
+    rows = slices.least(rows.withColumn("_merit", merit), [*keys, "_cluster"], _best=F.col("_merit"))
+    # of equals one stays
+    parts = [] if slices.cells is None else ["_slice"]
+    nth = F.row_number().over(Window.partitionBy(*keys, "_cluster", *parts).orderBy("_merit"))
+    rows = rows.withColumn("role", F.when((nth > 1) | (F.col("_merit") > F.col("_best")), "duplicate"))
+    return slices.done(rows).drop("_before", "_cluster", "_merit", "_best")
 
 
 def merge_overlaps(events: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Adds ``merged_id``: overlapping stays of a patient at a facility get the first's id."""
+    """Adds ``merged_id``: overlapping stays of a patient at a facility get the first's id.
+
+    Stays are taken by their start. A group goes on while its latest marker isn't a discharge,
+    or the next stay starts no later than the group's last discharge. A group that can end has
+    a discharge, which is after all those of earlier groups, so the greatest discharge and the
+    latest marker of all stays before are the group's own, unless that marker's stay was
+    before the group; then the group has none. So a stay may begin a group if the latest
+    marker before it is a discharge and all discharges before it are earlier, and it does so
+    if no stay may have since the one of that marker."""
     at = position(settings)
-    first_facility = F.min_by("facility_id", at)
     stays = events.groupBy("patient_key", "encounter_id").agg(
-        first_facility.alias("facility"),
+        F.min_by("facility_id", at).alias("facility"),
         F.min("event_ts").alias("start"),
         F.max(F.when(is_discharge(), F.col("event_ts"))).alias("discharge"),
         F.max(F.when(is_marker(), at)).alias("_mark"),
         F.max_by(is_discharge(), F.when(is_marker(), at)).alias("_closed"),
-        F.max(F.col("event_type") == "CANCEL_DISCHARGE").alias("_cancels"),
     )
-    stays = stays.withColumns({"marked": F.col("_mark.event_ts"), "closed": F.coalesce(F.col("_mark").isNotNull() & F.col("_closed"), F.lit(False))})
-    stays = stays.withColumn("_fold", F.max("_cancels").over(Window.partitionBy("patient_key", "facility")))
-    named = _by_windows(stays.where("NOT _fold")).unionByName(_by_fold(stays.where("_fold")))
-    return events.join(named, ["patient_key", "encounter_id"])
-
-
-def _by_windows(stays: DataFrame) -> DataFrame:
-    g = Window.partitionBy("patient_key", "facility").orderBy("start", "encounter_id")
-    end = F.when(F.col("closed"), F.col("discharge"))
-    apart = F.coalesce(F.col("start") > F.max(end).over(g.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
-    parts = stays.withColumn("_apart", apart).withColumn("_part", F.sum(F.col("_apart").cast("int")).over(g))
-    # a part whose stays are all open reaches into the next one
-    any_closed = F.max("closed").over(Window.partitionBy("patient_key", "facility", "_part"))
-    parts = parts.withColumn("_ends", any_closed)
-    breaks = F.col("_apart") & F.coalesce(F.lag("_ends").over(g), F.lit(False))
-    parts = parts.withColumn("_group", F.sum(breaks.cast("int")).over(g))
-    first = F.first("encounter_id").over(Window.partitionBy("patient_key", "facility", "_group").orderBy("start", "encounter_id"))
-    return parts.select("patient_key", "encounter_id", first.alias("merged_id"))
-
-
-def _by_fold(stays: DataFrame) -> DataFrame:
-    """The same with cancelled discharges, whose state can't be told from running maxima."""
-    item = F.struct("start", "encounter_id", "discharge", "marked", "closed")
-
-    def step(s: Column, x: Column) -> Column:
-        joins = s["id"].isNotNull() & (~s["closed"] | (x["start"] <= s["discharge"]))
-        later = joins & s["marked"].isNotNull() & (x["marked"].isNull() | (x["marked"] < s["marked"]))
-        pick = lambda name: F.when(later, s[name]).otherwise(x[name])
-        named = F.when(joins, s["id"]).otherwise(x["encounter_id"])
-        out = F.array_append(s["out"], rules.named(encounter_id=x["encounter_id"], merged_id=named))
-        return rules.named(id=named, discharge=F.when(joins, F.greatest(s["discharge"], x["discharge"])).otherwise(x["discharge"]), marked=pick("marked"), closed=pick("closed"), out=out)
-
-    start = F.expr("named_struct('id', cast(null as string), 'discharge', cast(null as timestamp), 'marked', cast(null as timestamp), 'closed', false, 'out', cast(array() as array<struct<encounter_id:string,merged_id:string>>))")
-    folded = stays.groupBy("patient_key", "facility").agg(F.aggregate(F.array_sort(F.collect_list(item)), start, step)["out"].alias("out"))
-    return folded.select("patient_key", F.inline("out"))
+    stays = written(stays.select("patient_key", "encounter_id", "facility", "start", "discharge", F.col("_mark.event_ts").alias("marked"), F.coalesce("_closed", F.lit(False)).alias("closed")), "stays-to-merge")
+    slices, by = Slices.of(stays, ["patient_key", "facility"], "start", settings.slice_rows), [F.col("start"), F.col("encounter_id")]
+    here = F.struct("start", "encounter_id")
+    mark = F.when(F.col("marked").isNotNull(), F.struct("marked", here.alias("at"), "closed"))
+    rows = slices.running(slices.cut(stays, "start"), by, _out=("max", F.col("discharge")), _mark=("max", mark), _first=("sum", F.lit(1)))
+    may = F.col("_mark.closed") & (F.col("start") > F.col("_out"))
+    rows = rows.withColumn("_may", F.coalesce(may, F.lit(False)))
+    rows = slices.running(rows, by, _last=("last", F.when(F.col("_may"), here)))
+    begins = (F.col("_first") == 1) | (F.col("_may") & F.coalesce(F.col("_last") <= F.col("_mark.at"), F.lit(True)))
+    rows = slices.running(rows.withColumn("_begins", begins), by, merged_id=("latest", F.when(F.col("_begins"), F.col("encounter_id"))))
+    return events.join(rows.select("patient_key", "encounter_id", "merged_id"), ["patient_key", "encounter_id"])
 
 
 def counts(events: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ def readmissions(stays: DataFrame, settings: Settings = Settings()) -> DataFrame
 
     ``stays``: patient_key, encounter_id, admit_ts, discharge_ts, facility_type. The
     nearest earlier acute, discharged stay counts whose gap is at most so many whole days."""
-    rows = stays.withColumn("_nth", F.row_number().over(Window.partitionBy("patient_key").orderBy("admit_ts", "encounter_id")))
+    rows = stays.withColumn("_nth", F.struct("admit_ts", "encounter_id"))
     prior = rows.where("facility_type = 'acute' AND discharge_ts IS NOT NULL").select("patient_key", "admit_ts", F.col("_nth").alias("_before"), F.col("discharge_ts").alias("_left"), F.col("encounter_id").alias("_prior"))
     # in time slices of the window's length, so that a patient of many years isn't one group
     reach = (settings.readmission_days + 1) * DAY
@@ -40,7 +40,9 @@ def roles(events: DataFrame, reconciled: DataFrame, settings: Settings = Setting
     admit = alive & is_admit() & (F.col("event_ts") == F.col("reconciled_admit_ts"))
     leave = alive & is_discharge() & F.coalesce(F.col("event_ts") == F.col("reconciled_discharge_ts"), F.lit(False))
     kind = F.when(admit, "admit_anchor").when(leave, "discharge_anchor")
-    nth = F.row_number().over(Window.partitionBy("encounter_id", "_kind").orderBy(*order(settings)))
+    # events that can't be anchors are spread, not gathered by encounter
+    spread = F.when(F.col("_kind").isNull(), F.xxhash64("event_id"))
+    nth = F.row_number().over(Window.partitionBy("encounter_id", "_kind", spread).orderBy(*order(settings)))
     rows = rows.withColumn("_kind", kind).withColumn("_nth", nth)
     role = F.coalesce("role", F.when(F.col("_kind").isNotNull() & (F.col("_nth") == 1), F.col("_kind")), F.lit("supporting"))
     return rows.withColumn("role_in_encounter", role).drop("_kind", "_nth", "reconciled_admit_ts", "reconciled_discharge_ts")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from careweave.config import Settings
 from careweave.functions import rules
+from careweave.operators.slices import Slices
 
 DAY = 86_400_000_000
 
@@ -32,16 +32,17 @@ def link(stays: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Adds ``link`` (the rule, or null), ``episode_no`` and ``episode_id``.
 
     An episode can only go on while every stay since the last discharge links to it."""
-    w = Window.partitionBy("patient_key").orderBy("admit_ts", "encounter_id")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    left = F.struct("discharge_ts", "is_acute", "facility_id")
-    rows = stays.withColumns({"_run": F.count("discharge_ts").over(before), "_prior": F.last(F.when(F.col("discharge_ts").isNotNull(), left), ignorenulls=True).over(before)})
+    slices, by = Slices.of(stays, ["patient_key"], "admit_ts", settings.slice_rows), [F.col("admit_ts"), F.col("encounter_id")]
+    here = F.struct("admit_ts", "encounter_id")
+    left = F.when(F.col("discharge_ts").isNotNull(), F.struct(here.alias("at"), "discharge_ts", "is_acute", "facility_id"))
+    rows = slices.running(slices.cut(stays, "admit_ts"), by, _prior=("last", left))
     rows = rows.withColumn("_kind", link_kind(F.col("_prior"), settings))
-    linked = F.min(F.col("_kind").isNotNull().cast("int")).over(Window.partitionBy("patient_key", "_run").orderBy("admit_ts", "encounter_id")) == 1
-    rows = rows.withColumn("_linked", linked)
-    rows = rows.withColumn("episode_no", F.sum((~F.col("_linked")).cast("int")).over(w))
-    first = F.first("encounter_id").over(Window.partitionBy("patient_key", "episode_no").orderBy("admit_ts", "encounter_id"))
-    return rows.withColumns({"link": F.when(F.col("_linked"), F.col("_kind")), "episode_id": F.sha2(F.concat_ws("|", F.lit("episode"), first), 256)}).drop("_run", "_prior", "_kind", "_linked")
+    # no stay after the last discharged one fails to link to it
+    rows = slices.running(rows, by, _failed=("latest", F.when(F.col("_kind").isNull(), here)))
+    rows = rows.withColumn("_linked", F.col("_kind").isNotNull() & F.coalesce(F.col("_failed") <= F.col("_prior.at"), F.lit(True)))
+    rows = slices.running(rows, by, episode_no=("sum", (~F.col("_linked")).cast("int")), _first=("latest", F.when(~F.col("_linked"), F.col("encounter_id"))))
+    rows = rows.withColumns({"link": F.when(F.col("_linked"), F.col("_kind")), "episode_id": F.sha2(F.concat_ws("|", F.lit("episode"), "_first"), 256)})
+    return slices.done(rows).drop("_prior", "_kind", "_failed", "_linked", "_first")
 
 
 def episodes(linked: DataFrame, as_of, grouper: Callable[[Column, Column], Column] = rules.episode_type) -> DataFrame:

@@ -1,18 +1,25 @@
 """Events to encounters: gaps, facilities, forced splits, transfers, stable ids.
 
-All is windows over one patient's events in one total order, so a single exchange on
-``patient_key`` serves every step here.
+All is running values over one patient's events in one total order (see ``slices``), so a
+single exchange on ``patient_key`` serves every step here, and patients of very many events
+are dealt out in slices of time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from careweave import config
 from careweave.config import Settings
 from careweave.functions import rules
+from careweave.operators.slices import Slices
+from careweave.sources.shared import written
 
 
 def source_rank(tiebreak: tuple[str, ...]) -> Column:
@@ -42,58 +49,116 @@ def is_marker() -> Column:
     return is_discharge() | (F.col("event_type") == "CANCEL_DISCHARGE")
 
 
-def sessions(events: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Adds ``begins`` and ``base``: a new session after a long gap or another facility."""
-    w = Window.partitionBy("patient_key").orderBy(*order(settings))
-    gap = F.unix_micros("event_ts") - F.unix_micros(F.lag("event_ts").over(w)) > settings.window_hours * 3_600_000_000
-    begins = F.lag("event_ts").over(w).isNull() | gap
+def _whole() -> Slices:
+    return Slices(["patient_key"])
+
+
+def sessions(events: DataFrame, settings: Settings = Settings(), slices: Slices | None = None) -> DataFrame:
+    """Adds ``begins``: a new session after a long gap or at another facility."""
+    rows = (slices or _whole()).running(events, order(settings), _before=("last", F.struct("event_ts", "facility_id")))
+    before = F.col("_before")
+    begins = before.isNull() | (F.unix_micros("event_ts") - F.unix_micros(before["event_ts"]) > settings.window_hours * 3_600_000_000)
     if settings.facility_must_match:
-        before = F.lag("facility_id").over(w)
-        begins = begins | F.col("facility_id").isNull() | before.isNull() | (F.col("facility_id") != before)
-    events = events.withColumn("begins", F.coalesce(begins, F.lit(True)))
-    return events.withColumn("base", F.sum(F.col("begins").cast("int")).over(w))
+        begins = begins | F.col("facility_id").isNull() | before["facility_id"].isNull() | (F.col("facility_id") != before["facility_id"])
+    return rows.withColumn("begins", F.coalesce(begins, F.lit(True))).drop("_before")
 
 
-def forced_splits(events: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def forced_splits(events: DataFrame, settings: Settings = Settings(), slices: Slices | None = None) -> DataFrame:
     """Adds ``splits``: an admission of some class after a discharge starts a new stay.
 
-    The one rule (inpatient after inpatient) has a closed form; others fold a session."""
+    The one rule (inpatient after inpatient) has a closed form: the last marker of the
+    session is a discharge, an inpatient event is in it, and no admission has split it since.
+    Other rules run a machine of ten states along each patient."""
+    slices = slices or _whole()
     if settings.transitions != (("inpatient", "inpatient"),):
-        return _folded_splits(events, settings)
-    w = Window.partitionBy("patient_key", "base").orderBy(*order(settings))
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    events = events.withColumn("_nth", F.row_number().over(w))
-    inpatient = F.col("patient_class").eqNullSafe("inpatient")
-    events = events.withColumns({
-        "_mark": F.last(F.when(is_marker(), F.col("_nth")), ignorenulls=True).over(before),
-        "_closed": F.last(F.when(is_marker(), is_discharge()), ignorenulls=True).over(before),
-        "_seen": F.max(inpatient).over(before),
-    })
-    candidate = F.coalesce(is_admit() & inpatient & F.col("_closed") & F.col("_seen"), F.lit(False))
-    events = events.withColumn("_candidate", candidate)
-    first = F.row_number().over(Window.partitionBy("patient_key", "base", "_mark", "_candidate").orderBy(*order(settings))) == 1
-    return events.withColumn("splits", F.col("_candidate") & first).drop("_nth", "_mark", "_closed", "_seen", "_candidate")
-
-
-def _folded_splits(events: DataFrame, settings: Settings) -> DataFrame:
-    w = Window.partitionBy("patient_key", "base").orderBy(*order(settings))
-    priority = F.coalesce(F.array_position(F.array(*map(F.lit, config.CLASS_PRIORITY)), F.col("patient_class")), F.lit(0)).cast("int")
-    kind = F.when(is_discharge(), 1).when(F.col("event_type") == "CANCEL_DISCHARGE", 2).when(is_admit(), 3).otherwise(0)
-    numbered = events.withColumn("_nth", F.row_number().over(w))
-    item = F.struct("_nth", kind.alias("kind"), F.when(priority == 0, 9).otherwise(priority).alias("class"))
-    pairs = [(config.CLASS_PRIORITY.index(a) + 1, config.CLASS_PRIORITY.index(b) + 1) for a, b in settings.transitions]
-
-    def step(state: Column, x: Column) -> Column:
-        rule = F.lit(False)
-        for a, b in pairs:
-            rule = rule | ((state["class"] == a) & (x["class"] == b))
-        split = state["closed"] & (x["kind"] == 3) & rule
-        closed = F.when(x["kind"] == 1, True).when(x["kind"] == 2, False).when(split, False).otherwise(state["closed"])
-        return rules.named(closed=closed, **{"class": F.when(split, x["class"]).otherwise(F.least(state["class"], x["class"]))}, at=F.when(split, F.array_append(state["at"], x["_nth"])).otherwise(state["at"]))
-
-    start = F.struct(F.lit(False).alias("closed"), F.lit(9).alias("class"), F.array().cast("array<int>").alias("at"))
-    folded = numbered.groupBy("patient_key", "base").agg(F.aggregate(F.array_sort(F.collect_list(item)), start, step)["at"].alias("_at"))
-    return numbered.join(folded, ["patient_key", "base"]).withColumn("splits", F.array_contains("_at", F.col("_nth"))).drop("_nth", "_at")
+        return _machine_splits(events, settings, slices)
+    here, inpatient = position(settings), F.col("patient_class").eqNullSafe("inpatient")
+    rows = slices.running(
+        events, order(settings),
+        _mark=("last", F.when(is_marker(), F.struct(here.alias("at"), is_discharge().alias("out")))), _began=("latest", F.when(F.col("begins"), here)), _seen=("last", F.when(inpatient, here)),
+    )
+    closed = F.col("_mark.out") & (F.col("_mark.at") >= F.col("_began"))
+    candidate = is_admit() & inpatient & closed & (F.col("_seen") >= F.col("_began"))
+    rows = rows.withColumn("_candidate", F.coalesce(candidate, F.lit(False)))
+    rows = slices.running(rows, order(settings), _split=("last", F.when(F.col("_candidate"), here)))
+    splits = F.col("_candidate") & F.coalesce(F.col("_split") < F.col("_mark.at"), F.lit(True))
+    return rows.withColumn("splits", splits).drop("_mark", "_began", "_seen", "_candidate", "_split")
+
+
+#: Kinds of events for the machine, and the classes of a session by rank (0: none yet).
+_OTHER, _OUT, _REOPENED, _IN = range(4)
+_CLASSES = len(config.CLASS_PRIORITY) + 1
+
+
+def _steps(begins: np.ndarray, kind: np.ndarray, cls: np.ndarray, state: list[int], pairs: set[tuple[int, int]]) -> Iterator[tuple[bool, ...]]:
+    """For each event whether it splits, from each of the states (closed * 5 + class), which
+    are brought up to date."""
+    for new, k, c in zip(begins.tolist(), kind.tolist(), cls.tolist(), strict=True):
+        split = []
+        for i, s in enumerate(state):
+            closed, best = (False, 0) if new else divmod(s, _CLASSES)
+            cut = bool(closed) and k == _IN and (best, c) in pairs
+            split.append(cut)
+            closed = k == _OUT or (closed and k != _REOPENED and not cut)
+            best = c if cut or not best else min(best, c) if c else best
+            state[i] = closed * _CLASSES + best
+        yield tuple(split)
+
+
+def _machine_splits(events: DataFrame, settings: Settings, slices: Slices) -> DataFrame:
+    """Two passes in order: what a slice makes of each state, then the splits themselves."""
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, config.CLASS_PRIORITY)), F.col("patient_class")), F.lit(0)).cast("int")
+    kind = F.when(is_discharge(), _OUT).when(F.col("event_type") == "CANCEL_DISCHARGE", _REOPENED).when(is_admit(), _IN).otherwise(_OTHER)
+    pairs = {(config.CLASS_PRIORITY.index(a) + 1, config.CLASS_PRIORITY.index(b) + 1) for a, b in settings.transitions}
+    sliced = slices.cells is not None
+    rows = events.withColumns({"_kind": kind, "_rank": rank, "_part": F.col("_slice") if sliced else F.lit(0), "_start": F.lit(0)})
+    states = 2 * _CLASSES
+
+    def in_order(df: DataFrame) -> DataFrame:
+        return df.repartition("patient_key", "_part").sortWithinPartitions("patient_key", "_part", *order(settings))
+
+    def walk(batches: Iterator[pa.RecordBatch], start: Callable[[pa.RecordBatch, int], list[int]]) -> Iterator[tuple[pa.RecordBatch, list, list]]:
+        at, state = None, []
+        for b in batches:
+            column = {n: b.column(n).to_numpy(zero_copy_only=False) for n in ("begins", "_kind", "_rank")}
+            place = list(zip(b.column("patient_key").to_pylist(), b.column("_part").to_pylist(), strict=True))
+            cuts = [i for i in range(len(place)) if not i or place[i] != place[i - 1]] + [len(place)]
+            split, after = [], []
+            for i, z in zip(cuts, cuts[1:], strict=False):
+                if place[i] != at:
+                    at, state = place[i], start(b, i)
+                split += _steps(column["begins"][i:z], column["_kind"][i:z], column["_rank"][i:z], state, pairs)
+                after.append((at, list(state)))
+            yield b, split, after
+
+    if sliced:
+
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept: dict = {}
+            for _, _, after in walk(batches, lambda b, i: list(range(states))):
+                kept |= dict(after)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.string()), pa.array([k[1] for k in kept], pa.int32()), pa.array(list(kept.values()), pa.list_(pa.int32()))], names=["patient_key", "_slice", "_to"])
+
+        some = rows.where("_cut").select("patient_key", "_part", "begins", "_kind", "_rank", *_order_names(events, settings))
+        parts = in_order(some).mapInArrow(summed, "patient_key string, _slice int, _to array<int>")
+        # fewer than 2,000 slices: each patient's maps are applied one after the other
+        grouped = parts.groupBy("patient_key").agg(F.array_sort(F.collect_list(F.struct("_slice", "_to"))).alias("parts"))
+        empty = F.expr("named_struct('state', 0, 'out', cast(array() as array<struct<_slice:int,_carried:int>>))")
+        step = lambda s, x: rules.named(state=F.get(x["_to"], s["state"]), out=F.array_append(s["out"], rules.named(_slice=x["_slice"], _carried=s["state"])))
+        carry = written(grouped.select("patient_key", F.inline(F.aggregate("parts", empty, step)["out"])), "carry")
+        carry = carry.select(F.col("patient_key").alias("_patient"), F.col("_slice").alias("_at"), "_carried")
+        rows = rows.join(F.broadcast(carry), (F.col("patient_key") == F.col("_patient")) & (F.col("_slice") == F.col("_at")), "left")
+        rows = rows.withColumn("_start", F.coalesce("_carried", F.lit(0))).drop("_patient", "_at", "_carried")
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, split, _ in walk(batches, lambda b, i: [b.column("_start")[i].as_py()]):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([s[0] for s in split], pa.bool_())], names=[*b.schema.names, "splits"])
+
+    return in_order(rows).mapInArrow(told, StructType([*rows.schema.fields, StructField("splits", BooleanType())])).drop("_kind", "_rank", "_part", "_start")
+
+
+def _order_names(events: DataFrame, settings: Settings) -> list[str]:
+    return ["event_ts", "source_type", "source_system", "source_record_id", "side"]
 
 
 def encounter_id(patient: Column, facility: Column, record: Column) -> Column:
@@ -102,14 +167,13 @@ def encounter_id(patient: Column, facility: Column, record: Column) -> Column:
 
 def stitch(events: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Events with ``encounter_no`` within the patient and ``encounter_id``."""
-    split = forced_splits(sessions(events, settings), settings)
-    w = Window.partitionBy("patient_key").orderBy(*order(settings))
-    numbered = split.withColumn("encounter_no", F.sum((F.col("begins") | F.col("splits")).cast("int")).over(w))
-    e = Window.partitionBy("patient_key", "encounter_no")
+    slices = Slices.of(events, ["patient_key"], "event_ts", settings.slice_rows)
+    split = forced_splits(sessions(slices.cut(events, "event_ts"), settings, slices), settings, slices)
+    numbered = slices.running(split, order(settings), encounter_no=("sum", (F.col("begins") | F.col("splits")).cast("int")))
     place = position(settings)
-    anchor = F.min(F.struct((~is_admit()).alias("other"), place.alias("place"))).over(e)["place"]["source_record_id"]
-    facility = F.min(F.struct(place.alias("place"), "facility_id")).over(e)["facility_id"]
-    return numbered.withColumn("encounter_id", encounter_id(F.col("patient_key"), facility, anchor)).drop("begins", "splits", "base")
+    first = slices.least(numbered, ["patient_key", "encounter_no"], _anchor=F.struct((~is_admit()).alias("other"), place.alias("place")), _first=F.struct(place.alias("place"), "facility_id"))
+    named = first.withColumn("encounter_id", encounter_id(F.col("patient_key"), F.col("_first.facility_id"), F.col("_anchor.place.source_record_id")))
+    return slices.done(named).drop("begins", "splits", "_anchor", "_first")
 
 
 def encounters(events: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -155,14 +219,16 @@ def transfers(stays: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Adds ``transfer_chain``: ids of the maximal run of linked stays, null if alone.
 
     A stay links to the next of its patient at another facility soon after discharge."""
-    w = Window.partitionBy("patient_key").orderBy("first_event_ts", "encounter_id")
-    gap = F.unix_micros("first_event_ts") - F.unix_micros(F.lag("discharge_ts").over(w))
-    linked = F.lag("has_discharge").over(w) & (F.lag("facility_id").over(w) != F.col("facility_id")) & gap.between(0, settings.window_hours * 3_600_000_000)
-    chained = stays.withColumn("_chain", F.sum(F.when(F.coalesce(linked, F.lit(False)), 0).otherwise(1)).over(w))
-    c = Window.partitionBy("patient_key", "_chain")
-    members = F.array_sort(F.collect_list(F.struct("first_event_ts", "encounter_id")).over(c))
-    ids = F.transform(members, lambda x: x["encounter_id"])
-    return chained.withColumn("transfer_chain", F.when(F.size(ids) > 1, ids)).drop("_chain")
+    slices, by = Slices.of(stays, ["patient_key"], "first_event_ts", settings.slice_rows), [F.col("first_event_ts"), F.col("encounter_id")]
+    rows = slices.running(slices.cut(stays, "first_event_ts"), by, _before=("last", F.struct("discharge_ts", "has_discharge", "facility_id")))
+    before = F.col("_before")
+    gap = F.unix_micros("first_event_ts") - F.unix_micros(before["discharge_ts"])
+    linked = before["has_discharge"] & (before["facility_id"] != F.col("facility_id")) & gap.between(0, settings.window_hours * 3_600_000_000)
+    chained = slices.running(rows.withColumn("_begins", ~F.coalesce(linked, F.lit(False))), by, _chain=("sum", F.col("_begins").cast("int")))
+    # a chain is put together once
+    listed = chained.groupBy("patient_key", "_chain").agg(F.array_sort(F.collect_list(F.struct("first_event_ts", "encounter_id"))).alias("_members")).where(F.size("_members") > 1)
+    chains = listed.select("patient_key", "_chain", F.transform("_members", lambda x: x["encounter_id"]).alias("transfer_chain"))
+    return slices.done(chained.join(chains, ["patient_key", "_chain"], "left")).drop("_chain", "_begins", "_before")
 
 
 def stitch_counts(events: DataFrame, stays: DataFrame) -> DataFrame:

@@ -77,6 +77,61 @@ def test_stitching_equals_a_fold(spark, stitched):
     assert {r["event_id"]: r["encounter_no"] for r in stitch.stitch(spark.createDataFrame(rows, EVENT), general).collect()} == want
 
 
+HEAVY = Settings(slice_rows=3)
+#: A record number that stands for many patients: half of all events, many within a session.
+CROWD = [(p if k % 2 else "P0", *rest) for k, (p, *rest) in enumerate(random_events(20, 30))]
+
+
+def test_heavy_patients_are_cut_and_come_out_the_same(spark, monkeypatch):
+    from careweave.operators import slices
+
+    monkeypatch.setattr(slices, "SHARE", 10_000)
+    df = spark.createDataFrame(CROWD, EVENT).cache()
+    cut = slices.Slices.of(df, ["patient_key"], "event_ts", 3)
+    assert cut.cells.count() == 20 and cut.cut(df, "event_ts").where("patient_key = 'P0'").select("_slice").distinct().count() > 40
+    for more in ({}, {"transitions": (("inpatient", "inpatient"), ("ed", "inpatient"))}, {"facility_must_match": False, "window_hours": 200}):
+        whole, parts = (stitch.stitch(df, Settings(**more, **s)).cache() for s in ({}, {"slice_rows": 3}))
+        numbers = lambda rows: sorted((r["event_id"], r["encounter_no"], r["encounter_id"]) for r in rows.collect())
+        assert numbers(whole) == numbers(parts) and whole.columns == parts.columns
+        marks = lambda s: sorted((r["event_id"], str(r["role"])) for r in dedup.mark_duplicates(whole, s).collect())
+        assert marks(Settings()) == marks(HEAVY)
+        merged = lambda s: sorted((r["event_id"], r["merged_id"]) for r in dedup.merge_overlaps(whole, s).collect())
+        assert merged(Settings()) == merged(HEAVY)
+        stays = stitch.encounters(whole).cache()
+        chains = lambda s: sorted((r["encounter_id"], r["transfer_chain"] or []) for r in stitch.transfers(stays, s).collect())
+        assert chains(Settings()) == chains(HEAVY)
+
+
+def test_running_values_equal_plain_windows(spark, monkeypatch):
+    from careweave.operators import slices
+    from pyspark.sql.window import Window
+
+    monkeypatch.setattr(slices, "SHARE", 10_000)
+    r = random.Random(4)
+    rows = [(r.choice(["a", "a", "b", None]), T0 + timedelta(hours=r.randrange(300)), k, r.choice([None, r.randrange(50)])) for k in range(400)]
+    df = spark.createDataFrame(rows, "k string, t timestamp, n int, v int").cache()
+    cut = slices.Slices.of(df, ["k"], "t", 5)
+    got = cut.running(cut.cut(df, "t"), [F.col("t"), F.col("n")], s=("sum", F.col("v")), m=("max", F.col("v")), last=("last", F.col("v")), latest=("latest", F.col("v")))
+    w = Window.partitionBy("k").orderBy("t", "n")
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    want = df.select("n", F.sum("v").over(upto), F.max("v").over(before), F.last("v", True).over(before), F.last("v", True).over(upto))
+    assert sorted(map(tuple, got.select("n", "s", "m", "last", "latest").collect())) == sorted(map(tuple, want.collect()))
+    assert cut.cut(df, "t").groupBy("k", "_slice").count().agg(F.max("count")).first()[0] <= 20
+
+
+def test_heavy_patients_in_episodes(spark, monkeypatch):
+    from careweave.operators import slices
+
+    monkeypatch.setattr(slices, "SHARE", 10_000)
+    r, rows = random.Random(6), []
+    for k in range(500):
+        came = T0 + timedelta(days=r.randrange(900))
+        rows.append(("P0" if k % 2 else f"P{k % 7}", f"E{k:04d}", came, r.choice([None, came + timedelta(days=r.randrange(9))]), "acute", f"F{r.randrange(3)}", r.random() < 0.5, r.choice(["inpatient", "ed_only"])))
+    df = spark.createDataFrame(rows, STAY).cache()
+    found = lambda s: sorted(map(str, episodes.link(df, s).select("encounter_id", "link", "episode_no", "episode_id").collect()))
+    assert found(Settings()) == found(HEAVY)
+
+
 def test_order_of_input_does_not_matter(spark, stitched):
     rows, got = stitched
     shuffled = stitch.stitch(spark.createDataFrame(random.Random(1).sample(rows, len(rows)), EVENT).repartition(13))
