@@ -4,18 +4,23 @@ Every set walks down a random tree, several times. At a node it chooses each of
 tokens with probability 1 / (LAMBDA * size) by a hash of node and token, and goes on to
 one child for each chosen token. Sets of similarity s share s / LAMBDA children of a
 shared node on average, so similar sets keep meeting while others part; the number of
-runs follows from the wanted recall at the threshold. Nodes of more than ``LARGE`` sets
-after the first levels aren't buckets: their sets walk on to a greater depth, in as many
-runs as the recall needs there. Sets that are close to the least member of the node (seven
-tenths) needn't walk on: whatever is similar to them has at least half in common with that
-member, so it is kindred to it but for one case in a thousand at worst.
-
-Buckets are searched by brute force with a sketch of each set, its ``SKETCH`` least
-hashes: sets that share a quarter of them are candidates, and strangers that happen to
-meet are none, so candidate components hold kindred sets only, however many documents
-there are. (Sets of similarity 0.8 share four fifths on average; that they share less than
-a quarter has a chance of less than one in a billion.) What still fills a node of more than
-``LARGE`` sets at the greatest depth is joined to its least member.
+runs follows from the wanted recall at the threshold.
+
+Buckets are searched by brute force with a sketch of each set, 16 bits of each of its
+``SKETCH`` least hashes: sets that share a quarter of them are candidates, and strangers
+that happen to meet are none, so candidate components hold kindred sets only, however many
+documents there are. (Sets of similarity 0.8 share four fifths on average; that they share
+less than a quarter has a chance of less than one in a billion.) A set goes through one
+shuffle, by path, with its key and its sketch of 64 bytes.
+
+Nodes of more than ``LARGE`` sets aren't buckets. Their sets are compared with the first
+one, which is all of a node that a task remembers, and walk on to a greater depth, in as
+many runs as the recall needs there. Sets that are close to the first (seven tenths)
+needn't walk on: whatever is similar to them has at least half in common with that one,
+so it is kindred to it but for one case in a thousand at worst. Nodes with a great share
+of all meetings are known beforehand, and sets are compared with a member of those where
+they are read, so no task gets such a node. At the greatest depth those that aren't kindred
+to the first of their node are compared with the next, and so on until none is left over.
 
 All pairs of a candidate component are compared exactly, block against block, so a
 component of any size is spread over many tasks, no pair is counted twice, and no pair is
@@ -56,6 +61,11 @@ LARGE, MORE_LEVELS = 256, 3
 DEEPEST = 12
 #: Least hashes of a set in its sketch, and the share of them that candidates have in common.
 SKETCH, KINDRED, CLOSE = 32, (1, 4), (7, 10)
+#: Heavy nodes are looked for in one of so many sets; they have so many of these at least,
+#: and one in so many of all meetings.
+PART, HEAVY, SHARE = 64, 64, 2000
+#: Keys of walking sets that are broadcast at most; more are joined by shuffle.
+BROADCAST_KEYS = 500_000
 #: Sets and bytes in a block of a candidate component.
 BLOCK_SETS, BLOCK_BYTES = 512, 4 << 20
 #: Bytes of a text that are hashed at a time, and numbers in a matrix of hashes.
@@ -151,46 +161,85 @@ def _start(runs: int) -> np.ndarray:
     return mixed(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(_B))
 
 
-def _paths(rows: DataFrame, runs: int, levels: int) -> DataFrame:
-    """(key, path): the nodes that each of rows (key, text) reaches after ``levels``."""
+def sketch(members: np.ndarray) -> bytes:
+    """16 bits of each of the least hashes of a set, as bytes."""
+    return np.unique(members[:SKETCH] % np.uint64(0xFFFF) + np.uint64(1)).astype("<u2").tobytes()
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens.let_go()
-        for b in batches:
-            done, found = set(), []
-            keys = b.column(0).to_pylist()
-            for key, t in zip(keys, b.column(1), strict=True):
-                members = shingles(t.as_buffer().to_pybytes()) if key not in done else ()
-                done.add(key)
-                nodes = _start(runs)
-                for _ in range(levels):
-                    nodes = descend(nodes, members) if len(members) and len(nodes) else nodes[:0]
-                found.append(nodes)
-            sizes = np.array([len(n) for n in found])
-            path = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(found)), sizes))), pa.array(path.view(np.int64))], names=["key", "path"])
 
-    return rows.select("key", "text").mapInArrow(walk, "key binary, path long")
+def _walked(batches: Iterator[pa.RecordBatch], runs: int, levels: int) -> Iterator[tuple[list[bytes], list[np.ndarray], list[bytes]]]:
+    """(keys, nodes, sketches) of the sets of each batch of (key, text)."""
+    tokens.let_go()
+    for b in batches:
+        done, keys, nodes, sketches = set(), [], [], []
+        for key, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            if key in done:
+                continue
+            done.add(key)
+            members = shingles(t.as_buffer().to_pybytes())
+            at = _start(runs)
+            for _ in range(levels):
+                at = descend(at, members) if len(members) and len(at) else at[:0]
+            keys.append(key)
+            nodes.append(at.view(np.int64))
+            sketches.append(sketch(members))
+        yield keys, nodes, sketches
 
 
-def _nodes(paths: DataFrame) -> DataFrame:
-    """(path, least, n): the nodes in which different keys meet."""
-    return paths.groupBy("path").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count("*").alias("n")).where("least <> most").drop("most")
+_MEETING = "path long, key binary, sketch binary, center binary, walks boolean"
 
 
-def _sketches(rows: DataFrame) -> DataFrame:
-    """(key, sketch) of the sets that are in shared nodes: their least hashes as bytes."""
+def _meetings(rows: DataFrame, runs: int, levels: int, heavy: dict[int, tuple[bytes, bytes]], last: bool) -> DataFrame:
+    """One row for each node that a set of rows (key, text) reaches after ``levels``. Where
+    a node is heavy, the set is compared with the node's center at once: the row then says
+    the center if the two are kindred, and whether the set walks on, and its path is any."""
+    order = np.array(sorted(heavy), np.int64)
+    centers = as_rows([heavy[p][1] for p in order.tolist()])
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sketches = [shingles(t.as_buffer().to_pybytes())[:SKETCH].astype("<u8").tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sketches, pa.binary())], names=["key", "sketch"])
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, nodes, sketches in _walked(batches, runs, levels):
+            size = np.array([len(n) for n in nodes], np.int64)
+            path, row = np.concatenate(nodes) if nodes else np.zeros(0, np.int64), np.repeat(np.arange(len(keys)), size)
+            center, walks = [None] * len(path), np.zeros(len(path), bool)
+            at = np.searchsorted(order, path).clip(max=max(0, len(order) - 1))
+            hot = np.flatnonzero(order[at] == path) if len(order) else np.zeros(0, np.int64)
+            if len(hot):
+                both, n = np.concatenate([as_rows(sketches), centers]), len(sketches)
+                near = kindred(both, row[hot], n + at[hot])
+                if last:  # the others are left to the node's own rest
+                    hot, near = hot[near], near[near]
+                else:
+                    walks[hot] = ~kindred(both, row[hot], n + at[hot], CLOSE)
+                for i, is_near in zip(hot.tolist(), near.tolist(), strict=True):
+                    center[i] = heavy[int(path[i])][0] if is_near else b""
+                path[hot] = mixed(path[hot].view(np.uint64) + row[hot].astype(np.uint64)).view(np.int64)
+            key, held = pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(path), key.take(pa.array(row)), held.take(pa.array(row)), pa.array(center, pa.binary()), pa.array(walks)], names=["path", "key", "sketch", "center", "walks"])
+
+    return rows.select("key", "text").mapInArrow(walk, _MEETING)
+
+
+def heavy_nodes(rows: DataFrame, runs: int, levels: int) -> dict[int, tuple[bytes, bytes]]:
+    """Nodes that hold a great share of all meetings, and the key and sketch of a member.
+
+    Found among one in ``PART`` of the sets; it only decides where a set is compared with a
+    member of its node, not whether. Of nodes with one in ``SHARE`` of the meetings there are
+    at most ``SHARE``."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, nodes, sketches in _walked(batches, runs, levels):
+            row = pa.array(np.repeat(np.arange(len(keys)), [len(n) for n in nodes]))
+            path = pa.array(np.concatenate(nodes) if nodes else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([path, pa.array(keys, pa.binary()).take(row), pa.array(sketches, pa.binary()).take(row)], names=["path", "key", "sketch"])
 
-    return rows.mapInArrow(emit, "key binary, sketch binary")
+    some = rows.where(F.pmod(F.xxhash64("key"), F.lit(PART)) == 0).select("key", "text").mapInArrow(walk, "path long, key binary, sketch binary")
+    nodes = common.written(some.groupBy("path").agg(F.count_distinct("key").alias("n"), F.min(F.struct("key", "sketch")).alias("least")).where(F.col("n") >= HEAVY), "heavy")
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    found = nodes.where(F.col("n") * SHARE >= total).orderBy(F.desc("n"), "path").limit(SHARE).collect()
+    return {r["path"]: (bytes(r["least"]["key"]), bytes(r["least"]["sketch"])) for r in found}
 
 
 def as_rows(sketches: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(x.ljust(8 * SKETCH, b"\0") for x in sketches), "<u8").reshape(len(sketches), SKETCH)
+    return np.frombuffer(b"".join(x.ljust(2 * SKETCH, b"\0") for x in sketches), "<u2").reshape(len(sketches), SKETCH)
 
 
 def kindred(sketches: np.ndarray, a: np.ndarray, b: np.ndarray, share: tuple[int, int] = KINDRED) -> np.ndarray:
@@ -223,80 +272,114 @@ def bucket_edges(path: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np
     return np.concatenate([rows[near], a[found]]), np.concatenate([head[of[rows[near]]], b[found]])
 
 
-def _searched(members: DataFrame) -> DataFrame:
-    """(u, v): edges inside the buckets of members (path, key, sketch)."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = None
-        done: set[tuple[bytes, bytes]] = set()
-
-        def edges(t: pa.RecordBatch) -> pa.RecordBatch:
-            keys = t.column(1).to_pylist()
-            texts = t.column(2).to_pylist()
-            a, b = bucket_edges(t.column(0).to_numpy(), as_rows(texts))
+def _met(meetings: DataFrame, large: int, last: bool) -> DataFrame:
+    """(u, v, walks, path, sketch): v is kindred to u (null if none is), and whether u walks
+    on; path and sketch are given where u is left over in a node of the last depth.
+
+    Nodes come in order of path and key. The sets of a node of at most ``large`` are
+    compared with each other, those of a greater one with its first, which is all of it
+    that a task remembers."""
+    schema = pa.schema([("u", pa.binary()), ("v", pa.binary()), ("walks", pa.bool_()), ("path", pa.int64()), ("sketch", pa.binary())])
+
+    def batch(u: list, v: list, walks: list, path: list, sketches: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((u, v, walks, path, sketches), schema, strict=True)], schema=schema)
+
+    def judged(t: pa.RecordBatch, center: tuple[bytes, bytes]) -> pa.RecordBatch:
+        keys, sketches, n = t.column("key").to_pylist(), t.column("sketch").to_pylist(), t.num_rows
+        rows, i = as_rows([*sketches, center[1]]), np.arange(n)
+        near, close = kindred(rows, i, np.full(n, n)), kindred(rows, i, np.full(n, n), CLOSE)
+        v = [center[0] if k else None for k in near.tolist()]
+        if last:
+            rest = [not k and key != center[0] for k, key in zip(near.tolist(), keys, strict=True)]
+            return batch(keys, v, [False] * n, [p if r else None for p, r in zip(t.column("path").to_pylist(), rest, strict=True)], [x if r else None for x, r in zip(sketches, rest, strict=True)])
+        return batch(keys, v, (~close).tolist(), [None] * n, [None] * n)
+
+    def searched(t: pa.RecordBatch, done: set) -> Iterator[pa.RecordBatch]:
+        """Whole nodes, each row once."""
+        path = t.column("path").to_numpy()
+        head = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]))
+        size = np.diff(np.append(head, len(path)))
+        for first, n in zip(head[size > large].tolist(), size[size > large].tolist(), strict=True):
+            node = t.slice(first, n)
+            yield judged(node, (node.column("key")[0].as_py(), node.column("sketch")[0].as_py()))
+        few = t.take(pa.array(np.flatnonzero(np.repeat((size > 1) & (size <= large), size))))
+        if few.num_rows:
+            keys = few.column("key").to_pylist()
+            a, b = bucket_edges(few.column("path").to_numpy(), as_rows(few.column("sketch").to_pylist()))
             if len(done) > 500_000:
                 done.clear()
-            fresh = {(keys[i], keys[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True) if keys[i] != keys[j]} - done
+            fresh = {(keys[i], keys[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)} - done
             done.update(fresh)
-            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in fresh], pa.binary()) for k in (0, 1)], names=["u", "v"])
+            yield batch([u for u, _ in fresh], [v for _, v in fresh], [False] * len(fresh), [None] * len(fresh), [None] * len(fresh))
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, crowd, done = None, None, set()
         for b in batches:
-            t = pa.concat_batches([left, b]) if left is not None else b
-            path = t.column(0).to_numpy()
-            # the last bucket may go on in the next batch
-            cut = int(np.searchsorted(path, path[-1])) if len(path) else 0
+            hot = np.array(b.column("center").is_valid())
+            if hot.any():  # compared already
+                told = b.filter(pa.array(hot))
+                n = told.num_rows
+                yield batch(told.column("key").to_pylist(), [c or None for c in told.column("center").to_pylist()], told.column("walks").to_pylist(), [None] * n, [None] * n)
+                b = b.filter(pa.array(~hot))
+            t = _distinct(pa.concat_batches([left, b]) if left is not None else b)
+            path, left = t.column("path").to_numpy(), None
+            if crowd is not None:
+                more = int(np.searchsorted(path, crowd[0], side="right"))
+                if more:
+                    yield judged(t.slice(0, more), crowd[1])
+                    t, path = t.slice(more), path[more:]
+            if not len(path):
+                continue
+            crowd = None
+            # the last node may go on in the next batch
+            cut = int(np.searchsorted(path, path[-1]))
             if cut:
-                yield edges(t.slice(0, cut))
+                yield from searched(t.slice(0, cut), done)
             left = t.slice(cut)
+            if left.num_rows > large:
+                crowd = (path[-1], (left.column("key")[0].as_py(), left.column("sketch")[0].as_py()))
+                yield judged(left, crowd[1])
+                left = None
         if left is not None and left.num_rows:
-            yield edges(left)
+            yield from searched(left, done)
 
-    return members.select("path", "key", "sketch").repartition("path").sortWithinPartitions("path").mapInArrow(work, "u binary, v binary")
+    dealt = meetings.repartition("path").sortWithinPartitions("path", "key")
+    return dealt.mapInArrow(work, "u binary, v binary, walks boolean, path long, sketch binary")
+
+
+def _distinct(t: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows in order, without repeats of (path, key): copies of a text are one set."""
+    if t.num_rows < 2:
+        return t
+    path, key = t.column("path").to_numpy(), np.array(t.column("key").to_pylist(), "S16")
+    fresh = np.concatenate([[True], (path[1:] != path[:-1]) | (key[1:] != key[:-1])])
+    return t if fresh.all() else t.filter(pa.array(fresh))
 
 
 def candidate_edges(rows: DataFrame, recall: float, levels: int = LEVELS, large: int = LARGE, more: int = MORE_LEVELS, deepest: int = DEEPEST) -> DataFrame:
     """(u, v): edges that join the kindred sets of every bucket."""
     found, asked, depth = [], rows, levels
     while True:
-        paths = common.written(_paths(asked, runs_for(recall, THRESHOLD[0] / THRESHOLD[1], LAMBDA, depth), depth), "paths")
-        nodes = common.written(_nodes(paths), "nodes")
-        if not nodes.where(F.col("n") > large).isEmpty():
-            # copies of a text in several batches are not several sets
-            paths = common.written(paths.distinct(), "paths")
-            nodes = common.written(_nodes(paths), "nodes")
-        here = common.written(paths.join(nodes, "path").select("path", "key", "least", (F.col("n") > large).alias("crowded")).distinct(), "members")
-        met = here.select("key").distinct()
-        sketches = _sketches(asked.join(met, "key", "left_semi").select("key", "text")).groupBy("key").agg(F.first("sketch").alias("sketch"))
-        sketches = common.written(sketches, "sketches")
-        found.append(_searched(here.where("NOT crowded").join(sketches, "key")))
-        stars = here.where("crowded AND key <> least").select("key", "least").distinct()
-        if stars.isEmpty():
-            break
-        least = sketches.select(F.col("key").alias("least"), F.col("sketch").alias("other"))
-        judged = common.written(_judged(stars.join(sketches, "key").join(least, "least")), "stars")
-        last = depth >= deepest
-        found.append((judged if last else judged.where("kindred")).select(F.col("key").alias("u"), F.col("least").alias("v")))
-        walkers = judged.where("NOT close").select("key").distinct()
-        if last or walkers.isEmpty():
+        runs, last = runs_for(recall, THRESHOLD[0] / THRESHOLD[1], LAMBDA, depth), depth >= deepest
+        meetings = _meetings(asked, runs, depth, heavy_nodes(asked, runs, depth), last)
+        while True:
+            met = common.written(_met(meetings, large, last), "met")
+            found.append(met.where("v IS NOT NULL AND u <> v").select("u", "v"))
+            rest = met.where("path IS NOT NULL")
+            if not last or rest.isEmpty():
+                break
+            # what isn't kindred to the first of its node is compared with the next
+            meetings = rest.select("path", F.col("u").alias("key"), "sketch", F.lit(None).cast("binary").alias("center"), F.lit(False).alias("walks"))
+        walkers = common.written(met.where("walks").select(F.col("u").alias("key")).distinct(), "walkers")
+        n = walkers.count()
+        if last or not n:
             break
         # the deeper nodes lie below those that the sets were in, or in the runs that are added
-        asked = rows.join(walkers, "key", "left_semi")
+        asked = rows.join(F.broadcast(walkers) if n <= BROADCAST_KEYS else walkers, "key", "left_semi")
         depth += more
     return functools.reduce(DataFrame.union, found).distinct()
 
 
-def _judged(stars: DataFrame) -> DataFrame:
-    """(key, least, kindred, close) of rows with the sketches of both sets."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = b.num_rows
-            rows, i = as_rows(b.column(2).to_pylist() + b.column(3).to_pylist()), np.arange(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kindred(rows, i, i + n)), pa.array(kindred(rows, i, i + n, CLOSE))], names=["key", "least", "kindred", "close"])
-
-    return stars.select("key", "least", "sketch", "other").mapInArrow(work, "key binary, least binary, kindred boolean, close boolean")
-
-
 class _Forest:
     def __init__(self, n: int) -> None:
         self.up = list(range(n))

@@ -267,12 +267,41 @@ def test_jaccard_recall_in_crowded_nodes(spark, monkeypatch):
     docs = table(spark, rows)
     assert chosen_path.join(docs, large=1).where("n_links = 1").count() >= 0.97 * len(rows)
     # copies of a text are one set
-    depths, paths = [], chosen_path._paths
-    monkeypatch.setattr(chosen_path, "_paths", lambda rows, runs, levels: (depths.append(levels), paths(rows, runs, levels))[1])
+    depths, meetings = [], chosen_path._meetings
+    monkeypatch.setattr(chosen_path, "_meetings", lambda rows, runs, levels, *more: (depths.append(levels), meetings(rows, runs, levels, *more))[1])
     copies = docs.where("doc_id < 2").withColumn("text", F.explode(F.array_repeat("text", 20))).repartition(8)
     assert chosen_path.join(copies, large=4).where("n_links = 39").count() == 40 and depths == [chosen_path.LEVELS]
 
 
+@pytest.mark.parametrize("heavy", [False, True])
+def test_last_depth_joins_no_strangers_and_loses_no_pair(spark, monkeypatch, heavy):
+    from pyspark.sql import functions as F
+
+    if heavy:  # every node is, and its sets are compared where they are read
+        for name, value in (("PART", 1), ("HEAVY", 2), ("SHARE", 10_000)):
+            monkeypatch.setattr(chosen_path, name, value)
+    common_part, rows = words(60, 1), []
+    for i in range(60):  # strangers that share a passage; every fifth has a near copy
+        text = common_part + " " + " ".join(f"{i}w{k}" for k in range(140))
+        rows += [(10 * i, text)] + ([(10 * i + 1, text + " more")] if i % 5 == 0 else [])
+    sets = [set(chosen_path.shingles(t.encode()).tolist()) for _, t in rows]
+    docs = spark.createDataFrame(rows, "id long, text string").select("id", F.unhex(F.md5("text")).alias("key"), F.col("text").cast("binary").alias("text")).repartition(4)
+    of = {bytes(r["key"]): k for k, (i, _) in enumerate(rows) for r in docs.where(F.col("id") == i).collect()}
+    edges = {(of[bytes(u)], of[bytes(v)]) for u, v in chosen_path.candidate_edges(docs, 0.995, levels=1, large=1, deepest=1).collect()}
+    up = list(range(len(rows)))
+
+    def find(i):
+        return i if up[i] == i else find(up[i])
+
+    for a, b in edges:
+        assert len(sets[a] & sets[b]) / len(sets[a] | sets[b]) > 0.05
+        up[max(find(a), find(b))] = min(find(a), find(b))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                assert find(a) == find(b)
+
+
 def brute_strip(rows, length):
     seen = Counter()
     texts = [(t or "").encode() for _, t, *_ in rows]
@@ -323,4 +352,4 @@ def test_components(spark):
 
 
 def test_queries_are_registered():
-    assert {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", k)[0] for k in queries.QUERIES}
+    assert {f"op{n}_" for n in range(1, 14)} == {re.match(r"op\d+_", k)[0] for k in queries.QUERIES}
