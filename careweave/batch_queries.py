@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from careweave import queries
 from careweave.config import Settings
 from careweave.operators import dedup, episodes, stitch
+from careweave.config import Source
 from careweave.oracles import EVENTS, LINK, MERGED, ORDERS, STITCH, with_
+from careweave.plans import incremental, reconciliation
 from careweave.sources import feeds
-from careweave.table_queries import ORACLE_SQL, QUERIES, query  # noqa: F401: registered there
+from careweave.sources.keyed import Store
+from careweave.sources.shared import new_folder
+from careweave.table_queries import ORACLE_SQL, QUERIES, query, shown_encounters  # noqa: F401: registered there
 
 #: Half of all events and stays are those of one record number.
 CROWDED = Settings(slice_rows=200)
@@ -43,3 +47,80 @@ def crowded_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crowded_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = episodes.link(_crowded(feeds.stays(spark, sf_dir), "encounter_id"), CROWDED)
     return rows.select("encounter_id", "link", "episode_no", "episode_id")
+
+
+# runs on batches
+
+
+def _before(sources: list[tuple[Source, DataFrame]], time: str) -> list[tuple[Source, DataFrame]]:
+    return [(s, df.where(F.col(s.incremental_key) < time)) for s, df in sources]
+
+
+def _soiled(spark: SparkSession, sf_dir: str) -> list[tuple[Source, DataFrame]]:
+    """Messages of which some lack a patient or a time that can be read."""
+    rows, e = feeds.adt(spark, sf_dir), F.substring("message_control_id", 2, 20).cast("long")
+    at = F.when(e % 11 == 0, "2024-01").when(e % 13 == 0, "10:00").when(e % 19 == 0, " ").otherwise(F.date_format("message_ts", "yyyyMMdd'T'HHmmss"))
+    return [(feeds.ADT, rows.withColumns({"message_ts": at, "patient_mrn": F.when(e % 17 > 0, F.col("patient_mrn"))})), (feeds.AUTH, feeds.auth(spark, sf_dir))]
+
+
+def two_runs(spark: SparkSession, sf_dir: str) -> Store:
+    """A store after a first batch, a second with all that came later, and one that is halted."""
+    store, sources, known = Store(spark, new_folder(spark, "store")), reconciliation.default_feeds(spark, sf_dir), feeds.facilities(spark)
+    incremental.run(store, _before(sources, "2024-01-18"), known, feeds.AS_OF, "first")
+    incremental.run(store, sources, known, feeds.AS_OF, "second")
+    try:
+        incremental.run(store, _soiled(spark, sf_dir), known, feeds.AS_OF, "third", mode="full")
+    except incremental.ErrorRateExceeded:
+        return store
+    raise AssertionError("a batch of bad rows was stored")
+
+
+# by what they are: an encounter keeps the id that it had before its first event came late
+_WHOLE = ORACLE_SQL["encounters"]
+
+
+@query(f"SELECT * EXCLUDE (encounter_id) FROM ({_WHOLE})")
+def incremental_encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches by watermark give the encounters of one run over all."""
+    return shown_encounters(two_runs(spark, sf_dir).read(incremental.ENCOUNTERS)).drop("encounter_id")
+
+
+@query(with_(EVENTS) + """, m(source, last) AS (SELECT 'adt_vendor_x', max(ts) FROM adt_typed WHERE sys = 'adt_vendor_x' UNION ALL SELECT 'adt_vendor_y', max(ts) FROM adt_typed WHERE sys = 'adt_vendor_y' UNION ALL SELECT 'claims_clearinghouse', max(ts + INTERVAL 20 DAY) FROM claim_raw UNION ALL SELECT 'auth_portal', max(ts) FROM fe WHERE kind = 'signup' AND e % 3 = 0)
+  SELECT source, strftime(last, '%Y-%m-%d %H:%M:%S.%f') AS watermark FROM m""")
+def run_watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Watermarks after the runs: those of the last that was committed."""
+    stored = two_runs(spark, sf_dir).read(incremental.WATERMARKS)
+    return stored.select(F.col("key").alias("source"), F.date_format("value", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("watermark"))
+
+
+_SOILED = """, b AS (SELECT CAST(substr(rid, 2) AS BIGINT) AS n, rid FROM adt_typed WHERE sys = 'adt_vendor_x'),
+  w AS (SELECT rid, CASE WHEN n % 17 = 0 THEN 'patient_missing' WHEN n % 11 = 0 OR n % 13 = 0 THEN 'time_unreadable' WHEN n % 19 = 0 THEN 'time_missing' END AS reason FROM b)"""
+
+
+@query(with_(EVENTS) + _SOILED + """ SELECT 'adt_vendor_x' AS source, count(*) AS records_in, count(*) FILTER (WHERE reason IS NULL) AS records_out, count(reason) AS errors FROM w
+  UNION ALL SELECT 'auth_portal', count(*), count(*), 0 FROM fe WHERE kind = 'signup' AND e % 3 = 0""")
+def batch_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and errors of feeds with bad rows, counted as they are read."""
+    return reconciliation.ingested(_soiled(spark, sf_dir)).accounts
+
+
+@query(with_(EVENTS) + _SOILED + " SELECT 'adt_vendor_x' AS source, rid AS source_record_id, reason AS reject_reason FROM w WHERE reason IS NOT NULL")
+def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconciliation.ingested(_soiled(spark, sf_dir)).rejected.select("source", "source_record_id", "reject_reason")
+
+
+@query(with_(ORDERS) + " SELECT eid AS encounter_id, p AS patient_key, CASE WHEN k % 2 = 0 THEN 'second' ELSE 'first' END AS run_id, CASE WHEN k % 3 > 0 THEN 'first' ELSE 'second' END AS made FROM (SELECT *, CAST(substr(eid, 2) AS BIGINT) AS k FROM s) WHERE (k % 2 = 0 OR k % 3 > 0) AND k % 35 <> 1")
+def stored_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table after two runs that change and remove rows by key, and one that isn't committed."""
+    table, store = incremental.Table("stays", "encounter_id", "patient_key"), Store(spark, new_folder(spark, "store"))
+    rows, k = feeds.stays(spark, sf_dir).select("encounter_id", "patient_key"), F.substring("encounter_id", 2, 20).cast("long")
+    for run_id, part in (("first", k % 3 > 0), ("second", k % 2 == 0), ("third", k > 0)):
+        run = store.begin(run_id)
+        fresh = rows.where(part).withColumns({"run_id": F.lit(run_id), "made": F.lit(run_id)})
+        # the last of a key's rows counts
+        again = fresh.withColumns({"run_id": F.lit("a"), "made": F.lit("a"), "nth": F.lit(0)}).unionByName(fresh.withColumn("nth", F.lit(1)))
+        gone = rows.where(k % 35 == 1) if run_id == "second" else None
+        run.upsert(table, again.where(k % 35 != 1) if run_id == "second" else again, order=["nth"], keep="made", remove=gone)
+        if run_id != "third":
+            run.commit()
+    return store.read(table).select("encounter_id", "patient_key", "run_id", "made")

@@ -16,14 +16,22 @@ def blank(c: Column) -> Column:
     return F.coalesce(F.trim(c.cast("string")) == "", F.lit(True))
 
 
-def validity(df: DataFrame, source: Source) -> Column:
-    """False for rows without a patient, or whose time is missing or can't be read."""
+def time(df: DataFrame, name: str) -> Column:
+    return rules.parse_ts(F.col(name), df.schema[name].dataType.typeName())
+
+
+def reason(df: DataFrame, source: Source) -> Column:
+    """Why a row is rejected: it has no patient, or its time is missing or can't be read."""
     ts = source.admit[0] if source.admit else source.fields["event_ts"]
-    return ~blank(F.col(source.fields["patient_key"])) & ~blank(F.col(ts)) & rules.parse_ts(F.col(ts)).isNotNull()
+    return (
+        F.when(blank(F.col(source.fields["patient_key"])), "patient_missing")
+        .when(blank(F.col(ts)), "time_missing")
+        .when(time(df, ts).isNull(), "time_unreadable")
+    )
 
 
 def error_counts(df: DataFrame, source: Source) -> DataFrame:
-    ok = validity(df, source)
+    ok = reason(df, source).isNull()
     return df.agg(F.lit(source.name).alias("source"), F.count("*").alias("records_in"), F.count_if(ok).alias("records_out"), F.count_if(~ok).alias("errors"))
 
 
@@ -45,25 +53,32 @@ def event_id(system: Column, record: Column, event_type: Column) -> Column:
 
 def canonicalize(df: DataFrame, source: Source, batch_id: str = "batch") -> DataFrame:
     """Canonical events of the valid rows of one source."""
-    rows = df.where(validity(df, source))
+    return accounted(df, source, batch_id).where("reject_reason IS NULL").drop("reject_reason", "raw")
+
+
+def accounted(df: DataFrame, source: Source, batch_id: str = "batch") -> DataFrame:
+    """Canonical events, and a line for each rejected row with ``reject_reason`` and ``raw``
+    (the row as JSON), so that one pass over the source serves both."""
+    bad = F.col("reject_reason").isNotNull()
+    rows = df.withColumn("reject_reason", reason(df, source)).withColumn("raw", F.when(bad, F.to_json(F.struct(*df.columns))))
     get = lambda name: F.col(source.fields[name]).cast("string") if name in source.fields else F.lit(None).cast("string")
     base = {name: get(name) for name in OPTIONAL} | {"patient_key": get("patient_key"), "source_record_id": get("source_record_id")}
     base["facility_raw"] = F.coalesce(base["facility_raw"], F.lit(""))
-    base |= {"source_system": F.lit(source.name), "source_type": F.lit(source.kind), "ingested_at": rules.parse_ts(F.col(source.incremental_key)), "batch_id": F.lit(batch_id)}
+    base |= {"source_system": F.lit(source.name), "source_type": F.lit(source.kind), "ingested_at": time(df, source.incremental_key), "batch_id": F.lit(batch_id), "reject_reason": F.col("reject_reason"), "raw": F.col("raw")}
     none, no_flag = F.lit(None).cast("string"), F.lit(None).cast("boolean")
     if source.kind == "claims":
         # a claim is an admission and, where it has a date, a discharge
         base |= {"npi": none, "ccn": none, "diagnosis_codes": diagnoses(get("diagnosis_codes")) if "diagnosis_codes" in source.fields else F.lit(None).cast(DX)}
         base["raw_class"] = rules.first_match([(rules.class_rule(w), c) for w, c in source.class_rules], base["patient_class"])
-        half = lambda ts, kind, side: F.struct(rules.parse_ts(F.col(ts)).alias("event_ts"), F.lit(kind).alias("event_type"), F.lit(side).alias("side"), (F.lit(True) if side == 0 else no_flag).alias("admit_flag"), (F.lit(True) if side == 1 else no_flag).alias("discharge_flag"))
+        half = lambda ts, kind, side: F.struct(time(df, ts).alias("event_ts"), F.lit(kind).alias("event_type"), F.lit(side).alias("side"), (F.lit(True) if side == 0 else no_flag).alias("admit_flag"), (F.lit(True) if side == 1 else no_flag).alias("discharge_flag"))
         halves = F.explode(F.array(half(*source.admit, 0), half(*source.discharge, 1)))
-        out = rows.select(*(c.alias(k) for k, c in base.items()), halves.alias("half")).select("*", "half.*").drop("half").where("event_ts IS NOT NULL")
+        out = rows.select(*(c.alias(k) for k, c in base.items()), halves.alias("half")).select("*", "half.*").drop("half").where("CASE WHEN reject_reason IS NULL THEN event_ts IS NOT NULL ELSE side = 0 END")
         out = out.withColumns({"event_id": event_id(F.col("source_system"), F.col("source_record_id"), F.col("event_type")), "auth_flag": no_flag, "auth_status": none})
     else:
         base |= {"admitting_diagnosis": none, "principal_diagnosis": base["principal_diagnosis"], "diagnosis_codes": F.lit(None).cast(DX)}
         code = F.trim(F.col(source.type_field).cast("string"))
         resolved = F.when(code.isNull(), "UNKNOWN").otherwise(rules.first_match([(rules.equalities(w), t) for w, t in source.type_rules], rules.mapped(code, source.type_map, F.lit("UNKNOWN"))))
-        base |= {"event_ts": rules.parse_ts(F.col(source.fields["event_ts"])), "event_type": resolved, "side": F.lit(0), "raw_class": base["patient_class"], "has_code": code.isNotNull()}
+        base |= {"event_ts": time(df, source.fields["event_ts"]), "event_type": resolved, "side": F.lit(0), "raw_class": base["patient_class"], "has_code": code.isNotNull()}
         status = rules.mapped(F.trim(F.col(source.status_field).cast("string")), source.status_map) if source.status_field else none
         out = rows.select(*(c.alias(k) for k, c in base.items()), status.alias("auth_status"))
         flags = {"admit_flag": source.admit_flag, "discharge_flag": source.discharge_flag}

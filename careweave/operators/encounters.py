@@ -21,7 +21,8 @@ def readmissions(stays: DataFrame, settings: Settings = Settings()) -> DataFrame
     prior = rows.where("facility_type = 'acute' AND discharge_ts IS NOT NULL").select("patient_key", "admit_ts", F.col("_nth").alias("_before"), F.col("discharge_ts").alias("_left"), F.col("encounter_id").alias("_prior"))
     # in time slices of the window's length, so that a patient of many years isn't one group
     reach = (settings.readmission_days + 1) * DAY
-    first, last = F.floor(F.unix_micros("admit_ts") / reach), F.floor((F.unix_micros("_left") + reach - 1) / reach)
+    latest = rows.agg(F.max(F.unix_micros("admit_ts"))).first()[0] or 0
+    first, last = F.floor(F.unix_micros("admit_ts") / reach), F.floor(F.least(F.unix_micros("_left") + reach - 1, F.lit(latest)) / reach)
     prior = prior.where(last >= first).withColumn("_slice", F.explode(F.sequence(first, last)))
     near = (F.col("_before") < F.col("_nth")) & (F.unix_micros("_left") > F.unix_micros("admit_ts") - reach)
     asked = rows.where("facility_type = 'acute'").select("patient_key", "encounter_id", "_nth", "admit_ts", first.alias("_slice"))
@@ -48,9 +49,12 @@ def roles(events: DataFrame, reconciled: DataFrame, settings: Settings = Setting
     return rows.withColumn("role_in_encounter", role).drop("_kind", "_nth", "reconciled_admit_ts", "reconciled_discharge_ts")
 
 
-def encounter_rows(scored: DataFrame, as_of, run_id: str, settings: Settings = Settings()) -> DataFrame:
-    """The published encounter table. The first stay of a patient is no readmission."""
+def encounter_rows(scored: DataFrame, as_of, run_id: str, settings: Settings = Settings(), earlier: DataFrame | None = None) -> DataFrame:
+    """The published encounter table. The first stay of a patient is no readmission; ``earlier``
+    are published stays that later ones may be readmissions of."""
     stays = scored.select("patient_key", "encounter_id", "facility_type", F.col("reconciled_admit_ts").alias("admit_ts"), F.col("reconciled_discharge_ts").alias("discharge_ts"))
+    if earlier is not None:
+        stays = stays.unionByName(earlier.select(*stays.columns))
     scored = scored.join(readmissions(stays, settings).select("encounter_id", "is_readmission", "readmission_days"), "encounter_id")
     los = (F.unix_micros("reconciled_discharge_ts") - F.unix_micros("reconciled_admit_ts")) / 3_600_000_000
     facility = F.coalesce("facility_id", F.lit(""))
@@ -60,7 +64,7 @@ def encounter_rows(scored: DataFrame, as_of, run_id: str, settings: Settings = S
         F.col("reconciled_type").alias("encounter_type"), "status", (F.col("encounter_type") == "inpatient").alias("is_acute"),
         "drg", "payer_id", "principal_diagnosis", "admitting_diagnosis", "diagnosis_codes", "has_adt", "has_claims", "has_auth", "source_systems", "source_event_ids",
         "admit_source", "discharge_source", "obs_to_ip", "transfer_chain", "facility_type", F.col("confidence").alias("confidence_score"), "confidence_flags",
-        "is_readmission", "readmission_days",
+        "is_readmission", "readmission_days", "has_discharge", "first_event_ts", "last_event_ts",
         F.lit(None).cast("string").alias("episode_id"), F.lit(run_id).alias("run_id"), F.lit(as_of).cast("timestamp").alias("created_at"), F.lit(as_of).cast("timestamp").alias("updated_at"),
     )
 

@@ -244,16 +244,26 @@ SLICE = 30 * 86_400_000_000
 def stable_ids(new: DataFrame, prior: DataFrame, as_of, settings: Settings = Settings()) -> DataFrame:
     """(encounter_id, stable_id): the id of the nearest earlier stay that a stay overlaps.
 
+    An earlier stay is continued by one stay, the nearest to it; others keep their own ids.
     ``prior``: (encounter_id, patient_key, facility_id, first_event_ts, last_event_ts)."""
     window = settings.window_hours * 3_600_000_000
-    old = prior.where(F.col("last_event_ts") >= F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {settings.history_days} DAYS")).select("patient_key", F.col("encounter_id").alias("stable_id"), F.col("facility_id").alias("_fac"), F.col("first_event_ts").alias("_first"), F.col("last_event_ts").alias("_last"))
-    # only what shares a slice of time is compared
-    slices = lambda a, z: F.sequence(F.floor(F.unix_micros(a) / (2 * window + SLICE)), F.floor(F.unix_micros(z) / (2 * window + SLICE)))
-    widened = lambda name, by: F.timestamp_micros(F.unix_micros(name) + by)
-    old = old.withColumn("_slice", F.explode(slices(widened("_first", -window), widened("_last", window))))
-    joined = new.withColumn("_slice", F.explode(slices("first_event_ts", "last_event_ts"))).join(old, ["patient_key", "_slice"])
-    near = (F.unix_micros("first_event_ts") <= F.unix_micros("_last") + window) & (F.unix_micros("_first") <= F.unix_micros("last_event_ts") + window)
+    old = prior.where(F.col("last_event_ts") >= F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {settings.history_days} DAYS"))
+    old = old.select("patient_key", F.col("encounter_id").alias("stable_id"), F.col("facility_id").alias("_fac"), F.unix_micros("first_event_ts").alias("_first"), F.unix_micros("last_event_ts").alias("_last"))
+    begun = new.agg(F.max(F.unix_micros("first_event_ts"))).union(old.agg(F.max("_first"))).agg(F.max("max(unix_micros(first_event_ts))")).first()[0]
+    # only what shares a slice of time is compared; intervals that meet do so before the last begins
+    size = 2 * window + SLICE
+    slices = lambda a, z: F.sequence(F.floor(a / size), F.greatest(F.floor(a / size), F.floor(F.least(z, F.lit((begun or 0) + window)) / size)))
+    old = old.withColumn("_slice", F.explode(slices(F.col("_first") - window, F.col("_last") + window)))
+    first, last = F.unix_micros("first_event_ts"), F.unix_micros("last_event_ts")
+    joined = new.withColumn("_slice", F.explode(slices(first, last))).join(old, ["patient_key", "_slice"])
+    near = (first <= F.col("_last") + window) & (F.col("_first") <= last + window)
     if settings.facility_must_match:
         near = near & (F.col("facility_id") == F.col("_fac"))
-    best = joined.where(near).groupBy("encounter_id").agg(F.min_by("stable_id", F.struct(F.abs(F.unix_micros("first_event_ts") - F.unix_micros("_first")), "stable_id")).alias("stable_id"))
-    return new.select("encounter_id").join(best, "encounter_id", "left").withColumn("stable_id", F.coalesce("stable_id", "encounter_id"))
+    pairs = joined.where(near).select("encounter_id", "stable_id", F.abs(first - F.col("_first")).alias("_far"))
+    # an id that a stay has by itself is that one's
+    own = new.select(F.col("encounter_id").alias("stable_id"), F.lit(True).alias("_own")).distinct()
+    pairs = pairs.join(own, "stable_id", "left").where(F.col("_own").isNull() | (F.col("encounter_id") == F.col("stable_id")))
+    pairs = pairs.withColumn("_far", F.when(F.col("encounter_id") == F.col("stable_id"), -1).otherwise(F.col("_far")))
+    best = pairs.groupBy("encounter_id").agg(F.min(F.struct("_far", "stable_id")).alias("_best")).select("encounter_id", "_best.*")
+    won = best.groupBy("stable_id").agg(F.min_by("encounter_id", F.struct("_far", "encounter_id")).alias("encounter_id"))
+    return new.select("encounter_id").join(won, "encounter_id", "left").withColumn("stable_id", F.coalesce("stable_id", "encounter_id"))

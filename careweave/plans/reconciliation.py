@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from careweave.config import Settings, Source
@@ -13,6 +15,9 @@ from careweave.sources import feeds, scan
 from careweave.sources.shared import written
 
 
+EPOCH = datetime(1970, 1, 1)
+
+
 @dataclass
 class Tables:
     canonical: DataFrame
@@ -41,26 +46,68 @@ def canonical_events(sources: list[tuple[Source, DataFrame]], batch_id: str = "b
 def build(sources: list[tuple[Source, DataFrame]], facilities: DataFrame, as_of: str, registry: DataFrame | None = None, settings: Settings = Settings(), run_id: str = "run", history: DataFrame | None = None, watermarks: dict | None = None, prior: DataFrame | None = None) -> Tables:
     """Encounters of all sources. ``history``: earlier canonical events, resolved; ``prior``:
     stays of earlier runs, whose ids are used again where a stay continues one."""
-    events, errors = canonical_events(sources, run_id, watermarks, dict(settings.lookback))
-    # read from the sources once; the distinct names are taken from the table
-    events = written(events, "events")
-    resolved = facility.resolve(events, facilities, registry, settings.fuzzy_threshold)
+    taken = ingested(sources, run_id, watermarks, dict(settings.lookback))
+    resolved = facility.resolve(taken.events, facilities, registry, settings.fuzzy_threshold)
     if history is not None:
         resolved = scan.recent_history(history, resolved, as_of, settings.history_days)
     # the canonical events are a table of their own (the next batch's history), and what
     # follows is planned from it
-    resolved = written(resolved, "canonical-events")
+    return encountered(written(resolved, "canonical-events"), taken, facilities, as_of, settings, run_id, prior)
+
+
+@dataclass
+class Ingested:
+    """Canonical events of a batch, its rejected rows, and what was counted on the way."""
+
+    events: DataFrame
+    rejected: DataFrame
+    accounts: DataFrame
+    #: errors among all rows, and the greatest incremental key of each source
+    error_rate: float
+    seen: dict[str, datetime]
+
+
+def ingested(sources: list[tuple[Source, DataFrame]], run_id: str = "batch", watermarks: dict | None = None, lookback: dict[str, str] | None = None) -> Ingested:
+    """One pass over each source: events and rejected rows go to one table, and rows, errors
+    and the greatest key are observed as they pass."""
+    parts, told = [], {}
+    for source, df in sources:
+        mark = (watermarks or {}).get(source.name)
+        rows = scan.scan(df, source, None if mark is None else str(mark), lookback, "full" if mark is None else "incremental")
+        bad = canonical.reason(rows, source).isNotNull()
+        told[source.name] = Observation(f"{run_id}-{source.name}-{uuid.uuid4().hex}")
+        key = canonical.time(rows, source.incremental_key)
+        rows = rows.observe(told[source.name], F.count(F.lit(1)).alias("records_in"), F.count_if(bad).alias("errors"), F.max(F.unix_micros(key)).alias("last"))
+        parts.append(canonical.accounted(rows, source, run_id))
+    table = written(scan.union_all(parts), "ingested")
+    lines, seen = [], {}
+    for name, observation in told.items():
+        got = observation.get
+        n, errors = got["records_in"], got["errors"]
+        lines.append((name, n, n - errors, errors))
+        if got["last"] is not None:
+            seen[name] = EPOCH + timedelta(microseconds=got["last"])
+    accounts = table.sparkSession.createDataFrame(lines, "source string, records_in long, records_out long, errors long")
+    total = sum(n for _, n, _, _ in lines)
+    rejected = table.where("reject_reason IS NOT NULL").select(F.col("source_system").alias("source"), "source_record_id", "patient_key", "reject_reason", "raw", "batch_id")
+    events = table.where("reject_reason IS NULL").drop("reject_reason", "raw")
+    return Ingested(events, rejected, accounts, sum(e for *_, e in lines) / total if total else 0.0, seen)
+
+
+def encountered(resolved: DataFrame, taken: Ingested, facilities: DataFrame, as_of: str, settings: Settings = Settings(), run_id: str = "run", prior: DataFrame | None = None, earlier: DataFrame | None = None) -> Tables:
+    """Encounters of resolved events. ``earlier``: published stays that these don't touch."""
     stitched = stitch.stitch(resolved, settings)
-    marked = dedup.mark_duplicates(stitched, settings)
-    merged = written(dedup.merge_overlaps(marked, settings), "stitched-events").drop("encounter_id").withColumnRenamed("merged_id", "encounter_id")
     if prior is not None:
-        merged = written(with_stable_ids(merged, prior, as_of, settings), "continued-events")
-    stays = stitch.transfers(stitch.encounters(merged, settings), settings)
+        stitched = with_stable_ids(written(stitched, "stitched"), prior, as_of, settings)
+    stitched = written(stitched, "stitched-events")
+    marked = dedup.mark_duplicates(stitched, settings)
+    merged = written(dedup.merge_overlaps(marked, settings), "merged-events").drop("encounter_id").withColumnRenamed("merged_id", "encounter_id")
+    stays = written(stitch.transfers(written(stitch.encounters(merged, settings), "stays"), settings), "chained-stays")
     reconciled = reconcile.reconcile(merged, stays, as_of, settings)
     scored = written(score.score(score.stale(reconciled, facility.facility_types(facilities), as_of, settings)), "scored")
-    rows = encounters.encounter_rows(scored, as_of, run_id, settings)
+    rows = encounters.encounter_rows(scored, as_of, run_id, settings, earlier)
     detail = encounters.detail_rows(encounters.roles(merged, reconciled, settings))
-    return Tables(events, resolved, stitched, stays, merged, reconciled, scored, rows, detail, errors)
+    return Tables(taken.events, resolved, stitched, stays, merged, reconciled, scored, rows, detail, taken.accounts)
 
 
 def with_stable_ids(events: DataFrame, prior: DataFrame, as_of: str, settings: Settings = Settings()) -> DataFrame:

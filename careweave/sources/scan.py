@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from careweave.config import Source
+from careweave.functions import rules
 
 
 def lookback_hours(lookback: dict[str, str], kind: str) -> int:
@@ -66,21 +67,34 @@ def watermarks(frames: dict[str, tuple[DataFrame, str]]) -> DataFrame:
 
 
 def advance(stored: DataFrame, seen: DataFrame) -> DataFrame:
-    """The stored watermarks (key, value) after a run that saw others; none goes back."""
-    return stored.unionByName(seen).where("value IS NOT NULL").groupBy("key").agg(F.max("value").alias("value"))
+    """The stored watermarks (key, value) after a run that saw others; none goes back.
+
+    They are compared as times, however they are written; what is no time loses."""
+    rows = stored.unionByName(seen).where("value IS NOT NULL")
+    return rows.groupBy("key").agg(F.max_by("value", F.struct(rules.parse_ts(F.col("value")), "value")).alias("value"))
+
+
+def last_of_each(df: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """The last row of each key by ``order``; by content if that leaves a tie or is missing."""
+    content = F.xxhash64(*df.columns)
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(*(F.desc(c) for c in order or []), content))
+    return df.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+
+
+def keeping(new: DataFrame, old: DataFrame, key: str, column: str) -> DataFrame:
+    """``new`` with a column as it was for keys that were there (a creation time, say)."""
+    before = old.select(key, F.col(column).alias("_kept"))
+    return new.join(before, key, "left").withColumn(column, F.coalesce("_kept", column)).drop("_kept")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str | None = None, keep: str | None = None) -> DataFrame:
-    """``old`` with rows of ``new`` in place of those of the same key.
+    """``old`` with rows of ``new`` in place of those of the same key, each key once.
 
     ``order``: the last row of a key in ``new`` counts. ``keep``: this column stays as it
-    was for keys that were there (a creation time, say)."""
-    if order:
-        nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
-        new = new.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    was for keys that were there."""
+    new = last_of_each(new, key, [order] if order else None)
     if keep:
-        before = old.select(key, F.col(keep).alias("_kept"))
-        new = new.join(before, key, "left").withColumn(keep, F.coalesce("_kept", keep)).drop("_kept")
+        new = keeping(new, old, key, keep)
     return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 

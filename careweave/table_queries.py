@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +13,7 @@ from careweave.operators import dedup, encounters, episodes, facility, quality,
 from careweave.oracles import EVENTS, MERGED, MERGED_RECON, MERGED_SCORE, MERGED_STAYS, MERGED_TRANSFERS, ORDERS, LINK, STITCH, STAYS, TRANSFERS, with_
 from careweave.plans import reconciliation
 from careweave.sources import feeds, registry, scan
-from careweave.sources.shared import shared_dir
+from careweave.sources.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,10 +37,6 @@ def _time(c: str) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 _TIME = "'%Y-%m-%d %H:%M:%S.%f'"
 
 
@@ -81,7 +76,7 @@ def stored_watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = {s.name: (df, s.incremental_key) for s, df in reconciliation.default_feeds(spark, sf_dir)}
     early = {name: (df.where(F.col(key) < "2024-01-15"), key) for name, (df, key) in sources.items()}
     late = {name: sources[name] for name in ("claims_clearinghouse", "auth_portal")}
-    where = _folder(spark, "watermarks")
+    where = new_folder(spark, "watermarks")
     scan.full_refresh(scan.watermarks(early), where)
     return scan.advance(spark.read.parquet(where), scan.watermarks(late))
 
@@ -113,7 +108,7 @@ def recent_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, event_type FROM events")
 def appended_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table that is cleared, refilled and appended to."""
-    rows, where = table(spark, sf_dir, "events").select("event_id", "event_type"), _folder(spark, "appended")
+    rows, where = table(spark, sf_dir, "events").select("event_id", "event_type"), new_folder(spark, "appended")
     scan.append(rows.limit(10), where)
     scan.full_refresh(rows.where("event_id % 3 = 0"), where)
     scan.append(rows.where("event_id % 3 > 0"), where)
@@ -135,7 +130,7 @@ def inserted_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders")
 def published_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    where = _folder(spark, "mart")
+    where = new_folder(spark, "mart")
     scan.publish(table(spark, sf_dir, "orders"), ["o_orderkey", "o_orderstatus"], where)
     return spark.read.parquet(where)
 
@@ -228,8 +223,9 @@ def unresolved_facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_(ORDERS) + f""", n AS (SELECT eid, p, fid, a AS x, coalesce(d, a) AS y FROM s), o AS (SELECT 'Q' || eid AS q, p, fid, a + INTERVAL 1 DAY AS x, coalesce(d, a) + INTERVAL 2 DAY AS y FROM s WHERE CAST(substr(eid, 2) AS BIGINT) % 3 = 0),
-  hit AS (SELECT n.eid, arg_min(q, {{'a': abs(epoch_us(n.x) - epoch_us(o.x)), 'b': q}}) AS q FROM n JOIN o ON n.p = o.p AND n.fid = o.fid AND n.x <= o.y + INTERVAL {Settings().window_hours} HOUR AND o.x <= n.y + INTERVAL {Settings().window_hours} HOUR WHERE o.y >= TIMESTAMP '2000-01-01' - INTERVAL 1500 DAY GROUP BY n.eid)
-  SELECT eid AS encounter_id, coalesce(q, eid) AS stable_id FROM n LEFT JOIN hit USING (eid)""")
+  hit AS (SELECT n.eid, arg_min(q, {{'a': abs(epoch_us(n.x) - epoch_us(o.x)), 'b': q}}) AS q FROM n JOIN o ON n.p = o.p AND n.fid = o.fid AND n.x <= o.y + INTERVAL {Settings().window_hours} HOUR AND o.x <= n.y + INTERVAL {Settings().window_hours} HOUR WHERE o.y >= TIMESTAMP '2000-01-01' - INTERVAL 1500 DAY GROUP BY n.eid),
+  won AS (SELECT arg_min(hit.eid, {{'a': abs(epoch_us(n.x) - epoch_us(o.x)), 'b': hit.eid}}) AS eid, hit.q FROM hit JOIN n ON n.eid = hit.eid JOIN o ON o.q = hit.q GROUP BY hit.q)
+  SELECT eid AS encounter_id, coalesce(q, eid) AS stable_id FROM n LEFT JOIN won USING (eid)""")
 def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = feeds.stays(spark, sf_dir).select("encounter_id", "patient_key", "facility_id", F.col("admit_ts").alias("first_event_ts"), F.coalesce("discharge_ts", "admit_ts").alias("last_event_ts"))
     prior = rows.where("int(substring(encounter_id, 2)) % 3 = 0").withColumns({"encounter_id": F.concat(F.lit("Q"), "encounter_id"), "first_event_ts": F.col("first_event_ts") + F.expr("INTERVAL 1 DAY"), "last_event_ts": F.col("last_event_ts") + F.expr("INTERVAL 2 DAYS")})
@@ -265,7 +261,7 @@ def encounter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encounters.audit_rows(rows.where(k % 2 == 0), rows.where(k % 3 == 0), "encounter_id", "encounter", "run", feeds.AS_OF).select("entity_id", "action", "audit_id")
 
 
-@query(with_(EVENTS) + """, f AS (SELECT DISTINCT fid, CASE how WHEN 'new' THEN 'Lakeside Walk-In Practice' ELSE 'MEMORAL REGIONL HOSP' END AS raw, mt FROM res WHERE mt IN ('new', 'fuzzy'))
+@query(with_(EVENTS) + """, f AS (SELECT DISTINCT fid, CASE how WHEN 'new' THEN 'Lakeside Walk-In Practice' ELSE 'ALDR CREEK REGIONL HOSP' END AS raw, mt FROM res WHERE mt IN ('new', 'fuzzy'))
   SELECT sha256('run|' || fid || '|' || raw || '|' || mt) AS audit_id, fid AS entity_id, mt AS action FROM f""")
 def facility_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, _ = reconciliation.canonical_events(reconciliation.default_feeds(spark, sf_dir))
@@ -393,7 +389,10 @@ _TYPES = "CASE fid " + " ".join(f"WHEN '{f[0]}' THEN '{f[4]}'" for f in feeds.FA
   FROM num JOIN banded ON banded.eid = num.eid LEFT JOIN hit ON hit.eid = num.eid LEFT JOIN chain ON chain.eid = num.eid""")
 def published_encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The encounter table with its lists as text."""
-    rows = reconciliation.run_feeds(spark, sf_dir).encounters
+    return shown_encounters(reconciliation.run_feeds(spark, sf_dir).encounters)
+
+
+def shown_encounters(rows: DataFrame) -> DataFrame:
     joined = lambda c: F.concat_ws(",", c).alias(c)
     return rows.select(
         "encounter_id", "patient_key", "facility_id", "facility_name", _time("admit_ts"), _time("discharge_ts"), F.round("los_hours", 6).alias("los_hours"), "encounter_type", "status", "is_acute", "drg", "payer_id", "principal_diagnosis", "admitting_diagnosis", F.concat_ws(",", "diagnosis_codes.code").alias("dx"),
@@ -414,10 +413,11 @@ def duplicate_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.array_contains("flags", "DUPLICATE_DETECTED")).select("encounter_id")
 
 
-@query(with_(EVENTS, STITCH) + """, x AS (SELECT eid, p, arg_min(fid, pos) AS f, min(evt) AS begun FROM st GROUP BY eid, p), y AS (SELECT eid, CASE WHEN CAST(substr(p, 2) AS INT) % 2 = 0 THEN 'Q' || min(eid) OVER (PARTITION BY p, f, begun) ELSE eid END AS q FROM x)
+@query(with_(EVENTS, STITCH) + """, x AS (SELECT eid, p, arg_min(fid, pos) AS f, min(evt) AS begun FROM st GROUP BY eid, p), y AS (SELECT eid, CASE WHEN CAST(substr(p, 2) AS INT) % 2 = 0 AND eid = min(eid) OVER (PARTITION BY p, f, begun) THEN 'Q' || eid ELSE eid END AS q FROM x)
   SELECT sys AS source_system, rid AS source_record_id, side, q AS encounter_id FROM st JOIN y USING (eid)""")
 def continued_encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A later run of the same events: stays of even patients keep their earlier ids."""
+    """A later run of the same events: stays of even patients keep their earlier ids, of
+    stays that begin together at one facility one."""
     events = _stitched(spark, sf_dir)
     prior = stitch.encounters(events).where("int(substring(patient_key, 2)) % 2 = 0").withColumn("encounter_id", F.concat(F.lit("Q"), "encounter_id"))
     return reconciliation.with_stable_ids(events, prior, feeds.AS_OF).select("source_system", "source_record_id", "side", "encounter_id")
