@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from careweave.config import Settings
 from careweave.functions import rules
+from careweave.operators import groupers
 from careweave.operators.slices import Slices
 
 DAY = 86_400_000_000
@@ -45,8 +46,9 @@ def link(stays: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return slices.done(rows).drop("_prior", "_kind", "_failed", "_linked", "_first")
 
 
-def episodes(linked: DataFrame, as_of, grouper: Callable[[Column, Column], Column] = rules.episode_type) -> DataFrame:
-    """One row for each episode of linked stays. ``grouper``: (first code, DRG) to type."""
+def episodes(linked: DataFrame, as_of, grouper: Callable[[Column, Column], Column] = rules.episode_type, tables: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """One row for each episode of linked stays. ``grouper``: (first code, DRG) to type;
+    ``tables``: ranges and prefixes to be used instead (see ``groupers``)."""
     place = F.struct("admit_ts", "encounter_id")
     rows = linked.withColumn("_place", place)
     hours = F.when(F.col("los_hours") > 0, F.col("los_hours")).otherwise(1.0)
@@ -71,7 +73,9 @@ def episodes(linked: DataFrame, as_of, grouper: Callable[[Column, Column], Colum
     kept = F.filter(codes, lambda x, i: ~F.exists(F.slice(codes, F.lit(1), i), lambda y: y["code"] == x["code"]))
     los = (F.unix_micros("episode_end_ts") - F.unix_micros("episode_start_ts")) / DAY
     stamp = F.lit(as_of).cast("timestamp")
-    return grouped.withColumns({"total_los_days": los, "facility_count": F.size("facility_sequence"), "diagnosis_codes": F.when(F.size(kept) > 0, kept), "episode_type": grouper(F.try_element_at("_dx", F.lit(1))["code"], F.col("_drg")), "created_at": stamp, "updated_at": stamp}).drop("_dx", "_drg")
+    grouped = grouped.withColumn("_code", F.try_element_at("_dx", F.lit(1))["code"])
+    grouped = grouped.withColumn("episode_type", grouper(F.col("_code"), F.col("_drg"))) if tables is None else groupers.typed(grouped.withColumnRenamed("_code", "_first"), *tables, code="_first", drg="_drg").withColumnRenamed("_first", "_code")
+    return grouped.withColumns({"total_los_days": los, "facility_count": F.size("facility_sequence"), "diagnosis_codes": F.when(F.size(kept) > 0, kept), "created_at": stamp, "updated_at": stamp}).drop("_dx", "_drg", "_code")
 
 
 def back_fill(encounters: DataFrame, episode_table: DataFrame) -> DataFrame:

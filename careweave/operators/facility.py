@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careweave.functions import rules
-from careweave.functions.similarity import token_sort
+from careweave.functions import rules, similarity
+from careweave.sources import scan
 from careweave.sources.shared import written
 
 NEW_FLAG = "FACILITY_NEW_UNREVIEWED"
@@ -29,29 +29,24 @@ def id_index(facilities: DataFrame, column: str) -> DataFrame:
     return facilities.where(value != "").groupBy(value.alias(column)).agg(F.max_by("canonical_id", "ordinal").alias("facility_id"))
 
 
-def letters(name: str) -> Column:
-    """How often each letter and digit is in a name, and how many other characters."""
-    kinds = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
-    counts = [F.length(name) - F.length(F.replace(F.col(name), F.lit(k), F.lit(""))) for k in kinds]
-    return F.array(*counts, F.length(F.translate(F.col(name), kinds, "")))
-
-
 def similar_names(names: DataFrame, index: DataFrame, threshold: float) -> DataFrame:
     """(normal, facility_id, score): the best indexed name for each of ``names`` (normal).
 
-    A score of t needs lengths within a factor (2 - t) / t, so the join is by equal length
-    over the few lengths that can do, not of all names with all; and it needs as many letters
-    in common, in any order, which is looked at before the score is computed."""
+    Names meet by keys that similar ones must share (see ``similarity``), so a name is
+    compared with few others, however many are indexed."""
     if threshold <= 0:
         return names.limit(0).select("normal", F.lit("").alias("facility_id"), F.lit(0.0).alias("score"))
-    size = F.length("normal")
-    lengths = F.sequence(F.ceil(size * threshold / (2 - threshold)).cast("int"), F.floor(size * (2 - threshold) / threshold).cast("int"))
-    wanted = names.select("normal", F.explode(lengths).alias("length"))
-    pairs = wanted.join(index.select(F.col("normal").alias("candidate"), "facility_id", "place", F.length("normal").alias("length")), "length")
-    shared = F.aggregate(F.zip_with(letters("normal"), letters("candidate"), lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
-    pairs = pairs.where(2 * shared >= threshold * (F.length("normal") + F.length("candidate")))
-    scored = pairs.withColumn("score", token_sort("normal", "candidate")).where(F.col("score") >= threshold)
-    best = scored.groupBy("normal").agg(F.min_by(F.struct("facility_id", "score"), F.struct(-F.col("score"), "place")).alias("best"))
+    kinds = [*similarity.KINDS]
+    text = F.replace(F.col("normal"), F.lit(" "), F.lit(""))
+    counts = [F.sum(F.length(text) - F.length(F.replace(text, F.lit(k), F.lit("")))).alias(f"k{i}") for i, k in enumerate(kinds)]
+    found = index.agg(*counts, F.sum(F.length(F.translate(text, similarity.KINDS, ""))).alias("other")).first()  # 37 numbers
+    weights = tuple(int(x or 0) for x in found)
+    lines = index.select(F.col("normal").alias("candidate"), "facility_id", "place").mapInArrow(similarity.keyed(weights, threshold), "candidate string, facility_id string, place struct<ordinal:int,nth:int>, their_bits long, key long")
+    asked = names.select("normal").distinct().mapInArrow(similarity.keyed(weights, threshold), "normal string, bits long, key long")
+    most = F.floor((1 - threshold) * (F.length("normal") + F.length("candidate")) + 1e-9)
+    pairs = asked.join(lines, "key").where(F.bit_count(F.col("bits").bitwiseXOR(F.col("their_bits"))) <= most).select("normal", "candidate", "key", "facility_id", "place")
+    near = pairs.mapInArrow(similarity.scored(weights, threshold), "normal string, candidate string, key long, facility_id string, place struct<ordinal:int,nth:int>, score double")
+    best = near.groupBy("normal").agg(F.min_by(F.struct("facility_id", "score"), F.struct(-F.col("score"), "place")).alias("best"))
     return best.select("normal", "best.facility_id", "best.score")
 
 
@@ -115,16 +110,46 @@ def facility_types(facilities: DataFrame) -> DataFrame:
     return facilities.where("facility_type IS NOT NULL").groupBy("canonical_id").agg(F.max_by("facility_type", "ordinal").alias("facility_type"))
 
 
-def lookup(facilities: DataFrame, *, alias: str | None = None, npi: str | None = None, ccn: str | None = None, facility_id: str | None = None) -> DataFrame:
+def lookup(facilities: DataFrame, *, alias: str | None = None, npi: str | None = None, ccn: str | None = None, facility_id: str | None = None, abbreviations: dict[str, str] | None = None) -> DataFrame:
+    """Facilities of an identifier; of a name in its normal form, which is that of one."""
     for column, value in (("canonical_id", facility_id), ("npi", npi), ("ccn", ccn)):
         if value is not None:
             facilities = facilities.where(F.trim(column) == value.strip())
-    return facilities.where(F.array_contains("aliases", alias) | (F.col("canonical_name") == alias)) if alias is not None else facilities
+    if alias is None:
+        return facilities
+    found = name_index(facilities, abbreviations).where((F.col("normal") == rules.normal_name(F.lit(alias), abbreviations)) & (F.col("normal") != ""))
+    return facilities.join(found.select(F.col("facility_id").alias("canonical_id")), "canonical_id", "left_semi")
+
+
+class UnknownFacility(LookupError):
+    """No facility has this id."""
 
 
 def add_alias(facilities: DataFrame, facility_id: str, alias: str) -> DataFrame:
-    added = F.array_union("aliases", F.array(F.lit(alias)))
-    return facilities.withColumn("aliases", F.when(F.col("canonical_id") == facility_id, added).otherwise(F.col("aliases")))
+    """``facilities`` where one has one more name."""
+    known = F.col("canonical_id") == facility_id
+    if facilities.where(known).isEmpty():
+        raise UnknownFacility(facility_id)
+    added = F.array_union(F.coalesce("aliases", F.array().cast("array<string>")), F.array(F.lit(alias)))
+    return facilities.withColumn("aliases", F.when(known, added).otherwise(F.col("aliases")))
+
+
+def add_facility(facilities: DataFrame, canonical_name: str, facility_id: str | None = None, npi: str | None = None, ccn: str | None = None, facility_type: str | None = None, aliases: list[str] | None = None, abbreviations: dict[str, str] | None = None) -> DataFrame:
+    """``facilities`` and a new one, after all others; its id is that of its name if not given."""
+    row = facilities.sparkSession.createDataFrame([(canonical_name, facility_id, npi, ccn, facility_type, aliases or [])], "canonical_name string, given string, npi string, ccn string, facility_type string, aliases array<string>")
+    row = row.withColumn("canonical_id", F.coalesce("given", new_id(rules.normal_name(F.col("canonical_name"), abbreviations)))).drop("given")
+    return upsert_facilities(facilities, row)
+
+
+def upsert_facilities(facilities: DataFrame, changes: DataFrame) -> DataFrame:
+    """``facilities`` with ``changes`` in place of those of the same id, and the new ones after all
+    others, in the order of their ids."""
+    last = facilities.agg(F.max("ordinal")).first()[0]
+    changes = scan.last_of_each(changes.drop("ordinal"), "canonical_id")
+    places = facilities.select("canonical_id", F.col("ordinal").alias("_at"))
+    # new facilities of one batch share a place; ids tell them apart where names are equal
+    changes = changes.join(places, "canonical_id", "left").withColumn("ordinal", F.coalesce("_at", F.lit((-1 if last is None else last) + 1))).drop("_at")
+    return scan.upsert(facilities, changes, "canonical_id")
 
 
 def unresolved(facilities: DataFrame) -> DataFrame:

@@ -243,7 +243,7 @@ mg(p, fac, rn, eid, merged, d, m, c) AS (
 ),
 dupm AS (SELECT dup.* REPLACE (mg.merged AS eid) FROM dup JOIN mg ON mg.p = dup.p AND mg.eid = dup.eid)"""
 MERGED_STAYS, MERGED_RECON, MERGED_SCORE = _STAYS.replace("FROM dup", "FROM dupm"), _RECON.replace("FROM dup", "FROM dupm"), _SCORE
-EVENTS, STITCH, STAYS, ORDERS, LINK, with_ = _EVENTS, _STITCH, _STAYS, _ORDERS, _LINK, _with
+EVENTS, STITCH, STAYS, ORDERS, LINK, EPISODES, with_ = _EVENTS, _STITCH, _STAYS, _ORDERS, _LINK, _EPISODES, _with
 
 
 ORACLE_SQL: dict[str, str] = {

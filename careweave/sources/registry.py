@@ -16,8 +16,14 @@ def text(df: DataFrame, name: str) -> Column:
     return F.trim(F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))) if name in df.columns else F.lit("")
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """A CSV file with a header, as text. Values with line ends need ``multi_line``, which
+    makes each file one task."""
+    return spark.read.options(header=True, quote='"', escape='"', multiLine=multi_line).csv(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.options(header=True, quote='"', escape='"', emptyValue="").csv(path)
 
 
 def _row(df: DataFrame, **values: Column) -> DataFrame:
