@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from careweave import queries
 from careweave.config import Settings
-from careweave.operators import dedup, episodes, stitch
+from careweave.operators import dedup, encounters, episodes, facility, quality, reconcile, score, stitch
 from careweave.config import Source
-from careweave.oracles import EVENTS, LINK, MERGED, ORDERS, STITCH, with_
+from careweave.oracles import EVENTS, LINK, MERGED, ORDERS, STAYS, STITCH, with_
 from careweave.plans import incremental, reconciliation
 from careweave.sources import feeds
 from careweave.sources.keyed import Store
-from careweave.sources.shared import new_folder
+from careweave.sources.shared import new_folder, written
 from careweave.table_queries import ORACLE_SQL, QUERIES, query, shown_encounters  # noqa: F401: registered there
 
 #: Half of all events and stays are those of one record number.
@@ -124,3 +124,72 @@ def stored_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         if run_id != "third":
             run.commit()
     return store.read(table).select("encounter_id", "patient_key", "run_id", "made")
+
+
+@query(with_(EVENTS) + """ SELECT 'canonical_events' AS name, count(*) AS n FROM adt_typed WHERE sys = 'adt_vendor_y' UNION ALL SELECT 'encounter_events', count(*) FROM adt_typed WHERE sys = 'adt_vendor_y'
+  UNION ALL SELECT 'watermarks', 2 UNION ALL SELECT 'run_metrics', 2""")
+def refreshed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A full refresh clears what was derived; watermarks and run metrics stay."""
+    store, known = Store(spark, new_folder(spark, "store")), feeds.facilities(spark)
+    incremental.run(store, [(feeds.AUTH, feeds.auth(spark, sf_dir))], known, feeds.AS_OF, "first")
+    incremental.run(store, [(feeds.ADT_Y, feeds.adt_y(spark, sf_dir))], known, feeds.AS_OF, "second", mode="full")
+    tables = (incremental.CANONICAL, incremental.DETAIL, incremental.WATERMARKS, incremental.METRICS)
+    return spark.createDataFrame([(t.name, store.read(t).count()) for t in tables], "name string, n long")
+
+
+# values that the default feeds leave constant
+
+
+_CODES = "['J18.9','I50.9','S72.0','E11.9','O80','F32.9','R06.0','N18.3']"
+
+
+@query(with_(EVENTS, STITCH) + f""", a AS (SELECT eid, pos, ({_CODES})[CAST(substr(rid, 2) AS BIGINT) % 8 + 1] AS code FROM dup WHERE sys = 'adt_vendor_x' AND CAST(substr(rid, 2) AS BIGINT) % 3 = 0)
+  SELECT eid AS encounter_id, arg_min(code, pos) AS admitting_diagnosis FROM a GROUP BY eid""")
+def admitting_diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encounters with an admitting diagnosis, which some messages bring."""
+    e = F.substring("message_control_id", 2, 20).cast("long")
+    messages = feeds.adt(spark, sf_dir).withColumn("reason_code", F.when(e % 3 == 0, feeds.pick(feeds.NPI_CODES, e)))
+    source = Source(**{**feeds.ADT.__dict__, "fields": {**feeds.ADT.fields, "principal_diagnosis": "reason_code"}})
+    sources = [(s, df) for s, df in reconciliation.default_feeds(spark, sf_dir) if s.name != source.name]
+    events = reconciliation.ingested([*sources, (source, messages)]).events
+    events = written(stitch.stitch(written(facility.resolve(events, feeds.facilities(spark)), "canonical-events")), "stitched-events")
+    rows = reconcile.reconcile(dedup.mark_duplicates(events), stitch.encounters(events), feeds.AS_OF)
+    return rows.where("admitting_diagnosis IS NOT NULL").select("encounter_id", "admitting_diagnosis")
+
+
+@query(with_(EVENTS, STITCH, STAYS) + _SOILED + """, d AS (SELECT (SELECT count(DISTINCT eid) FROM dup WHERE role = 'duplicate') / (SELECT count(*) FROM stay) AS v), n AS (SELECT (SELECT count(*) FROM w) + (SELECT count(*) FROM fe WHERE kind = 'signup' AND e % 3 = 0) AS n)
+  SELECT 'duplicate_rate' AS metric_name, round(v, 6) AS metric_value, CASE WHEN v >= 0.15 THEN 'fail' WHEN v >= 0.05 THEN 'warn' ELSE 'pass' END AS status FROM d
+  UNION ALL SELECT 'failed_event_rate', round((SELECT count(reason) FROM w) / n, 6), CASE WHEN (SELECT count(reason) FROM w) / n >= 0.05 THEN 'fail' WHEN (SELECT count(reason) FROM w) / n >= 0.02 THEN 'warn' ELSE 'pass' END FROM n
+  UNION ALL SELECT 'encounters_created', (SELECT count(*) FROM stay WHERE CAST(substr(p, 2) AS INT) % 2 = 1)::DOUBLE, 'pass' UNION ALL SELECT 'encounters_updated', (SELECT count(*) FROM stay WHERE CAST(substr(p, 2) AS INT) % 2 = 0)::DOUBLE, 'pass'""")
+def run_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of duplicates, bad rows, and encounters that were there before."""
+    settings = Settings(flag_duplicates=True)
+    events = queries._stitched(spark, sf_dir)
+    rows = reconcile.reconcile(events, stitch.encounters(events), feeds.AS_OF, settings)
+    scored = written(score.score(score.stale(rows, facility.facility_types(feeds.facilities(spark)), feeds.AS_OF)), "scored")
+    audit = encounters.audit_rows(scored, scored.where("int(substring(patient_key, 2)) % 2 = 0"), "encounter_id", "encounter", "run", feeds.AS_OF)
+    taken = reconciliation.ingested(_soiled(spark, sf_dir))
+    judged = quality.statuses(quality.metrics(scored, taken.accounts, taken.events.agg(F.count("*").alias("n")), audit))
+    rates = ("duplicate_rate", "failed_event_rate", "encounters_created", "encounters_updated")
+    return judged.where(F.col("metric_name").isin(*rates)).select("metric_name", F.round("metric_value", 6).alias("metric_value"), "status")
+
+
+@query(with_(ORDERS) + """, x AS (SELECT *, CAST(substr(eid, 2) AS BIGINT) AS k FROM s), b AS (SELECT *, CASE WHEN k % 10 = 0 THEN a - INTERVAL 1 DAY WHEN k % 11 = 0 THEN NULL ELSE d END AS out_, CASE WHEN k % 7 = 0 THEN 1.5 ELSE conf END AS c FROM x)
+  SELECT 'admit_before_discharge' AS assertion, count(*) AS violations FROM b WHERE status = 'closed' AND out_ < a UNION ALL SELECT 'closed_has_discharge', count(*) FROM b WHERE status = 'closed' AND out_ IS NULL
+  UNION ALL SELECT 'encounter_score_range', count(*) FROM b WHERE c > 1 UNION ALL SELECT 'episode_score_range', count(*) FROM b WHERE k % 5 = 0 AND c > 1
+  UNION ALL SELECT 'detail_has_encounter', count(*) FROM lineitem WHERE l_orderkey % 4 = 0""")
+def broken_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assertions on tables that break each of them."""
+    k = F.substring("encounter_id", 2, 20).cast("long")
+    rows = feeds.stays(spark, sf_dir)
+    rows = rows.withColumns({"discharge_ts": F.when(k % 10 == 0, F.col("admit_ts") - F.expr("INTERVAL 1 DAY")).when(k % 11 > 0, F.col("discharge_ts")), "confidence_score": F.when(k % 7 == 0, 1.5).otherwise(F.col("confidence_score"))})
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    named = F.concat(F.when(F.col("l_orderkey") % 4 == 0, "X").otherwise("E"), F.lpad(F.col("l_orderkey").cast("string"), 12, "0"))
+    return quality.assertions(rows, lines.select(named.alias("encounter_id")), rows.where(k % 5 == 0))
+
+
+@query(with_(ORDERS, LINK) + ", e AS (SELECT epid, CASE WHEN CAST(substr(any_value(p), 2) AS BIGINT) % 2 = 0 THEN 'updated' ELSE 'created' END AS action FROM l4 GROUP BY epid) SELECT epid AS entity_id, 'episode' AS entity_type, action, sha256('run|episode|' || epid || '|' || action) AS audit_id FROM e")
+def episode_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = written(episodes.episodes(episodes.link(feeds.stays(spark, sf_dir)), feeds.AS_OF), "episodes")
+    lines = encounters.audit_rows(table, table.where("int(substring(patient_key, 2)) % 2 = 0"), "episode_id", "episode", "run", feeds.AS_OF)
+    return lines.select("entity_id", "entity_type", "action", "audit_id")

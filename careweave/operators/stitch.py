@@ -218,15 +218,17 @@ def encounters(events: DataFrame, settings: Settings = Settings()) -> DataFrame:
 def transfers(stays: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Adds ``transfer_chain``: ids of the maximal run of linked stays, null if alone.
 
-    A stay links to the next of its patient at another facility soon after discharge."""
-    slices, by = Slices.of(stays, ["patient_key"], "first_event_ts", settings.slice_rows), [F.col("first_event_ts"), F.col("encounter_id")]
+    A stay links to the next of its patient at another facility soon after discharge. Of
+    stays that begin together the facility decides which is next, not the id, which may be
+    one of an earlier run."""
+    slices, by = Slices.of(stays, ["patient_key"], "first_event_ts", settings.slice_rows), [F.col("first_event_ts"), F.col("facility_id"), F.col("encounter_id")]
     rows = slices.running(slices.cut(stays, "first_event_ts"), by, _before=("last", F.struct("discharge_ts", "has_discharge", "facility_id")))
     before = F.col("_before")
     gap = F.unix_micros("first_event_ts") - F.unix_micros(before["discharge_ts"])
     linked = before["has_discharge"] & (before["facility_id"] != F.col("facility_id")) & gap.between(0, settings.window_hours * 3_600_000_000)
     chained = slices.running(rows.withColumn("_begins", ~F.coalesce(linked, F.lit(False))), by, _chain=("sum", F.col("_begins").cast("int")))
     # a chain is put together once
-    listed = chained.groupBy("patient_key", "_chain").agg(F.array_sort(F.collect_list(F.struct("first_event_ts", "encounter_id"))).alias("_members")).where(F.size("_members") > 1)
+    listed = chained.groupBy("patient_key", "_chain").agg(F.array_sort(F.collect_list(F.struct("first_event_ts", "facility_id", "encounter_id"))).alias("_members")).where(F.size("_members") > 1)
     chains = listed.select("patient_key", "_chain", F.transform("_members", lambda x: x["encounter_id"]).alias("transfer_chain"))
     return slices.done(chained.join(chains, ["patient_key", "_chain"], "left")).drop("_chain", "_begins", "_before")
 

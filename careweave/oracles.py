@@ -221,8 +221,8 @@ def _with(*parts: str) -> str:
     return "WITH " + ",".join(parts)
 
 
-TRANSFERS = """, c0 AS (SELECT eid, p, first_ts, CASE WHEN lag(has_d) OVER o AND lag(fid) OVER o <> fid AND first_ts >= lag(d_ts) OVER o AND first_ts <= lag(d_ts) OVER o + INTERVAL 48 HOUR THEN 0 ELSE 1 END AS b FROM stay WINDOW o AS (PARTITION BY p ORDER BY first_ts, eid)),
-      c1 AS (SELECT *, sum(b) OVER (PARTITION BY p ORDER BY first_ts, eid) AS c FROM c0)"""
+TRANSFERS = """, c0 AS (SELECT eid, p, fid, first_ts, CASE WHEN lag(has_d) OVER o AND lag(fid) OVER o <> fid AND first_ts >= lag(d_ts) OVER o AND first_ts <= lag(d_ts) OVER o + INTERVAL 48 HOUR THEN 0 ELSE 1 END AS b FROM stay WINDOW o AS (PARTITION BY p ORDER BY first_ts, fid, eid)),
+      c1 AS (SELECT *, sum(b) OVER (PARTITION BY p ORDER BY first_ts, fid, eid) AS c FROM c0)"""
 MERGED_TRANSFERS = TRANSFERS + ", chain AS (SELECT eid, n FROM (SELECT *, count(*) OVER (PARTITION BY p, c) AS n FROM c1) WHERE n > 1)"
 
 #: Overlapping stays of a patient at a facility, folded one after another.
@@ -255,7 +255,7 @@ ORACLE_SQL: dict[str, str] = {
     "near_duplicates": _with(_EVENTS, _STITCH) + f" SELECT {_KEYS}, coalesce(role, 'kept') AS role FROM dup",
     "encounter_metadata": _with(_EVENTS, _STITCH, _STAYS) + " SELECT eid AS encounter_id, p AS patient_key, etype AS encounter_type, status, has_d AS has_discharge, strftime(admit_ts, '%Y-%m-%d %H:%M:%S.%f') AS admit_ts, strftime(CASE WHEN has_d THEN d_ts END, '%Y-%m-%d %H:%M:%S.%f') AS discharge_ts, round(CASE WHEN has_d THEN (epoch_us(d_ts) - epoch_us(admit_ts)) / 3600000000 END, 6) AS los_hours, n AS n_events, systems AS source_systems, has_adt, has_claims, has_auth, obs AS obs_to_ip FROM stay",
     "transfer_chains": _with(_EVENTS, _STITCH, _STAYS) + TRANSFERS + """
-      SELECT eid AS encounter_id, CAST(n AS INT) AS chain_length, s AS chain_start FROM (SELECT *, count(*) OVER (PARTITION BY p, c) AS n, first_value(eid) OVER (PARTITION BY p, c ORDER BY first_ts, eid) AS s FROM c1) WHERE n > 1""",
+      SELECT eid AS encounter_id, CAST(n AS INT) AS chain_length, s AS chain_start FROM (SELECT *, count(*) OVER (PARTITION BY p, c) AS n, first_value(eid) OVER (PARTITION BY p, c ORDER BY first_ts, fid, eid) AS s FROM c1) WHERE n > 1""",
     "reconciled": _with(_EVENTS, _STITCH, _STAYS, _RECON) + " SELECT eid AS encounter_id, strftime(coalesce(adm.a, fst.a), '%Y-%m-%d %H:%M:%S.%f') AS reconciled_admit_ts, coalesce(adm.s, fst.s) AS admit_source, strftime(dis.a, '%Y-%m-%d %H:%M:%S.%f') AS reconciled_discharge_ts, dis.s AS discharge_source, CASE coalesce(pc, 'outpatient') WHEN 'ed' THEN 'ed_only' ELSE coalesce(pc, 'outpatient') END AS reconciled_type, drg, payer AS payer_id, pdx AS principal_diagnosis, dx, array_to_string(flags, ',') AS flags FROM flagged",
     "flag_counts": _with(_EVENTS, _STITCH, _STAYS, _RECON) + " SELECT flag, count(*) AS n FROM (SELECT unnest(flags) AS flag FROM flagged) GROUP BY flag",
     "confidence_scores": _with(_EVENTS, _STITCH, _STAYS, _RECON, _SCORE) + " SELECT eid AS encounter_id, round(conf::DOUBLE, 6) AS confidence, shown AS confidence_flags, band FROM banded",
