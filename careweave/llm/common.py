@@ -49,8 +49,7 @@ def written(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> Da
     Whoever doesn't clear the table leaves it until the application ends."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    at, files = _place(spark, path)
-    files.deleteOnExit(at)
+    until_the_end(spark, path)
     if instead_of is not None:
         for old in {f.rpartition("/")[0] for f in instead_of.inputFiles()}:
             _delete(spark, old)
@@ -74,6 +73,12 @@ def _place(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def until_the_end(spark: SparkSession, path: str) -> None:
+    """Delete a folder that is there when the application ends."""
+    at, files = _place(spark, path)
+    files.deleteOnExit(at)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at, files = _place(spark, path)
     files.delete(at, True)

@@ -7,8 +7,9 @@ mean. All arithmetic is on integers, so a rerun gives the same codes however the
 dealt, and a lost task changes nothing.
 
 Orchard's search keeps, for every entry, the list of all entries by distance. Starting at
-a guess, the list of the best entry so far is read (here in blocks of ``BLOCK`` entries
-and for many points at once); as soon as an entry is nearer, its list is read instead.
+a guess, the list of the best entry so far is read, here in blocks of ``BLOCK`` entries, and
+at once by all points whose best entry it is; as soon as an entry is nearer, a point goes
+to the readers of that one's list instead.
 Entries that were looked at are marked and not looked at again. Reading ends beyond twice
 the distance of the best entry: whatever is nearer to the point can't be farther than that
 from the entry. At exactly twice the distance an entry may be as near, so those are read,
@@ -39,8 +40,8 @@ from pyspark.sql import functions as F
 from careweave.llm import common
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
-#: Entries of a list read at a time, and points searched at a time.
-BLOCK, POINTS = 32, 512
+#: Entries of a list read at a time; points searched at a time, and bytes of vectors.
+BLOCK, POINTS, BYTES = 64, 1 << 16, 32 << 20
 #: Greatest absolute value of a component; integers that are exact in double precision;
 #: more than any squared distance.
 MOST, EXACT, FAR = 1 << 17, 1 << 53, (1 << 63) - 1025
@@ -89,31 +90,57 @@ class Codebook:
 
     def _nearest(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         k, best = len(self.entries), self.guess(points)
+        size, norms = (points * points).sum(1), (self.entries * self.entries).sum(1)
         near = ((points - self.entries[best]) ** 2).sum(1)
         seen = np.zeros((len(points), k), bool)
         seen[np.arange(len(points)), best] = True
-        place, open_ = np.zeros(len(points), np.int64), np.arange(len(points))
-        while len(open_):
-            # beyond twice the distance nothing is nearer
-            first = place[open_]
-            inside = (first < k) & (self.reach[best[open_], first.clip(max=k - 1)] <= 4 * near[open_])
-            open_, first = open_[inside], first[inside]
-            asked = self.lists[best[open_][:, None], (first[:, None] + np.arange(BLOCK)).clip(max=k - 1)]
-            skip = seen[open_[:, None], asked]
-            seen[open_[:, None], asked] = True
-            d = points[open_][:, None, :] - self.entries[asked]
-            d = np.einsum("ijk,ijk->ij", d, d)
-            d[skip] = FAR
-            least = d.min(1, initial=FAR)
-            which = np.where(d == least[:, None], asked, k).min(1, initial=k)
-            better = (least < near[open_]) | (least == near[open_]) & (which < best[open_])
-            better &= least < FAR
-            moved = open_[better]
-            near[moved], best[moved] = least[better], which[better]
-            place[open_] = np.where(better, 0, first + BLOCK)
+        # points that are to read an entry's list, by entry
+        waiting, count = [[] for _ in range(k)], np.zeros(k, np.int64)
+
+        def send(rows: np.ndarray) -> None:
+            rows = rows[np.argsort(best[rows], kind="stable")]
+            for part in np.split(rows, np.flatnonzero(np.diff(best[rows])) + 1):
+                waiting[best[part[0]]].append(part)
+                count[best[part[0]]] += len(part)
+
+        if len(points):
+            send(np.arange(len(points)))
+        while count.any():
+            c = int(count.argmax())
+            rows, moved, waiting[c], count[c] = np.concatenate(waiting[c]), [], [], 0
+            for first in range(0, k, BLOCK):
+                # beyond twice the distance nothing is nearer
+                rows = rows[self.reach[c, first] <= 4 * near[rows]]
+                if not len(rows):
+                    break
+                asked = np.sort(self.lists[c, first : first + BLOCK])
+                looked = rows[:, None], asked[None, :]
+                d = size[rows, None] + norms[asked] - 2 * (points[rows] @ self.entries[asked].T)
+                d[seen[looked]] = FAR
+                seen[looked] = True
+                at = d.argmin(1)  # the first of the least, so the lowest index
+                least, which = d[np.arange(len(rows)), at], asked[at]
+                better = (least < near[rows]) | (least == near[rows]) & (which < best[rows])
+                near[rows[better]], best[rows[better]] = least[better], which[better]
+                moved.append(rows[better])
+                rows = rows[~better]
+            if moved and sum(map(len, moved)):
+                send(np.concatenate(moved))
         return best, near
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``POINTS`` rows, or ``BYTES``, put together of smaller ones."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(h.num_rows for h in held) >= POINTS or sum(h.nbytes for h in held) >= BYTES:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _rows(df: DataFrame, vector_col: str) -> DataFrame:
     return df.where(common.whole_vectors(df, vector_col))
 
@@ -135,7 +162,7 @@ def moved(rows: DataFrame, vector_col: str, books: list[np.ndarray]) -> list[np.
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searched, n, total = [Codebook(b) for b in books], [np.zeros(len(b), np.int64) for b in books], [np.zeros_like(b) for b in books]
-        for batch in batches:
+        for batch in _together(batches):
             for p, points in enumerate(_parts(as_integers(batch.column(0)))):
                 at, _ = searched[p].nearest(points)
                 n[p] += np.bincount(at, minlength=len(books[p]))
@@ -176,7 +203,7 @@ def encoded(df: DataFrame, books: list[np.ndarray], id_col: str = "vec_id", vect
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searched = [Codebook(b) for b in books]
-        for b in batches:
+        for b in _together(batches):
             found = [s.nearest(p) for s, p in zip(searched, _parts(as_integers(b.column(2))), strict=True)]
             codes = np.stack([at for at, _ in found], axis=1).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes().hex() for c in codes], pa.string()), pa.array(sum(d for _, d in found), pa.int64())], names=[id_col, "label", "code", "error"])

@@ -17,6 +17,7 @@ under a name of its own and moves it into place.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -186,8 +187,14 @@ class ShardReader:
         return found
 
 
+def located(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path and the place in it. ``file``, ``s3`` (``s3a`` and ``s3n``
+    too), ``gs`` and ``abfss`` need nothing else; ``hdfs`` needs libhdfs on every machine."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
+
+
 def open_shard(path: str) -> ShardReader:
-    fs, p = pafs.FileSystem.from_uri(path)
+    fs, p = located(path)
     return ShardReader(fs.open_input_file(p))
 
 
@@ -202,7 +209,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         number, encoder = task.partitionId(), tokens.encoder(tokenizer)
-        fs, where = pafs.FileSystem.from_uri(folder)
+        fs, where = located(folder)
         name, temp = f"{where}/shard-{number:06d}.sst", f"{where}/_writing-{number:06d}-{task.taskAttemptId()}"
         writer = out = None
         for b in batches:
@@ -255,4 +262,7 @@ def read_shards(spark: SparkSession, shards: list[dict]) -> DataFrame:
 def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Write shards into a new folder of the cluster's shared one and read them back."""
     folder = common.new_folder(docs.sparkSession, "sstable")
-    return read_shards(docs.sparkSession, write_shards(docs, folder, tokenizer, end_id))
+    shards = write_shards(docs, folder, tokenizer, end_id)
+    if shards:
+        common.until_the_end(docs.sparkSession, folder)
+    return read_shards(docs.sparkSession, shards)

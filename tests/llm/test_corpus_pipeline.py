@@ -36,3 +36,39 @@ def test_mix_repeats_rows(spark):
     rows = [(i, "a b c", "en", "small" if i < 10 else "x", 1) for i in range(100)]
     out = corpus_pipeline.mixed(spark, table(spark, rows), "").collect()
     assert 60 <= len(out) <= 110
+
+
+def run_on(spark, folder, docs):
+    docs.write.parquet(f"file://{folder}/documents.parquet")
+    return corpus_pipeline.run(spark, f"file://{folder}")
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    out = run_on(spark, tmp_path, table(spark, ROWS).limit(0))
+    assert out.count() == 0 and {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns)
+
+
+def test_run_on_clashing_columns_repeated_rows_and_a_very_long_text(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from test_corpus_operators import words
+
+    long = " ".join(words(60, 1000 + i) + "." for i in range(3600))
+    assert len(long) > 1 << 20
+    rows = [(i, words(50 + i, 500 + i), "en", "ab"[i % 2], 1) for i in range(30)] + [(100, long, "en", "a", 1)]
+    rows += [rows[3]] * 5 + [(200, None, None, None, None), (201, "", "en", "a", 0)]
+    docs = table(spark, rows)
+    for c in ("row", "key", "id", "path", "time", "kept", "pattern", "tokens", "piece", "text_", "source_size"):
+        docs = docs.withColumn(c, F.lit("theirs"))
+    out = run_on(spark, tmp_path, docs).collect()
+    pieces = {}
+    for r in out:
+        pieces.setdefault(r["doc_id"], []).append(r)
+    # repeated rows are one group of copies, texts without a letter have no language
+    assert set(pieces) <= {*range(30), 100} and 100 in pieces and not {200, 201} & set(pieces)
+    assert len(pieces[100]) > 100 and all(r["length"] <= 2048 for r in out)
+    filled = {}
+    for r in out:
+        filled.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in filled.values():
+        places.sort()
+        assert [o for o, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))] and sum(n for _, n in places) <= 2048
