@@ -25,19 +25,30 @@ REPEAT_BYTES = 240
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known with a posterior of at least a half."""
+    """Documents whose language is known with a posterior of at least a half.
+
+    Null and empty texts, and those without a letter, have none and go; equal texts go or
+    stay together, however often a row is repeated; whole texts are judged, however long."""
     packed = docs.select(F.struct("*").alias("row"), "text")
     told = ppm.predict(packed, ppm.train(docs), id_col="row")
     return told.where((F.col("lang_pred") != ppm.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts with 5-word Jaccard similarity of 0.8 or more."""
+    """One document of each group of texts with 5-word Jaccard similarity of 0.8 or more.
+
+    The one of the least identifier stays (null comes last, then the content decides);
+    repeated rows are one group; null and empty texts are copies of each other; texts of
+    fewer than five words are like their copies only; whole texts are compared."""
     return chosen_path.representatives(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that start twice; documents of nothing else go."""
+    """Texts without the passages that start twice; documents of nothing else go.
+
+    Every copy of a passage goes, so rows that are repeated go whole if they are long
+    enough; null and empty texts stay as they are; cut characters go with the passage;
+    other columns stay, but for ``n_chars`` of a text that was cut."""
     _, stripped = suffix.strip(docs, length=REPEAT_BYTES, whole_characters=True)
     lost = stripped.where("n_removed > 0").select("key", F.col("kept").cast("string").alias("kept"))
     packed = docs.select(F.struct("*").alias("row"), common.text_key("text").alias("key")).join(lost, "key", "left")
@@ -48,7 +59,10 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them, from no to three times."""
+    """Documents as often as the mix of sources takes them, from no to three times.
+
+    A null source is one of its own; texts without a word have no size and aren't taken;
+    identical rows are taken alike; ties are broken by a hash of content and identifier."""
     packed = docs.select(F.struct("*").alias("row"), F.col("source").alias("from"), "text", common.text_key("text").alias("key"), "doc_id")
     packed = packed.withColumn("row_key", F.unhex(F.md5(F.concat(F.col("key"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))))
     taken, _, _ = mixing.mix(packed, F.array("from"), common.word_count("text"), id_col="row_key")
@@ -58,7 +72,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 2048 tokens."""
+    """Pieces of the documents in sequences of at most 2048 tokens.
+
+    Null and empty texts are an end token; repeated rows are packed each; texts of more than
+    2048 tokens are cut; of an empty table there are no sequences."""
     return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 

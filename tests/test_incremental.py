@@ -65,6 +65,28 @@ def test_batches_equal_one_run(spark, tmp_path):
     assert incremental.watermarks(parts) == {"adt_vendor_x": max(r[-1] for r in rows)}
 
 
+def test_history_is_read_by_bucket_and_month(spark, tmp_path):
+    store, known = Store(spark, f"file://{tmp_path}/store"), feeds.facilities(spark)
+    rows = [("P1", T0 + timedelta(days=31 * k), f"M{k}", feeds.FACILITIES[0][1], kind, "I", None, T0 + timedelta(days=k)) for k in range(12) for kind in ("A01", "A03")]
+    rows = [(p, at + timedelta(hours=5 * (k % 2)), f"M{k}", *rest) for k, (p, at, _, *rest) in enumerate(rows)]
+    feed = spark.createDataFrame(rows, FEED)
+    incremental.run(store, [(LATE, feed)], known, feeds.AS_OF, "first")
+    snapshot = store.snapshot()
+    assert len(snapshot.folders["canonical_events"]) == 12  # months of one bucket
+    like = store.read(incremental.CANONICAL)
+    quiet = spark.createDataFrame([("P1", T0 + timedelta(days=300))], "patient_key string, quiet timestamp")
+    files = incremental.history(store, snapshot, quiet, like).inputFiles()
+    assert {f.rpartition("month=")[2][:7] for f in files} == {"2024-10", "2024-11", "2024-12"}
+    assert incremental.history(store, snapshot, quiet.where("quiet IS NULL"), like).count() == 0
+    # a message that comes again in another month leaves its old one
+    moved = [(p, at - timedelta(days=60), *rest[:-1], T0 + timedelta(days=50)) for p, at, *rest in rows if rest[0] == "M22"]
+    incremental.run(store, [(LATE, spark.createDataFrame(moved, FEED))], known, feeds.AS_OF, "second")
+    stored = store.read(incremental.CANONICAL)
+    assert stored.count() == 24 and stored.select("event_id").distinct().count() == 24
+    kept = {k for k, f in store.snapshot().folders["canonical_events"].items() if snapshot.folders["canonical_events"].get(k) == f}
+    assert len(kept) == 10  # files of other months are the same
+
+
 def test_quiet_moments(spark):
     hours = lambda h: T0 + timedelta(hours=h)
     stays = spark.createDataFrame(

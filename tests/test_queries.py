@@ -28,7 +28,7 @@ def rows(df):
 def duck():
     c = duckdb.connect()
     c.sql("SET TimeZone = 'UTC'")
-    for t in ("events", "orders", "supplier", "lineitem", "customer"):
+    for t in ("events", "orders", "supplier", "lineitem", "customer", "part"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     return c
 
