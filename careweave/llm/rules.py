@@ -11,14 +11,15 @@ Plain base rules come first: too few words, or too many words in repeated window
 Defined cases: a null text has no words and fails the base rule; documents of null
 language are judged but don't count for a reference; without any reference nothing is
 compared; repeated rows get equal answers; an empty table gives an empty table; other
-columns are not looked at. A very long text is counted whole. Ties: words of equal count
+columns are not looked at. A word may hold any byte but blanks, null bytes too. A very long text is counted whole. Ties: words of equal count
 are common in order of their bytes; a distance equal to its limit passes.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -111,48 +112,69 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     """Histograms of the languages, counted over all documents: for each language its
     character classes, its ``top`` words with counts, and the count of its other words."""
     shared.small_batches(docs.sparkSession)
-    kind = "lang string, word binary, n long"
+    # a line counts a word, or a class (and no word); class -1 stands for all words
+    kind = "lang string, class int, word binary, n long"
+    schema = pa.schema([("lang", pa.string()), ("class", pa.int32()), ("word", pa.binary()), ("n", pa.int64())])
+
+    def lines(lang: str, words: list[tuple[bytes, int]], classes: Iterable[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+        items = [(None, w, n) for w, n in words] + [(k, None, int(n)) for k, n in classes]
+        for i in range(0, len(items), 50_000):
+            c, w, n = zip(*items[i : i + 50_000], strict=True)
+            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(n), "class": c, "word": w, "n": n}, schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())])
-        held: dict[str, Counter] = {}
+        held: dict[str, tuple[Counter, np.ndarray]] = {}
         for b in batches:
             for lang, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                data, c = t.as_buffer().to_pybytes(), held.setdefault(lang, Counter())
-                c.update(data.split())
-                c.update({b"\0%d" % k: int(v) for k, v in enumerate(char_classes(data)) if v})
-            if sum(map(len, held.values())) > 200_000:
-                yield from flush(held, schema)
-        yield from flush(held, schema)
-
-    def flush(held: dict[str, Counter], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        for lang, raw in held.items():
+                data = t.as_buffer().to_pybytes()
+                words, classes = held.setdefault(lang, (Counter(), np.zeros(CLASSES, np.int64)))
+                words.update(data.split())
+                classes += char_classes(data)
+            if sum(len(words) for words, _ in held.values()) > 200_000:
+                yield from flush(held)
+        yield from flush(held)
+
+    def flush(held: dict[str, tuple[Counter, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for lang, (raw, classes) in held.items():
             c: Counter = Counter()
             for w, n in raw.items():
-                c[w if w[:1] == b"\0" else common_form(w)] += n
-            items = list(c.items())
-            for i in range(0, len(items), 50_000):
-                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(items[i : i + 50_000]), "word": [w for w, _ in items[i : i + 50_000]], "n": [n for _, n in items[i : i + 50_000]]}, schema)
+                c[common_form(w)] += n
+            yield from lines(lang, list(c.items()), ((k, n) for k, n in enumerate(classes) if n))
         held.clear()
 
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The ``top`` words of a part, the count of all its words, its classes."""
+        words: dict[str, list[tuple[int, bytes]]] = {}
+        sums: dict[str, Counter] = {}
+        for b in batches:
+            for lang, k, w, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                sums.setdefault(lang, Counter())[-1 if k is None else k] += n
+                if w:  # a word of punctuation alone has no common form
+                    mine = words.setdefault(lang, [])
+                    mine.append((-n, w))
+                    if len(mine) > 64 * top:
+                        mine[:] = heapq.nsmallest(top, mine)
+        for lang, c in sums.items():
+            yield from lines(lang, [(w, -n) for n, w in heapq.nsmallest(top, words.get(lang, []))], c.items())
+
     rows = docs.where(f"{lang_col} IS NOT NULL AND {text_col} IS NOT NULL").select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text"))
-    words = rows.mapInArrow(count, kind).groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    # the top words of each part of the words, then of all parts: no task sees a whole language
-    parted = words.withColumn("part", F.when(F.substring("word", 1, 1) == F.lit(b"\0"), -1).otherwise(F.pmod(F.hash("word"), F.lit(64))))
-    nth = F.row_number().over(Window.partitionBy("lang", "part").orderBy(F.desc("n"), "word"))
-    kept = parted.withColumn("nth", nth)
-    kept = kept.groupBy("lang", "part").agg(F.sum("n").alias("total"), F.collect_list(F.when(F.col("nth") <= top, F.struct("n", "word"))).alias("words"))
+    words = rows.mapInArrow(count, kind).groupBy("lang", "class", "word").agg(F.sum("n").alias("n"))
+    # the vocabulary isn't sorted: each task passes on its top words, and 64 parts of these theirs
+    found = words.select("lang", "class", "word", "n").mapInArrow(best, kind)
+    part = F.pmod(F.hash("word"), F.lit(64))
+    common = found.where("word IS NOT NULL").withColumn("nth", F.row_number().over(Window.partitionBy("lang", part).orderBy(F.desc("n"), "word"))).where(F.col("nth") <= top).drop("nth")
+    sums = found.where("word IS NULL").groupBy("lang", "class", "word").agg(F.sum("n").alias("n"))
     out: dict = {}
-    for r in kept.collect():  # at most 65 lines of ``top`` words for each language
+    for r in common.union(sums).collect():  # at most 64 * ``top`` + 10 lines for each language
         x = out.setdefault(r["lang"], {"classes": np.zeros(CLASSES), "words": [], "total": 0})
-        if r["part"] == -1:
-            for w in r["words"]:
-                x["classes"][int(bytes(w["word"])[1:])] = w["n"]
+        if r["word"] is not None:
+            x["words"].append((bytes(r["word"]), r["n"]))
+        elif r["class"] < 0:
+            x["total"] = r["n"]
         else:
-            x["words"] += [(bytes(w["word"]), w["n"]) for w in r["words"]]
-            x["total"] += r["total"]
+            x["classes"][r["class"]] = r["n"]
     for x in out.values():
-        x["words"] = sorted((w for w in x["words"] if w[0]), key=lambda w: (-w[1], w[0]))[:top]
+        x["words"] = sorted(x["words"], key=lambda w: (-w[1], w[0]))[:top]
     return out or None
 
 

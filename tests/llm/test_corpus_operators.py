@@ -353,3 +353,15 @@ def test_components(spark):
 
 def test_queries_are_registered():
     assert {f"op{n}_" for n in range(1, 14)} == {re.match(r"op\d+_", k)[0] for k in queries.QUERIES}
+
+
+def test_words_with_null_bytes(spark):
+    text = "\0abc \0 \x003 \x003 " + "plain words here " * 30
+    docs = spark.createDataFrame([(1, text, "en"), (2, "", "xx"), (3, text, "en")], "doc_id long, text string, lang string")
+    refs = rules.references(docs, top=4)
+    assert list(refs) == ["en"] and refs["en"]["words"] == [(b"here", 60), (b"plain", 60), (b"words", 60), (b"\x003", 4)]
+    assert refs["en"]["total"] == 2 * 94 and refs["en"]["classes"].sum() == 2 * len(text)
+    few = rules.references(docs.repartition(3), top=4)
+    assert few["en"]["words"] == refs["en"]["words"] and (few["en"]["classes"] == refs["en"]["classes"]).all()
+    got = {r["doc_id"]: r["n_words"] for r in rules.judge(docs, refs).collect()}
+    assert got == {1: 94, 2: 0, 3: 94}
