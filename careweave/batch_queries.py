@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +87,22 @@ def incremental_encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown_encounters(two_runs(spark, sf_dir).read(incremental.ENCOUNTERS)).drop("encounter_id")
 
 
+@query(f"SELECT * EXCLUDE (encounter_id) FROM ({_WHOLE})")
+def moved_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each fifth message names a wrong patient at first, and is sent again with the right one."""
+    store, sources, known = Store(spark, new_folder(spark, "store")), dict((s.name, (s, df)) for s, df in reconciliation.default_feeds(spark, sf_dir)), feeds.facilities(spark)
+    feed, rows = sources[feeds.ADT.name]
+    late = replace(feed, incremental_key="arrived")
+    fifth = F.substring("message_control_id", 2, 20).cast("long") % 5 == 0
+    wrong = F.when(fifth, F.concat("patient_mrn", F.lit("0"))).otherwise(F.col("patient_mrn"))
+    first = rows.withColumns({"arrived": F.col("message_ts"), "patient_mrn": wrong})
+    again = rows.where(fifth).withColumn("arrived", F.col("message_ts") + F.expr("INTERVAL 400 DAY"))
+    others = [x for name, x in sources.items() if name != feed.name]
+    incremental.run(store, [(late, first), *others], known, feeds.AS_OF, "first")
+    incremental.run(store, [(late, again)], known, feeds.AS_OF, "second")
+    return shown_encounters(store.read(incremental.ENCOUNTERS)).drop("encounter_id")
+
+
 @query(with_(EVENTS) + """, m(source, last) AS (SELECT 'adt_vendor_x', max(ts) FROM adt_typed WHERE sys = 'adt_vendor_x' UNION ALL SELECT 'adt_vendor_y', max(ts) FROM adt_typed WHERE sys = 'adt_vendor_y' UNION ALL SELECT 'claims_clearinghouse', max(ts + INTERVAL 20 DAY) FROM claim_raw UNION ALL SELECT 'auth_portal', max(ts) FROM fe WHERE kind = 'signup' AND e % 3 = 0)
   SELECT source, strftime(last, '%Y-%m-%d %H:%M:%S.%f') AS watermark FROM m""")
 def run_watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,4 +132,5 @@ class Settings:
     fuzzy_threshold: float = 0.85
     low_confidence: float = 0.60
     flag_duplicates: bool = False
+    follow_moves: bool = True  # a record sent again may have changed its patient: ids are sought in all buckets
     lookback: tuple[tuple[str, str], ...] = (("default", "24h"), ("adt", "24h"), ("claims", "72h"), ("auth", "24h"))

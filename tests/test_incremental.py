@@ -37,8 +37,9 @@ def shown(store):
 
 def test_batches_equal_one_run(spark, tmp_path):
     rows, known = messages(260), feeds.facilities(spark)
-    # a message is sent again with another time
+    # a message is sent again with another time, or with another patient
     rows += [(p, at + timedelta(hours=70), *rest, came + timedelta(days=12)) for p, at, *rest, came in rows[::17]]
+    rows += [(f"P{(int(p[1:]) + 5) % 14}", *rest, came + timedelta(days=13)) for p, *rest, came in rows[3:260:19]]
     feed = spark.createDataFrame(rows, FEED).cache()
     whole, parts = Store(spark, f"file://{tmp_path}/whole"), Store(spark, f"file://{tmp_path}/parts")
     last = feed.groupBy("message_control_id").agg(F.max_by(F.struct("*"), "arrived").alias("row")).select("row.*")
