@@ -302,6 +302,50 @@ def test_last_depth_joins_no_strangers_and_loses_no_pair(spark, monkeypatch, hea
                 assert find(a) == find(b)
 
 
+@pytest.mark.parametrize("large", [256, 16])
+def test_a_task_tells_fewer_pairs_than_it_has_sets(spark, large):
+    from pyspark.sql import functions as F
+
+    # 200 kindred sets, of which 150 are close, meet at 40 nodes; a stranger has the least key
+    r = np.random.default_rng(1)
+    core, own = r.choice(np.arange(1, 30000), 32, replace=False), np.arange(30001, 60001)
+    held = [np.sort(np.concatenate([core[: 28 if i < 150 else 12], r.choice(own, 4 if i < 150 else 20, replace=False)])) for i in range(200)]
+    sets = [(bytes(16), np.arange(60001, 60033).astype("<u2").tobytes()), *((hashlib.md5(b"%d" % i).digest(), x.astype("<u2").tobytes()) for i, x in enumerate(held))]
+    rows = [(p, key, x) for p in range(40) for key, x in sets]
+    meetings = spark.createDataFrame(rows, "path long, key binary, sketch binary").select("*", F.lit(None).cast("binary").alias("center"), F.lit(False).alias("walks")).repartition(8)
+    met = chosen_path._met(meetings, large, False).withColumn("task", F.spark_partition_id()).collect()
+    tasks = len({x["task"] for x in met})
+    pairs = [(bytes(x["u"]), bytes(x["v"])) for x in met if x["v"] is not None]
+    assert len(pairs) <= 200 * tasks and len(met) - len(pairs) <= 201 * tasks
+    up = {key: key for key, _ in sets}
+
+    def find(k):
+        return k if up[k] == k else find(up[k])
+
+    for u, v in pairs:
+        up[max(find(u), find(v))] = min(find(u), find(v))
+    assert Counter(Counter(find(key) for key, _ in sets).values()) == {200: 1, 1: 1}
+
+
+@pytest.mark.parametrize("heavy", [False, True])
+def test_pairs_of_a_group_follow_its_size(spark, monkeypatch, heavy):
+    for name, value in (("PART", 1), ("HEAVY", 8), ("SHARE", 10_000)) if heavy else ():
+        monkeypatch.setattr(chosen_path, name, value)
+    told, written = [], common.written
+    monkeypatch.setattr(common, "written", lambda df, name, *more, **by: (out := written(df, name, *more, **by), told.append(out.count()) if name == "met" else None)[0])
+    base, rows = words(150, 9).split(), []
+    for i in range(600):
+        w = list(base)
+        w[i % 150] = f"x{i}"
+        rows.append((i, " ".join(w), "en", "a", 1))
+    docs = table(spark, rows).repartition(2)
+    got = chosen_path.representatives(docs).collect()
+    assert [r["doc_id"] for r in got] == [0]
+    # every set is told of by each task at most, and not once for each of its 24 nodes
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sum(told) <= (tasks + 1) * len(rows)
+
+
 def brute_strip(rows, length):
     seen = Counter()
     texts = [(t or "").encode() for _, t, *_ in rows]
