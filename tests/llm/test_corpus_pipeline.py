@@ -1,7 +1,9 @@
 """Each stage on odd rows; stages one after another."""
 
 import corpus_pipeline
-from test_corpus_operators import ROWS, brute_links, table
+from test_corpus_operators import ROWS, brute_links, table, words
+
+from careweave.llm import common
 
 
 def test_stages_keep_columns(spark):
@@ -26,6 +28,17 @@ def test_near_copies_keep_one_of_each_class(spark):
     assert len(out) == len(set(roots)) and {r["doc_id"] for r in out} >= {5, 9, 10, 13, 14, 4}
 
 
+def test_near_copies_of_a_group_tell_few_rows(spark, monkeypatch):
+    told, written = [], common.written
+    monkeypatch.setattr(common, "written", lambda df, name, *more, **by: (out := written(df, name, *more, **by), told.append(out.count()) if name == "met" else None)[0])
+    base = words(150, 9).split()
+    rows = [(i, " ".join([*base[: i % 150], f"x{i}", *base[i % 150 + 1 :]]), "en", "a", 1) for i in range(300)]
+    out = corpus_pipeline.near_copies(spark, table(spark, rows).repartition(2), "").collect()
+    assert [r["doc_id"] for r in out] == [0]
+    # each of a few tasks tells of a text once, not for each of its 24 nodes
+    assert sum(told) <= (int(spark.conf.get("spark.sql.shuffle.partitions")) + 1) * len(rows)
+
+
 def test_repeats_leave_whole_characters(spark):
     rows = [(i, f"é{i} " + "éèê" * 120 + f" ê{i} end", "fr", "a", 1) for i in (1, 2)]
     out = {r["doc_id"]: r for r in corpus_pipeline.repeats(spark, table(spark, rows), "").collect()}
