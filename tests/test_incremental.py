@@ -100,6 +100,28 @@ def test_quiet_moments(spark):
             assert {r["patient_key"]: r["quiet"] for r in incremental.quiet_before(stays, changed, settings).collect()} == want
 
 
+CLAIM = "member_id string, claim_id string, admission_date date, discharge_date date, facility_name string, received_date timestamp, bill_type_code string, payer_code string, drg_code string, primary_dx string, all_diagnosis_codes string, billing_npi string, claim_status string"
+
+
+def claim(name, came, left, where):
+    """A claim of P1 from some day to another."""
+    return ("P1", name, (T0 + timedelta(days=came)).date(), (T0 + timedelta(days=left)).date(), where, T0 + timedelta(days=20), "131", "PAY1", "291", "E11.9", "E11.9", None, "PAID")
+
+
+def test_a_record_on_both_sides_of_a_moment(spark, tmp_path):
+    """The halves of a claim lie in stays of one id once a late message parts the second from its stay."""
+    known, (away, _, near) = feeds.facilities(spark), (f[1] for f in feeds.FACILITIES[:3])
+    say = lambda h, rid, where, code, cls, came: ("P1", T0 + timedelta(hours=h), rid, where, code, cls, None, T0 + timedelta(days=came))
+    early, late = [say(8, "M1", near, "A03", "I", 10), say(90, "M2", near, "A03", "I", 10), say(123, "M3", near, "A01", "E", 10)], [say(74, "M4", away, "A03", "I", 30)]
+    claims = (feeds.CLAIMS, spark.createDataFrame([claim("C1", 0, 3, near)], CLAIM))
+    whole, parts = Store(spark, f"file://{tmp_path}/whole"), Store(spark, f"file://{tmp_path}/parts")
+    incremental.run(whole, [(LATE, spark.createDataFrame(early + late, FEED)), claims], known, feeds.AS_OF, "whole")
+    incremental.run(parts, [(LATE, spark.createDataFrame(early, FEED)), claims], known, feeds.AS_OF, "first")
+    incremental.run(parts, [(LATE, spark.createDataFrame(late, FEED))], known, feeds.AS_OF, "second")
+    assert shown(whole) == shown(parts)
+    assert sum(len(r["source_event_ids"]) for r in parts.read(incremental.ENCOUNTERS).collect()) == parts.read(incremental.CANONICAL).count() == 6
+
+
 def test_a_run_that_fails_changes_nothing(spark, tmp_path, monkeypatch):
     table, store = Table("t", "k", buckets=4), Store(spark, f"file://{tmp_path}/store")
     rows = lambda n, v: spark.range(n).select(F.col("id").alias("k"), F.lit(v).alias("v"))
