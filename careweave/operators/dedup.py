@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from careweave.config import Settings
 from careweave.functions import rules
 from careweave.operators.slices import Slices
-from careweave.operators.stitch import is_discharge, is_marker, order, position
+from careweave.operators.stitch import content_id, is_discharge, is_marker, order, position
 from careweave.sources.shared import written
 
 
@@ -37,7 +37,8 @@ def mark_duplicates(events: DataFrame, settings: Settings = Settings()) -> DataF
 
 
 def merge_overlaps(events: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Adds ``merged_id``: overlapping stays of a patient at a facility get the first's id.
+    """Adds ``merged_id``: overlapping stays of a patient at a facility get the first's id (and
+    its ``content_id``, where there is one).
 
     Stays are taken by their start. A group goes on while its latest marker isn't a discharge,
     or the next stay starts no later than the group's last discharge. A group that can end has
@@ -47,24 +48,27 @@ def merge_overlaps(events: DataFrame, settings: Settings = Settings()) -> DataFr
     marker before it is a discharge and all discharges before it are earlier, and it does so
     if no stay may have since the one of that marker."""
     at = position(settings)
+    named = [c for c in events.columns if c == "content_id"]
     stays = events.groupBy("patient_key", "encounter_id").agg(
+        *(F.max(c).alias(c) for c in named),
         F.min_by("facility_id", at).alias("facility"),
         F.min("event_ts").alias("start"),
         F.max(F.when(is_discharge(), F.col("event_ts"))).alias("discharge"),
         F.max(F.when(is_marker(), at)).alias("_mark"),
         F.max_by(is_discharge(), F.when(is_marker(), at)).alias("_closed"),
     )
-    stays = written(stays.select("patient_key", "encounter_id", "facility", "start", "discharge", F.col("_mark.event_ts").alias("marked"), F.coalesce("_closed", F.lit(False)).alias("closed")), "stays-to-merge")
-    slices, by = Slices.of(stays, ["patient_key", "facility"], "start", settings.slice_rows), [F.col("start"), F.col("encounter_id")]
-    here = F.struct("start", "encounter_id")
+    stays = written(stays.select("patient_key", "encounter_id", *named, "facility", "start", "discharge", F.col("_mark.event_ts").alias("marked"), F.coalesce("_closed", F.lit(False)).alias("closed")), "stays-to-merge")
+    slices, by = Slices.of(stays, ["patient_key", "facility"], "start", settings.slice_rows), [F.col("start"), content_id(stays)]
+    here = F.struct("start", content_id(stays).alias("content"))
     mark = F.when(F.col("marked").isNotNull(), F.struct("marked", here.alias("at"), "closed"))
     rows = slices.running(slices.cut(stays, "start"), by, _out=("max", F.col("discharge")), _mark=("max", mark), _first=("sum", F.lit(1)))
     may = F.col("_mark.closed") & (F.col("start") > F.col("_out"))
     rows = rows.withColumn("_may", F.coalesce(may, F.lit(False)))
     rows = slices.running(rows, by, _last=("last", F.when(F.col("_may"), here)))
     begins = (F.col("_first") == 1) | (F.col("_may") & F.coalesce(F.col("_last") <= F.col("_mark.at"), F.lit(True)))
-    rows = slices.running(rows.withColumn("_begins", begins), by, merged_id=("latest", F.when(F.col("_begins"), F.col("encounter_id"))))
-    return events.join(rows.select("patient_key", "encounter_id", "merged_id"), ["patient_key", "encounter_id"])
+    rows = slices.running(rows.withColumn("_begins", begins), by, _merged=("latest", F.when(F.col("_begins"), F.struct("encounter_id", *named))))
+    merged = rows.select("patient_key", "encounter_id", F.col("_merged.encounter_id").alias("merged_id"), *(f"_merged.{c}" for c in named))
+    return events.drop(*named).join(merged, ["patient_key", "encounter_id"])
 
 
 def counts(events: DataFrame) -> DataFrame:

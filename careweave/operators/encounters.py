@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from careweave.config import Settings
-from careweave.operators.stitch import is_admit, is_discharge, order
+from careweave.operators.stitch import content_id, is_admit, is_discharge, order
 
 DAY = 86_400_000_000
 
@@ -16,8 +16,9 @@ def readmissions(stays: DataFrame, settings: Settings = Settings()) -> DataFrame
     """Adds ``is_readmission``, ``readmission_days``, ``prior_encounter_id``.
 
     ``stays``: patient_key, encounter_id, admit_ts, discharge_ts, facility_type. The
-    nearest earlier acute, discharged stay counts whose gap is at most so many whole days."""
-    rows = stays.withColumn("_nth", F.struct("admit_ts", "encounter_id"))
+    nearest earlier acute, discharged stay counts whose gap is at most so many whole days. Of
+    stays that are admitted together the id by content decides (``content_id``, if there is one)."""
+    rows = stays.withColumn("_nth", F.struct("admit_ts", content_id(stays).alias("content")))
     prior = rows.where("facility_type = 'acute' AND discharge_ts IS NOT NULL").select("patient_key", "admit_ts", F.col("_nth").alias("_before"), F.col("discharge_ts").alias("_left"), F.col("encounter_id").alias("_prior"))
     # in time slices of the window's length, so that a patient of many years isn't one group
     reach = (settings.readmission_days + 1) * DAY
@@ -52,9 +53,10 @@ def roles(events: DataFrame, reconciled: DataFrame, settings: Settings = Setting
 def encounter_rows(scored: DataFrame, as_of, run_id: str, settings: Settings = Settings(), earlier: DataFrame | None = None) -> DataFrame:
     """The published encounter table. The first stay of a patient is no readmission; ``earlier``
     are published stays that later ones may be readmissions of."""
-    stays = scored.select("patient_key", "encounter_id", "facility_type", F.col("reconciled_admit_ts").alias("admit_ts"), F.col("reconciled_discharge_ts").alias("discharge_ts"))
+    scored = scored.withColumn("content_id", content_id(scored))
+    stays = scored.select("patient_key", "encounter_id", "content_id", "facility_type", F.col("reconciled_admit_ts").alias("admit_ts"), F.col("reconciled_discharge_ts").alias("discharge_ts"))
     if earlier is not None:
-        stays = stays.unionByName(earlier.select(*stays.columns))
+        stays = stays.unionByName(earlier.withColumn("content_id", content_id(earlier)).select(*stays.columns))
     scored = scored.join(readmissions(stays, settings).select("encounter_id", "is_readmission", "readmission_days"), "encounter_id")
     los = (F.unix_micros("reconciled_discharge_ts") - F.unix_micros("reconciled_admit_ts")) / 3_600_000_000
     facility = F.coalesce("facility_id", F.lit(""))
@@ -64,7 +66,7 @@ def encounter_rows(scored: DataFrame, as_of, run_id: str, settings: Settings = S
         F.col("reconciled_type").alias("encounter_type"), "status", (F.col("encounter_type") == "inpatient").alias("is_acute"),
         "drg", "payer_id", "principal_diagnosis", "admitting_diagnosis", "diagnosis_codes", "has_adt", "has_claims", "has_auth", "source_systems", "source_event_ids",
         "admit_source", "discharge_source", "obs_to_ip", "transfer_chain", "facility_type", F.col("confidence").alias("confidence_score"), "confidence_flags",
-        "is_readmission", "readmission_days", "has_discharge", "first_event_ts", "last_event_ts",
+        "is_readmission", "readmission_days", "has_discharge", "first_event_ts", "last_event_ts", "content_id",
         F.lit(None).cast("string").alias("episode_id"), F.lit(run_id).alias("run_id"), F.lit(as_of).cast("timestamp").alias("created_at"), F.lit(as_of).cast("timestamp").alias("updated_at"),
     )
 

@@ -11,6 +11,7 @@ from careweave.config import Settings
 from careweave.functions import rules
 from careweave.operators import groupers
 from careweave.operators.slices import Slices
+from careweave.operators.stitch import content_id
 
 DAY = 86_400_000_000
 
@@ -33,8 +34,8 @@ def link(stays: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Adds ``link`` (the rule, or null), ``episode_no`` and ``episode_id``.
 
     An episode can only go on while every stay since the last discharge links to it."""
-    slices, by = Slices.of(stays, ["patient_key"], "admit_ts", settings.slice_rows), [F.col("admit_ts"), F.col("encounter_id")]
-    here = F.struct("admit_ts", "encounter_id")
+    slices, by = Slices.of(stays, ["patient_key"], "admit_ts", settings.slice_rows), [F.col("admit_ts"), content_id(stays)]
+    here = F.struct("admit_ts", content_id(stays).alias("content"))
     left = F.when(F.col("discharge_ts").isNotNull(), F.struct(here.alias("at"), "discharge_ts", "is_acute", "facility_id"))
     rows = slices.running(slices.cut(stays, "admit_ts"), by, _prior=("last", left))
     rows = rows.withColumn("_kind", link_kind(F.col("_prior"), settings))
@@ -49,7 +50,7 @@ def link(stays: DataFrame, settings: Settings = Settings()) -> DataFrame:
 def episodes(linked: DataFrame, as_of, grouper: Callable[[Column, Column], Column] = rules.episode_type, tables: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """One row for each episode of linked stays. ``grouper``: (first code, DRG) to type;
     ``tables``: ranges and prefixes to be used instead (see ``groupers``)."""
-    place = F.struct("admit_ts", "encounter_id")
+    place = F.struct("admit_ts", content_id(linked).alias("content"), "encounter_id")
     rows = linked.withColumn("_place", place)
     hours = F.when(F.col("los_hours") > 0, F.col("los_hours")).otherwise(1.0)
     has = lambda c: F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.col("_place"))

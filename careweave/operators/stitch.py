@@ -165,6 +165,12 @@ def encounter_id(patient: Column, facility: Column, record: Column) -> Column:
     return F.sha2(F.concat_ws("|", patient, F.coalesce(facility, F.lit("")), record), 256)
 
 
+def content_id(df: DataFrame) -> Column:
+    """The id that a stay has by its events. It decides between stays that begin together, as a
+    stay may be called by the id that it had in an earlier run (see ``with_stable_ids``)."""
+    return F.coalesce("content_id", "encounter_id") if "content_id" in df.columns else F.col("encounter_id")
+
+
 def stitch(events: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Events with ``encounter_no`` within the patient and ``encounter_id``."""
     slices = Slices.of(events, ["patient_key"], "event_ts", settings.slice_rows)
@@ -184,6 +190,7 @@ def encounters(events: DataFrame, settings: Settings = Settings()) -> DataFrame:
     cancels = F.col("event_type").isin("CANCEL_ADMIT", "CANCEL_DISCHARGE")
     when = lambda condition, value: F.when(condition, value)
     grouped = events.groupBy("patient_key", "encounter_id").agg(
+        *(F.max(c).alias(c) for c in events.columns if c == "content_id"),
         F.min_by("facility_id", "_at").alias("facility_id"),
         F.min_by("facility_name", "_at").alias("facility_name"),
         F.min(F.when(cls > 0, cls)).alias("_class"),
@@ -219,16 +226,15 @@ def transfers(stays: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Adds ``transfer_chain``: ids of the maximal run of linked stays, null if alone.
 
     A stay links to the next of its patient at another facility soon after discharge. Of
-    stays that begin together the facility decides which is next, not the id, which may be
-    one of an earlier run."""
-    slices, by = Slices.of(stays, ["patient_key"], "first_event_ts", settings.slice_rows), [F.col("first_event_ts"), F.col("facility_id"), F.col("encounter_id")]
+    stays that begin together the facility decides which is next, then the id by content."""
+    slices, by = Slices.of(stays, ["patient_key"], "first_event_ts", settings.slice_rows), [F.col("first_event_ts"), F.col("facility_id"), content_id(stays)]
     rows = slices.running(slices.cut(stays, "first_event_ts"), by, _before=("last", F.struct("discharge_ts", "has_discharge", "facility_id")))
     before = F.col("_before")
     gap = F.unix_micros("first_event_ts") - F.unix_micros(before["discharge_ts"])
     linked = before["has_discharge"] & (before["facility_id"] != F.col("facility_id")) & gap.between(0, settings.window_hours * 3_600_000_000)
     chained = slices.running(rows.withColumn("_begins", ~F.coalesce(linked, F.lit(False))), by, _chain=("sum", F.col("_begins").cast("int")))
     # a chain is put together once
-    listed = chained.groupBy("patient_key", "_chain").agg(F.array_sort(F.collect_list(F.struct("first_event_ts", "facility_id", "encounter_id"))).alias("_members")).where(F.size("_members") > 1)
+    listed = chained.groupBy("patient_key", "_chain").agg(F.array_sort(F.collect_list(F.struct("first_event_ts", "facility_id", content_id(stays).alias("_content"), "encounter_id"))).alias("_members")).where(F.size("_members") > 1)
     chains = listed.select("patient_key", "_chain", F.transform("_members", lambda x: x["encounter_id"]).alias("transfer_chain"))
     return slices.done(chained.join(chains, ["patient_key", "_chain"], "left")).drop("_chain", "_begins", "_before")
 

@@ -111,9 +111,11 @@ def encountered(resolved: DataFrame, taken: Ingested, facilities: DataFrame, as_
 
 
 def with_stable_ids(events: DataFrame, prior: DataFrame, as_of: str, settings: Settings = Settings()) -> DataFrame:
-    """Events of encounters under the ids of the earlier stays that these continue."""
+    """Events of encounters under the ids of the earlier stays that these continue, with the id
+    by content in ``content_id`` where that is another."""
     ids = stitch.stable_ids(stitch.encounters(events, settings), prior, as_of, settings)
-    return events.join(ids, "encounter_id").drop("encounter_id").withColumnRenamed("stable_id", "encounter_id")
+    own = F.when(F.col("encounter_id") != F.col("stable_id"), F.col("encounter_id"))
+    return events.join(ids, "encounter_id").withColumn("content_id", own).drop("encounter_id").withColumnRenamed("stable_id", "encounter_id")
 
 
 def materialize(tables: Tables, stored: DataFrame | None, stored_detail: DataFrame | None, run_id: str, as_of: str) -> tuple[DataFrame, DataFrame, DataFrame]:
