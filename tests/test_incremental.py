@@ -1,6 +1,7 @@
 """Runs on batches against one run over all, stored tables, and what is counted on the way."""
 
 import hashlib
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -13,6 +14,7 @@ from careweave.operators import stitch
 from careweave.plans import incremental, reconciliation
 from careweave.sources import feeds, scan
 from careweave.sources.keyed import Conflict, Run, Store, Table
+from careweave.sources.shared import shared_dir
 
 T0 = datetime(2024, 1, 1)
 LATE = Source(**{**feeds.ADT.__dict__, "incremental_key": "arrived"})
@@ -140,6 +142,25 @@ def test_stays_that_begin_together_keep_their_order(spark, tmp_path):
     assert again(whole) == again(parts) and len(again(whole)) == 2
 
 
+def test_runs_leave_only_their_store(spark, tmp_path):
+    """What a run writes on the way is gone after it, and groups of patients give the rows of all at once."""
+    feed, known = spark.createDataFrame(messages(120), FEED), feeds.facilities(spark)
+    names = lambda: set(os.listdir(shared_dir(spark).removeprefix("file://")))
+    whole, parts = Store(spark, f"file://{tmp_path}/whole"), Store(spark, f"file://{tmp_path}/parts")
+    before = names()
+    incremental.run(whole, [(LATE, feed)], known, feeds.AS_OF, "whole")
+    small = Settings(pass_bytes=8_000)
+    with pytest.raises(incremental.ErrorRateExceeded):
+        incremental.run(parts, [(LATE, feed)], known, feeds.AS_OF, "halted", settings=small, limit=0.0)
+    assert names() == before
+    for k, day in enumerate((20, 99)):
+        incremental.run(parts, [(LATE, feed.where(F.col("arrived") < T0 + timedelta(days=day)))], known, feeds.AS_OF, f"batch{k}", settings=small)
+    assert names() == before and shown(whole) == shown(parts)
+    versions = {f.rpartition("/")[0] for f in parts.snapshot(1).folders["encounters"].values()}
+    assert len(versions) > 1  # in several passes
+    assert sorted(parts.read(incremental.DETAIL).drop("encounter_id").collect()) == sorted(whole.read(incremental.DETAIL).drop("encounter_id").collect())
+
+
 def test_a_run_that_fails_changes_nothing(spark, tmp_path, monkeypatch):
     table, store = Table("t", "k", buckets=4), Store(spark, f"file://{tmp_path}/store")
     rows = lambda n, v: spark.range(n).select(F.col("id").alias("k"), F.lit(v).alias("v"))
